@@ -94,6 +94,23 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     }[t.typeName()]
 
 
+class Remembered:
+    """A bounded memo: two generations, the older is dropped when the younger is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def promote(self, keys: set) -> None:
+        """Move what the older generation knows of ``keys`` to the younger; the rest stays in ``keys``."""
+        known = keys & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        keys -= known
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+
 def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """Connected components by alternating star contraction; ``edges`` (a long, b long) -> (node, component).
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op10_line_dedup
+from . import op1_best_fit_packing, op4_byte_bpe, op10_line_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing.query,
+    "op4_byte_bpe": op4_byte_bpe.query,
     "op10_line_dedup": op10_line_dedup.query,
 }
 
