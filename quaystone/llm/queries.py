@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op4_byte_bpe, op10_line_dedup
+from . import op1_best_fit_packing, op3_suffix_repetition, op4_byte_bpe, op9_metric_range_join, op10_line_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.query,
+    "op3_suffix_repetition": op3_suffix_repetition.query,
     "op4_byte_bpe": op4_byte_bpe.query,
+    "op9_metric_range_join": op9_metric_range_join.query,
     "op10_line_dedup": op10_line_dedup.query,
 }
 
 SQL = {
+    "op9_metric_range_join": op9_metric_range_join.SQL,
     "op10_line_dedup": op10_line_dedup.SQL,
 }
