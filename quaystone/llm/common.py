@@ -142,10 +142,10 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 40) ->
 
 
 class Forest:
-    """Union-find over 0..n-1 for one block; numpy-friendly."""
+    """Union-find over 0..n-1 for one block; ``apart`` filters pairs before any Python loop."""
 
     def __init__(self, n: int):
-        self.p = list(range(n))
+        self.p = np.arange(n)
 
     def find(self, x: int) -> int:
         p = self.p
@@ -162,3 +162,11 @@ class Forest:
             x, y = y, x
         self.p[y] = x
         return True
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Indices of the pairs not connected yet."""
+        p = self.p
+        while not np.array_equal(q := p[p], p):
+            p = q
+        self.p = p
+        return np.flatnonzero(p[x] != p[y])

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op3_suffix_repetition, op4_byte_bpe, op9_metric_range_join, op10_line_dedup
+from . import op1_best_fit_packing, op3_suffix_repetition, op4_byte_bpe, op8_bayes_jaccard_join, op9_metric_range_join, op10_line_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.query,
     "op3_suffix_repetition": op3_suffix_repetition.query,
     "op4_byte_bpe": op4_byte_bpe.query,
+    "op8_bayes_jaccard_join": op8_bayes_jaccard_join.query,
     "op9_metric_range_join": op9_metric_range_join.query,
     "op10_line_dedup": op10_line_dedup.query,
 }
 
 SQL = {
+    "op8_bayes_jaccard_join": op8_bayes_jaccard_join.SQL,
     "op9_metric_range_join": op9_metric_range_join.SQL,
     "op10_line_dedup": op10_line_dedup.SQL,
 }
