@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op3_suffix_repetition, op4_byte_bpe, op5_crf_toxicity, op8_bayes_jaccard_join, op9_metric_range_join, op10_line_dedup
+from . import op1_best_fit_packing, op3_suffix_repetition, op4_byte_bpe, op5_crf_toxicity, op6_kd_sharding, op8_bayes_jaccard_join, op9_metric_range_join, op10_line_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.query,
     "op3_suffix_repetition": op3_suffix_repetition.query,
     "op4_byte_bpe": op4_byte_bpe.query,
     "op5_crf_toxicity": op5_crf_toxicity.query,
+    "op6_kd_sharding": op6_kd_sharding.query,
     "op8_bayes_jaccard_join": op8_bayes_jaccard_join.query,
     "op9_metric_range_join": op9_metric_range_join.query,
     "op10_line_dedup": op10_line_dedup.query,
