@@ -1,14 +1,55 @@
-"""Corpus pipeline: stages applied one after another to ``documents``, each written as Parquet and reread."""
+"""Corpus pipeline: stages applied one after another to ``documents``, each written as Parquet and reread.
+
+Toxic documents go, low-quality documents go, repeated lines go, one document of each near-duplicate class
+stays, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaystone.llm import op1_best_fit_packing, op3_suffix_repetition, op5_crf_toxicity, op8_bayes_jaccard_join, op10_line_dedup
+from quaystone.llm.common import stored, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_crf_toxicity.clean(docs, docs, table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_suffix_repetition.passing(docs)
+
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = op10_line_dedup.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return out.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op8_bayes_jaccard_join.one_of_each(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_best_fit_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("best_fit_packing", packing),
+]
+
+#: A learned model and minimal packing have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir: str):
-    from quaystone.llm.common import stored, table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import texts_of, with_text_columns
@@ -119,7 +118,7 @@ def measure(texts: list[bytes]) -> list[np.ndarray]:
     return [n_words, word_chars, n_symbols, n_dup, covered(lengths, doc, WINDOW, n_docs), covered(lengths, doc, LONG_WORDS, n_docs), longest]
 
 
-def quality(docs: DataFrame, *, keep: list[str] | None = None, max_long_share: float = MAX_LONG_SHARE, max_longest: int = MAX_LONGEST) -> DataFrame:
+def quality(docs: DataFrame, *, keep: list[str] | None = None, max_long_share: float = MAX_LONG_SHARE, max_longest: int = MAX_LONGEST, prefix: str = "") -> DataFrame:
     """``docs`` with FIELDS appended."""
 
     def factory():
@@ -131,7 +130,7 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, max_long_share: f
 
         return fn
 
-    return with_text_columns(docs, FIELDS, factory, keep)
+    return with_text_columns(docs, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], factory, keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -142,5 +141,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``."""
-    marked = quality(docs.select("*", F.struct("*").alias("_row")), keep=["_row"])
-    return marked.where("kept").select("_row.*")
+    return quality(docs, prefix="_quality_").where("_quality_kept").select(docs.columns)

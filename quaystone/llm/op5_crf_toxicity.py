@@ -210,13 +210,13 @@ def train_model(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_out:
     return fit(*picked)
 
 
-def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = None, with_spans: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = None, with_spans: bool = False, prefix: str = "") -> DataFrame:
     """``docs`` with score and predicted, and spans (start and end in code points) on request."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features of SAMPLE rows at most
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    fields = [T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "predicted", T.IntegerType())]
     if with_spans:
         span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-        fields.append(T.StructField("spans", T.ArrayType(span)))
+        fields.append(T.StructField(prefix + "spans", T.ArrayType(span)))
 
     def factory():
         weights, bias, trans, final = (shared.value[k] for k in ("weights", "bias", "trans", "final"))
@@ -271,5 +271,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, all_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of ``docs`` that are not predicted toxic, with their columns."""
-    marked = score_documents(docs.select("*", F.struct("*").alias("_row")), train_model(all_docs, labels), keep=["_row"])
-    return marked.where("predicted = 0").select("_row.*")
+    marked = score_documents(docs, train_model(all_docs, labels), prefix="_toxic_")
+    return marked.where("_toxic_predicted = 0").select(docs.columns)
