@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_indicators
+
+_PARTS = (q_indicators,)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL: dict = {name: s for part in _PARTS for name, s in part.SQL.items()}
