@@ -94,6 +94,43 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     }[t.typeName()]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of one or more whole groups, from batches sorted by ``keys``."""
+
+    def same(x: pa.RecordBatch, i: int, y: pa.RecordBatch, j: int) -> bool:
+        return all(x.column(k)[i] == y.column(k)[j] for k in keys)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(max(0, b.num_rows - 1), dtype=bool)
+        for k in keys:
+            x = np.asarray(b.column(k))
+            new |= x[1:] != x[:-1]
+        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        if held and not same(held[-1], held[-1].num_rows - 1, b, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(t.num_rows, dtype=bool)
+    if t.num_rows:
+        new[1:] = False
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 class Remembered:
     """A bounded memo: two generations, the older is dropped when the younger is full."""
 
@@ -111,29 +148,34 @@ class Remembered:
             self.young, self.old = {}, self.young
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    """Count and hash sums of an edge set; equal sets have equal fingerprints."""
+    h = F.xxhash64("a", "b").cast("decimal(38,0)")
+    return tuple(edges.agg(F.count("*"), F.sum(h), F.sum("b")).head())
+
+
 def components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """Connected components by alternating star contraction; ``edges`` (a long, b long) -> (node, component).
 
     Component = the smallest node id.  Only edges travel, each round is written to the shared folder and
     ends when no edge changes.  A hub's edges shrink to one a node by aggregation with a map-side part.
     """
-    spark = edges.sparkSession
     cur = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
     )
+    state = fingerprint(cur)
     for _ in range(rounds):
         # large star: every larger neighbour of a node goes to the smallest node of its neighbourhood
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = stored(large.where("a <> b"), label)
         # small star: every smaller neighbour, and the node itself, goes to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
-        done = nxt.exceptAll(cur).isEmpty() and cur.exceptAll(nxt).isEmpty()
-        cur = nxt
-        if done:
+        cur = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
+        before, state = state, fingerprint(cur)
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle; raise rounds")

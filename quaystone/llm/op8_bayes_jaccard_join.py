@@ -22,13 +22,12 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, slices, stored, texts_of
+from .common import Forest, components, group_starts, slices, stored, texts_of, whole_groups
 
 THRESHOLD, WORDS, HASHES, BAND, TOLERANCE, BLOCK = 0.8, 5, 128, 4, 1e-9, 1024
 STEP = 16  # MinHash values compared at a time
@@ -51,7 +50,7 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat, sizes = [], []
     for t in texts:
         words = WORD.findall(t.decode().lower())
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w)
         flat.extend(map(known.__getitem__, words))
         sizes.append(len(words))
@@ -177,77 +176,100 @@ def pair_ranges(n_q: int, n_t: int, same_block: bool):
         yield i, j
 
 
-def propose(batch: pa.Table) -> pa.Table:
-    """A bucket's block pair: a spanning forest of the pairs that survive the pruning."""
-    p = batch.to_pandas()
-    own = (p.qb == p.tb).to_numpy() if len(p) else np.zeros(0, bool)
-    same_block = bool(len(p)) and bool(own.all())
-    q = p if same_block else p[p.role == 0].reset_index(drop=True)
-    t = p if same_block else p[p.role == 1].reset_index(drop=True)
-    read = lambda d: np.frombuffer(b"".join(d.signature), dtype="<u4").reshape(len(d), HASHES)
-    x, y = read(q), read(t)
-    qi = np.arange(len(q))
-    ti = qi if same_block else len(q) + np.arange(len(t))
-    forest, a, b = Forest(len(q) + len(t)), [], []
-    for i, j in pair_ranges(len(q), len(t), same_block):
-        new = forest.apart(qi[i], ti[j])
-        i, j = i[new], j[new]
-        left = surviving(x, y, i, j)
-        i, j = i[left], j[left]
-        for k in range(len(i)):
-            if forest.join(int(qi[i[k]]), int(ti[j[k]])):
-                a.append(q.rep[i[k]])
-                b.append(t.rep[j[k]])
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verify(batch: pa.Table) -> pa.Table:
-    """A family's block pair: each node's links (weighted by copies), and a spanning forest of the links."""
-    p = batch.to_pandas()
-    same_block = bool(len(p)) and bool((p.qb == p.tb).all())
-    q = p if same_block else p[p.role == 0].reset_index(drop=True)
-    t = p if same_block else p[p.role == 1].reset_index(drop=True)
-    read = lambda d: np.frombuffer(b"".join(d.signature), dtype="<u4").reshape(len(d), HASHES)
-    x, y = read(q), read(t)
-    both = q if same_block else pd.concat([q, t], ignore_index=True)
-    shift = 0 if same_block else len(q)
-    sets = [np.frombuffer(s, dtype="<u8") for s in both.shingles]
-    size = np.array([len(s) for s in sets])
-    mult, total = both["mult"].to_numpy(), np.zeros(len(both), dtype=np.int64)
-    # shingles of one node alone can't be shared: the rest are numbered
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = times[number] > 1
-    of = np.repeat(np.arange(len(both)), size)[keep]
-    numbers = number[keep]
-    cuts = np.searchsorted(of, np.arange(len(both) + 1))
-    forest, a, b = Forest(len(both)), [], []
-    mark = np.zeros(len(times), dtype=bool)
-    for i, j in pair_ranges(len(q), len(t), same_block):
-        left = surviving(x, y, i, j)
-        i, j = i[left], j[left] + shift
-        for u in np.unique(i):  # rows of i against one marked set
-            js = j[i == u]
-            own = numbers[cuts[u] : cuts[u + 1]]
-            mark[own] = True
-            lens = cuts[js + 1] - cuts[js]
-            take = np.repeat(cuts[js] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            shared = np.bincount(np.repeat(np.arange(len(js)), lens), weights=mark[numbers[take]], minlength=len(js))
-            mark[own] = False
-            # as integers: shared / union >= 0.8
-            hit = js[1000 * shared >= round(1000 * THRESHOLD) * (size[u] + size[js] - shared)]
-            total[u] += mult[hit].sum()
-            total[hit] += mult[u]
-            for v in hit[forest.apart(np.full(len(hit), u), hit)]:
-                if forest.join(int(u), int(v)):
-                    a.append(both.rep[u])
-                    b.append(both.rep[v])
-    links = [0] * len(a)
-    some = np.flatnonzero(total)
-    a += both.rep.to_numpy()[some].tolist()
-    b += [None] * len(some)
-    links += total[some].tolist()
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["rep", "other", "links"])
+BUCKET = ["bucket", "band", "qb", "tb"]
+FAMILY = ["family", "qb", "tb"]
+#: Buckets up to this size are compared together, all their pairs in one array.
+SMALL = 32
+
+
+def read_signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, HASHES)
+
+
+def sides(t: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of both sides of a block pair; the same rows where a block meets itself."""
+    rows = np.arange(a, b)
+    if t.column("qb")[a] == t.column("tb")[a]:
+        return rows, rows, True
+    role = t.column("role").to_numpy()[a:b]
+    return rows[role == 0], rows[role == 1], False
+
+
+def propose(batches):
+    """Spanning forests of the pairs that survive the pruning in each bucket's block pair."""
+    for t in whole_groups(batches, BUCKET):
+        sig, rep = read_signatures(t.column("signature")), t.column("rep").to_numpy()
+        forest, a, b = Forest(t.num_rows), [], []
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            new = forest.apart(i, j)
+            i, j = i[new], j[new]
+            left = surviving(sig, sig, i, j)
+            i, j = i[left], j[left]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if forest.join(x, y):
+                    a.append(rep[x])
+                    b.append(rep[y])
+
+        starts = group_starts(t, BUCKET)
+        ends = np.r_[starts[1:], t.num_rows]
+        size = np.repeat(ends - starts, ends - starts)
+        small = np.flatnonzero(size <= SMALL)  # never several blocks
+        after = np.repeat(ends, ends - starts)[small] - small - 1
+        for part in np.array_split(np.arange(len(small)), max(1, int(after.sum()) // 200_000)):
+            n = after[part]
+            i = np.repeat(small[part], n)
+            link(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            if e - s > SMALL:
+                q, o, same = sides(t, s, e)
+                for i, j in pair_ranges(len(q), len(o), same):
+                    link(q[i], o[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def verify(batches):
+    """Each node's links in its family (weighted by copies), and spanning forests of the links."""
+    for t in whole_groups(batches, FAMILY):
+        sig, rep, mult = read_signatures(t.column("signature")), t.column("rep").to_numpy(), t.column("mult").to_numpy()
+        sets = [np.frombuffer(x, dtype="<u8") for x in t.column("shingles").to_pylist()]
+        starts = group_starts(t, FAMILY)
+        nodes, others, links = [], [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            q, o, same = sides(t, s, e)
+            size = np.array([len(x) for x in sets[s:e]])
+            # shingles of one node alone can't be shared: the others are numbered
+            _, number, times = np.unique(np.concatenate(sets[s:e]), return_inverse=True, return_counts=True)
+            keep = times[number] > 1
+            numbers = number[keep]
+            cuts = np.searchsorted(np.repeat(np.arange(e - s), size)[keep], np.arange(e - s + 1))
+            total, forest, mark = np.zeros(e - s, dtype=np.int64), Forest(e - s), np.zeros(len(times), dtype=bool)
+            for i, j in pair_ranges(len(q), len(o), same):
+                i, j = q[i], o[j]
+                left = surviving(sig, sig, i, j)
+                i, j = i[left] - s, j[left] - s
+                for u in np.unique(i):  # each set, marked, against all it is paired with
+                    js = j[i == u]
+                    own = numbers[cuts[u] : cuts[u + 1]]
+                    mark[own] = True
+                    n = cuts[js + 1] - cuts[js]
+                    take = np.repeat(cuts[js] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    shared = np.bincount(np.repeat(np.arange(len(js)), n), weights=mark[numbers[take]], minlength=len(js))
+                    mark[own] = False
+                    # in whole numbers: shared / union >= threshold
+                    hit = js[1000 * shared >= round(1000 * THRESHOLD) * (size[u] + size[js] - shared)]
+                    total[u] += mult[s + hit].sum()
+                    total[hit] += mult[s + u]
+                    for v in hit[forest.apart(np.full(len(hit), u), hit)]:
+                        if forest.join(int(u), int(v)):
+                            nodes.append(rep[s + u])
+                            others.append(rep[s + v])
+                            links.append(0)
+            some = np.flatnonzero(total)
+            nodes += rep[s + some].tolist()
+            others += [None] * len(some)
+            links += total[some].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(links, pa.int64())], names=["rep", "other", "links"])
 
 
 def block_pairs(rows: DataFrame, group: list[str], counts: DataFrame, block: int) -> DataFrame:
@@ -268,7 +290,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     banded = stored(bands(nodes), "bands")
     buckets = banded.groupBy("bucket", "band").agg(F.count("*").alias("_n")).where("_n > 1")
     members = banded.join(buckets.select("bucket", "band"), ["bucket", "band"], "left_semi").join(nodes.select("rep", "signature"), "rep")
-    proposed = block_pairs(members, ["bucket", "band"], buckets, BLOCK).groupBy("bucket", "band", "qb", "tb").applyInArrow(propose, "a long, b long")
+    dealt = block_pairs(members, ["bucket", "band"], buckets, BLOCK).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep")
+    proposed = dealt.mapInArrow(propose, "a long, b long")
     families = stored(components(proposed, "families").withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("_n"))
 
@@ -287,7 +310,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(sets, "rep long, family long, node string, shingles binary")
     rows = rows.dropDuplicates(["rep", "node"]).join(nodes.select("rep", "node", "mult", "signature"), ["rep", "node"])
     rows = rows.select("family", "rep", "mult", "signature", "shingles")
-    made = stored(block_pairs(rows, ["family"], sizes, BLOCK).groupBy("family", "qb", "tb").applyInArrow(verify, "rep long, other long, links long"), "links")
+    dealt = block_pairs(rows, ["family"], sizes, BLOCK).repartition(*FAMILY).sortWithinPartitions(*FAMILY, "rep")
+    made = stored(dealt.mapInArrow(verify, "rep long, other long, links long"), "links")
     links = made.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(made.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "classes")
     per_node = (
