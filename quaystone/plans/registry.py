@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_indicators, q_ranking, q_rules
+from . import q_indicators, q_ranking, q_rules, q_trades
 
-_PARTS = (q_indicators, q_ranking, q_rules)
+_PARTS = (q_indicators, q_ranking, q_rules, q_trades)
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL: dict = {name: s for part in _PARTS for name, s in part.SQL.items()}
