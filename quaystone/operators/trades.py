@@ -118,7 +118,7 @@ def performance(equity: DataFrame) -> DataFrame:
     """Total and annualised return, volatility, Sharpe and worst drawdown per run."""
     d = drawdowns(equity)
     out = d.groupBy("run_id").agg(
-        F.count("*").alias("n_days"), F.max_by("value", "date").alias("final"), F.min("drawdown").alias("max_drawdown"), F.min_by("date", "drawdown").alias("worst_date"),
+        F.count("*").alias("n_days"), F.max_by("value", "date").alias("final"), F.min("drawdown").alias("max_drawdown"), F.min(F.struct("drawdown", "date")).getField("date").alias("worst_date"),
         F.avg("step").alias("m"), F.stddev_pop("step").alias("s"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
     years = F.greatest(F.datediff("last_date", "first_date"), F.lit(1)) / 365
