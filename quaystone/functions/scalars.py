@@ -24,7 +24,8 @@ def safe_float(x, default: float = 0.0) -> Column:
 
 def clamp(x, lo: float, hi: float) -> Column:
     """Bounded; null and non-finite become ``lo``."""
-    return F.coalesce(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), finite(x))), F.lit(float(lo)))
+    x = finite(x)  # greatest and least skip nulls
+    return F.when(x.isNull(), float(lo)).otherwise(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def safe_div(a, b, default: float | None = None) -> Column:
