@@ -15,6 +15,8 @@ empty result; other columns are carried on request and those with a result's nam
 from __future__ import annotations
 
 import math
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from .common import Forest, Remembered, texts_of, with_text_columns
 
 #: Rows the model is fitted on at most: toxic, others.
-SAMPLE = (1500, 3000)
+SAMPLE = (1000, 2000)
 P_VALUE, MIN_PRECISION, MIN_COUNT, STEPS, L2 = 1e-6, 0.9, 5, 40, 1e-2
 #: Distinct tokens whose score a task remembers, in each of two generations.
 CACHE = 300_000
@@ -46,19 +48,25 @@ def tail(hits: int, n: int, share: float) -> float:
     return math.fsum(map(math.exp, logs))
 
 
-def toxic_features(toxic: list[set[str]], other: list[set[str]]) -> set[str]:
+def toxic_features(toxic: list[bytes], other: list[bytes], features_of) -> set[str]:
     """Features whose documents are toxic far beyond chance; a group of copies counts once."""
-    group = groups_of_copies([*toxic, *other])
-    hits: dict[str, set[int]] = {}
-    for k, d in enumerate([*toxic, *other]):
-        for f in d:
-            hits.setdefault(f, set()).add(int(group[k]))
+    docs = [*toxic, *other]
+    group = groups_of_copies([set(t.split()) for t in docs])
     bad = {int(x) for x in group[: len(toxic)]}
-    share = len(bad) / max(1, len(set(group.tolist())))
-    return {
-        f for f, g in hits.items()
-        if len(g) >= 3 and not f.startswith("*") and (a := len(g & bad)) >= MIN_PRECISION * len(g) and tail(a, len(g), min(share, 0.999)) < P_VALUE
-    }
+    share = min(0.999, len(bad) / max(1, len(set(group.tolist()))))
+    least = max(3, math.ceil(math.log(P_VALUE) / math.log(share)))
+    count: dict[str, int] = {}
+    for t in toxic:
+        for f in {f for w in set(t.split()) for f in features_of(w)}:
+            count[f] = count.get(f, 0) + 1
+    hits: dict[str, set[int]] = {f: set() for f, n in count.items() if n >= least and not f.startswith("*")}
+    del count
+    for k, t in enumerate(docs):
+        for w in set(t.split()):
+            for f in features_of(w):
+                if f in hits:
+                    hits[f].add(int(group[k]))
+    return {f for f, g in hits.items() if (a := len(g & bad)) >= MIN_PRECISION * len(g) and a >= 3 and tail(a, len(g), share) < P_VALUE}
 
 
 def chain_marginals(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -101,9 +109,9 @@ def chain_marginals(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return p, (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def groups_of_copies(docs: list[set[str]]) -> np.ndarray:
+def groups_of_copies(docs: list[set[bytes]]) -> np.ndarray:
     """Near copies share a number, so that a copied text counts once: equal pairs of MinHash values over rarer words."""
-    df: dict[str, int] = {}
+    df: dict[bytes, int] = {}
     for d in docs:
         for w in d:
             df[w] = df.get(w, 0) + 1
@@ -148,14 +156,16 @@ def fit(toxic: list[bytes], other: list[bytes]) -> dict:
     """Weights of the chain and of the calibration."""
     if not toxic:
         return {"weights": {}, "bias": -20.0, "trans": np.zeros((2, 2)), "final": np.array([-20.0, 0.0, 0.0])}
-    seen: dict[bytes, list[str]] = {}
+    seen: dict[bytes, tuple[str, ...]] = {}
 
-    def of(token: bytes) -> list[str]:
+    def of(token: bytes) -> tuple[str, ...]:
         if token not in seen:
-            seen[token] = features(token.decode(errors="replace"))
+            if len(seen) > 100_000:
+                seen.clear()
+            seen[token] = tuple(map(sys.intern, features(token.decode(errors="replace"))))
         return seen[token]
 
-    bad = toxic_features([{f for w in set(t.split()) for f in of(w)} for t in toxic], [{f for w in set(t.split()) for f in of(w)} for t in other])
+    bad = toxic_features(toxic, other, of)
     train = toxic + other[: len(toxic)]
     lines = [line for k, t in enumerate(train) for line in t.split(b"\n") if line.split()]
     from_toxic = [k < len(toxic) for k, t in enumerate(train) for line in t.split(b"\n") if line.split()]
@@ -169,9 +179,13 @@ def fit(toxic: list[bytes], other: list[bytes]) -> dict:
     for w in tokens:
         for f in of(w):
             count[f] = count.get(f, 0) + 1
-    idx = [[number.setdefault(f, len(number)) for f in of(w) if count[f] >= MIN_COUNT] for w in tokens]
-    at = np.repeat(np.arange(len(tokens)), [len(x) for x in idx])
-    flat = np.array([f for x in idx for f in x], dtype=np.int64)
+    flat, sizes = array("l"), array("l")
+    for w in tokens:
+        own = [number.setdefault(f, len(number)) for f in of(w) if count[f] >= MIN_COUNT]
+        flat.extend(own)
+        sizes.append(len(own))
+    at, flat = np.repeat(np.arange(len(tokens)), np.array(sizes, dtype=np.int64)), np.array(flat, dtype=np.int64)
+    del count
     v = np.zeros(len(number) + 5)  # weights, bias, transitions
     mom, var = np.zeros_like(v), np.zeros_like(v)
     inner = np.ones(len(tokens), dtype=bool)
@@ -186,10 +200,13 @@ def fit(toxic: list[bytes], other: list[bytes]) -> dict:
         mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
         v += 0.3 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     weights = {f: float(v[k]) for f, k in number.items()}
-    tokens, starts, lengths, doc = chains(train)
-    memo = {w: v[-5] + sum(weights.get(f, 0.0) for f in of(w)) for w in set(tokens)}
-    p, _ = chain_marginals(np.array([memo[w] for w in tokens]), starts, lengths, v[-4:].reshape(2, 2))
-    x, y = summary(p, doc, len(train)), np.r_[np.ones(len(toxic)), np.zeros(len(train) - len(toxic))]
+    parts = []
+    for k in range(0, len(train), 200):
+        tokens, starts, lengths, doc = chains(train[k : k + 200])
+        memo = {w: v[-5] + sum(weights.get(f, 0.0) for f in of(w)) for w in set(tokens)}
+        p, _ = chain_marginals(np.array([memo[w] for w in tokens]), starts, lengths, v[-4:].reshape(2, 2))
+        parts.append(summary(p, doc, len(train[k : k + 200])))
+    x, y = np.concatenate(parts), np.r_[np.ones(len(toxic)), np.zeros(len(train) - len(toxic))]
     final = np.zeros(3)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-(x @ final)))
@@ -202,11 +219,12 @@ def train_model(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_out:
     """Fit on labelled rows outside the held-out fold; at most SAMPLE rows, chosen by hash, come to the driver."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % fold != held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id")
-    picked = [
-        [r[0].encode() for r in rows.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("text").collect()]
-        for v, n in zip((1, 0), SAMPLE, strict=True)
-    ]
+    picked = []
+    for v, n in zip((1, 0), SAMPLE, strict=True):
+        # ids first: at most n rows are broadcast, so texts are neither shuffled nor sorted
+        ids = known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id")
+        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+        picked.append([r["text"].encode() for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
     return fit(*picked)
 
 
