@@ -152,8 +152,8 @@ def summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.ones(n), np.log1p(sure), top])
 
 
-def fit(toxic: list[bytes], other: list[bytes]) -> dict:
-    """Weights of the chain and of the calibration."""
+def fit(toxic: list[bytes], other: list[bytes], prior: float | None = None) -> dict:
+    """Weights of the chain and of the calibration; ``prior`` is the share of toxic labels."""
     if not toxic:
         return {"weights": {}, "bias": -20.0, "trans": np.zeros((2, 2)), "final": np.array([-20.0, 0.0, 0.0])}
     seen: dict[bytes, tuple[str, ...]] = {}
@@ -208,10 +208,14 @@ def fit(toxic: list[bytes], other: list[bytes]) -> dict:
         parts.append(summary(p, doc, len(train[k : k + 200])))
     x, y = np.concatenate(parts), np.r_[np.ones(len(toxic)), np.zeros(len(train) - len(toxic))]
     final = np.zeros(3)
+    # the sample is balanced, the labels are not: without the weights a text without evidence would score its half
+    prior = len(toxic) / (len(toxic) + max(1, len(other))) if prior is None else prior
+    w = np.where(y == 1, prior, (1 - prior) * len(toxic) / max(1, len(train) - len(toxic)))
+    ridge = 0.1 * w.mean()
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-(x @ final)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3)
-        final += np.linalg.solve(h, x.T @ (y - q) - 0.1 * final)
+        h = (x * (w * q * (1 - q))[:, None]).T @ x + ridge * np.eye(3)
+        final += np.linalg.solve(h, x.T @ (w * (y - q)) - ridge * final)
     return {"weights": weights, "bias": float(v[-5]), "trans": v[-4:].reshape(2, 2).copy(), "final": final}
 
 
@@ -219,13 +223,14 @@ def train_model(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_out:
     """Fit on labelled rows outside the held-out fold; at most SAMPLE rows, chosen by hash, come to the driver."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % fold != held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     picked = []
     for v, n in zip((1, 0), SAMPLE, strict=True):
         # ids first: at most n rows are broadcast, so texts are neither shuffled nor sorted
         ids = known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id")
         rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
         picked.append([r["text"].encode() for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
-    return fit(*picked)
+    return fit(*picked, prior=counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = None, with_spans: bool = False, prefix: str = "") -> DataFrame:
