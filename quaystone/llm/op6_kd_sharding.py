@@ -44,14 +44,20 @@ def document_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def points_of(rows: DataFrame, target: float) -> DataFrame:
-    """(k1, k2, parts, part, w, coordinates): one row for each group of equal texts, or each part of a heavy one."""
-    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("w"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target)))).cast("int")
-    split = groups.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def with_parts(rows: DataFrame, target: float) -> DataFrame:
+    """Rows with source and lang of their group and a part number: 0, or dealt by doc_id in a heavy group."""
+    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    groups = groups.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target)))).cast("int"))
+    joined = rows.drop("source", "lang").join(groups.drop("w"), ["k1", "k2"])
+    return joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
+
+
+def points_of(parted: DataFrame) -> DataFrame:
+    """(k1, k2, part, w, coordinates): one row for each group of equal texts, or each part of a heavy one."""
+    points = parted.groupBy("k1", "k2", "part").agg(F.sum("size").alias("w"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     size = F.least(F.lit(1.0), F.log2(F.col("size").cast("double")) / 40) * ((1 << BITS) - 1)
-    return split.select(
-        "k1", "k2", "parts", "part", (F.col("w") / F.col("parts")).alias("w"),
+    return points.select(
+        "k1", "k2", "part", F.col("w").cast("double").alias("w"),
         size.cast("int").alias("x_size"), scaled(F.xxhash64("source")).alias("x_source"),
         scaled(F.xxhash64("lang")).alias("x_lang"), scaled(F.xxhash64("k1", "k2", "part")).alias("x_text"),
         *(scaled(F.xxhash64("k1", "k2", "part", F.lit(d))).alias(d) for d in DIMS[METADATA:]),
@@ -128,12 +134,10 @@ def shard(docs: DataFrame, *, n_shards: int = N_SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = stored(document_rows(docs), "shard-rows")
     total = rows.agg(F.sum("size")).head()[0] or 0
-    points = stored(points_of(rows, total / n_shards), "shard-points")
-    tree = grow(points, n_shards)
-    placed = points.select("k1", "k2", "parts", "part", tree.expression().cast("int").alias("shard"))
-    parts = points.where("part = 0").select("k1", "k2", "parts")
-    heavy = rows.join(parts, ["k1", "k2"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    dealt = stored(heavy.join(placed.drop("parts"), ["k1", "k2", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
+    parted = stored(with_parts(rows, total / n_shards), "shard-parts")
+    points = stored(points_of(parted), "shard-points")
+    placed = points.select("k1", "k2", "part", grow(points, n_shards).expression().cast("int").alias("shard"))
+    dealt = stored(parted.join(placed, ["k1", "k2", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
     blocked = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)))
     counts = blocked.groupBy("shard", "_b").agg(F.count("*").alias("_n"))  # n_shards x BLOCKS rows
     starts = counts.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_from"))
