@@ -101,7 +101,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
     """``docs`` with text stripped of repeated lines, plus n_lines and n_dropped (long)."""
     spark = docs.sparkSession
     shared_dir(spark)
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [i / n_batches for i in range(1, n_batches)], 0.01)
+    ids = docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
+    cuts = ids.approxQuantile("d", [i / n_batches for i in range(1, n_batches)], 0.01) if n_batches > 1 else []
     bounds = sorted({int(x) for x in cuts})
     path = new_path(spark, "line-hashes")
     line_hashes(docs, bounds, min_chars).write.partitionBy("batch").parquet(path)
@@ -113,6 +114,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("k1", "k2")).alias("_gone"))
     )
+    mark = "_gone" + "_" * max(map(len, docs.columns))  # no column of docs has this name
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped", "text")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -122,7 +124,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
         for whole in batches:
             for part in slices(whole, "text"):
                 texts, n_lines, n_dropped = [], [], []
-                for text, gone in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_gone").to_pylist(), strict=True):
+                for text, gone in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column(mark).to_pylist(), strict=True):
                     n_lines.append(1 + (text or b"").count(b"\n"))
                     n_dropped.append(0)
                     if gone:
@@ -138,7 +140,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
                 )
 
     need = list(dict.fromkeys([*keep, "doc_id", "text"]))
-    return docs.select(*need).join(gone, "doc_id", "left").select(*need, "_gone").mapInArrow(run, schema)
+    joined = docs.select(*need).join(gone.select("doc_id", F.col("_gone").alias(mark)), "doc_id", "left")
+    return joined.select(*need, mark).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
