@@ -8,6 +8,7 @@ from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..operators import rules
 from ..sources import adapters as src
+from .q_indicators import RECURSIVE
 from .q_ranking import CAND
 from .sqltext import FEATURES, WIN, fullsql, r, rs
 
@@ -100,8 +101,35 @@ pick AS (
 PICK_COLS = ["up_prob", "dd_prob", "total", "expected_return", "mid_rank", "display_score", "stop_price", "take_price"]
 
 QUERIES = {"rule_signals": signals, "historical_picks": picks, "universe_screening": screening, "factor_contributions": explained, "daily_trade_plan": trade_plan}
+HEAD = RECURSIVE.rsplit("SELECT symbol, date,", 1)[0]
+SIGNALS = f"""{HEAD}, x1 AS (
+  SELECT symbol, date, close, {", ".join(f"{fullsql('avg', 'close', n)} AS ma{n}" for n in (5, 10, 20, 60))}, {fullsql('stddev_samp', 'close', 20)} AS dev, count(*) OVER (PARTITION BY symbol) >= 60 AS enough,
+    greatest(coalesce(close - lag(close) {WIN}, 0), 0) AS up_, greatest(-coalesce(close - lag(close) {WIN}, 0), 0) AS dn_ FROM weekly
+), x2 AS (SELECT *, {fullsql('avg', 'up_', 14)} AS g_, {fullsql('avg', 'dn_', 14)} AS l_ FROM x1),
+x3 AS (
+  SELECT x.symbol, x.date, close, {", ".join(f"CASE WHEN enough THEN coalesce(ma{n}, 0) ELSE 0 END AS ma{n}" for n in (5, 10, 20, 60))},
+    CASE WHEN enough THEN coalesce(ma20 + 2 * dev, 0) ELSE 0 END AS bu, CASE WHEN enough THEN coalesce(ma20 - 2 * dev, 0) ELSE 0 END AS bl,
+    CASE WHEN enough THEN e12 - e26 ELSE 0 END AS macd, CASE WHEN enough THEN sig ELSE 0 END AS sig,
+    coalesce(nullif(CASE WHEN NOT enough OR (l_ = 0 AND g_ = 0) THEN NULL WHEN l_ = 0 THEN 100.0 ELSE 100 - 100 / (1 + g_ / nullif(l_, 0)) END, 0), 50) AS rsi,
+    coalesce(nullif(CASE WHEN enough THEN kk END, 0), 50) AS k, coalesce(nullif(CASE WHEN enough THEN dd END, 0), 50) AS d, coalesce(nullif(CASE WHEN enough THEN 3 * kk - 2 * dd END, 0), 50) AS j
+  FROM x2 x JOIN e ON e.symbol = x.symbol AND e.date = x.date
+), x4 AS (
+  SELECT *, CASE WHEN macd - sig > 0 THEN CASE WHEN macd > sig THEN 20 ELSE 10 END WHEN macd < sig THEN -20 ELSE -10 END AS pm, CASE WHEN rsi > 70 THEN -15 WHEN rsi < 30 THEN 15 ELSE 0 END AS pr,
+    CASE WHEN k > d AND k > 50 THEN 15 WHEN k < d AND k < 50 THEN -15 ELSE 0 END AS pk, CASE WHEN j > 100 THEN -10 WHEN j < 0 THEN 10 ELSE 0 END AS pj,
+    CASE WHEN ma5 = 0 OR ma10 = 0 OR ma20 = 0 OR ma60 = 0 THEN 0 WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 THEN 20 WHEN close < ma5 AND ma5 < ma10 AND ma10 < ma20 THEN -20 ELSE 0 END AS pa,
+    CASE WHEN bu = 0 OR bl = 0 THEN 0 WHEN close > bu THEN 5 WHEN close < bl THEN 10 ELSE 0 END AS pb,
+    CASE WHEN macd - sig > 0 THEN CASE WHEN macd > sig THEN 15 ELSE 8 END WHEN macd < sig THEN 0 ELSE 3 END
+    + CASE WHEN ma5 = 0 OR ma10 = 0 OR ma20 = 0 THEN 0 WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 THEN 25 WHEN close < ma5 AND ma5 < ma10 AND ma10 < ma20 THEN 0 ELSE 10 END
+    + CASE WHEN rsi >= 40 AND rsi <= 60 THEN 15 WHEN rsi < 30 THEN 20 WHEN rsi > 70 THEN 5 ELSE 10 END + CASE WHEN k > d AND k > 50 THEN 20 WHEN k < d AND k < 50 THEN 0 ELSE 10 END
+    + CASE WHEN bu = 0 OR bl = 0 THEN 0 WHEN close < bl THEN 25 WHEN close > bu THEN 10 ELSE 15 END AS raw FROM x3
+), x5 AS (SELECT *, (pm + pr + pk + pj + pa + pb)::INT AS signal_score FROM x4)
+SELECT symbol, date, signal_score, CASE WHEN signal_score > 40 THEN 'strong_buy' WHEN signal_score > 20 THEN 'buy' WHEN signal_score > 0 THEN 'lean_buy' WHEN signal_score > -20 THEN 'hold' WHEN signal_score > -40 THEN 'sell' ELSE 'strong_sell' END AS signal,
+  signal_score > 0 AS trend_up, least(raw, 100)::INT AS technical_score, raw > 60 AS technical_trend_up,
+  concat_ws(',', CASE WHEN pm > 0 THEN 'macd_up' END, CASE WHEN pr > 0 THEN 'oversold' END, CASE WHEN pr < 0 THEN 'overbought' END, CASE WHEN pk > 0 THEN 'kd_up' END, CASE WHEN pa > 0 THEN 'ma_bull' END, CASE WHEN pa < 0 THEN 'ma_bear' END) AS codes FROM x5
+"""
 CONTRIB = " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS factor, coalesce({c}, 0) * {w} AS v FROM last" for c, w in WEIGHTS.items())
 SQL = {
+    "rule_signals": SIGNALS,
     "historical_picks": f"WITH {PICK} SELECT symbol, date, signal_score, penalty::INT AS penalty, action, confidence, {', '.join(f'{rs(c)} AS {c}' for c in PICK_COLS)} FROM pick",
     "daily_trade_plan": f"""WITH {PICK}, g AS (SELECT date, state, count(*) FILTER (WHERE action = 'buy') AS n_buy, count(*) FILTER (WHERE action = 'watch') AS n_watch, {rs('max(display_score)')} AS best FROM pick GROUP BY 1, 2)
 SELECT *, (CASE WHEN state = 'defensive' THEN least(8, 30, n_buy * 10) ELSE least(30, n_buy * 10) END)::INT AS exposure FROM g""",
