@@ -42,6 +42,8 @@ BLOCK = {
 #: What an opening tag closes first, up to the element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROOTS = {"article", "main"}
+#: Innermost block elements that make up a path.
+DEPTH = 64
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
@@ -57,8 +59,8 @@ def blocks_of(page: str) -> list[tuple[str, str, bool]]:
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []  # element, boilerplate
     buffer: list[str] = []
-    depth_bad = 0
-    path = ""
+    blocks: list[str] = []  # the block elements among them
+    depth_bad = roots = 0
 
     def flush() -> None:
         nonlocal buffer
@@ -66,12 +68,16 @@ def blocks_of(page: str) -> list[tuple[str, str, bool]]:
             text = SPACE.sub(" ", html_lib.unescape("".join(buffer))).strip()
             buffer = []
             if text:
-                out.append((path, text, any(n in ROOTS for n, _ in stack)))
+                out.append(("/".join(blocks[-DEPTH:]), text, roots > 0))
 
     def close(to: int) -> None:
-        nonlocal depth_bad
+        nonlocal depth_bad, roots
         while len(stack) > to:
-            depth_bad -= stack.pop()[1]
+            shut, bad = stack.pop()
+            depth_bad -= bad
+            roots -= shut in ROOTS
+            if shut in BLOCK:
+                blocks.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -106,7 +112,7 @@ def blocks_of(page: str) -> list[tuple[str, str, bool]]:
                         if stack[k][0] in BLOCK:
                             break
                 shut, bound = CLOSES.get(name, (set(), set()))
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if shut else ():
                     if stack[k][0] in bound:
                         break
                     if stack[k][0] in shut:
@@ -125,7 +131,9 @@ def blocks_of(page: str) -> list[tuple[str, str, bool]]:
                 bad = bool(HIDDEN.search(m[3])) or any(DROP_NAME.search(next(filter(None, v), "")) for v in NAMED.findall(m[3]))
             stack.append((name, bad))
             depth_bad += bad
-        path = "/".join(x for x, _ in stack if x in BLOCK)
+            roots += name in ROOTS
+            if name in BLOCK:
+                blocks.append(name)
     flush()
     return out
 
