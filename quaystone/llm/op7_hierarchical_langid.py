@@ -145,12 +145,17 @@ def train_model(docs: DataFrame, *, fold: int = 3, held_out: int = 1) -> dict:
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
     # languages with labels, the most frequent first; the bound on rows bounds their number too
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()]
-    texts, of = [], []
-    for lang in langs:
-        for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(20, SAMPLE // max(4, len(langs)))).select("text").collect():
-            if has_letter(t := r[0].encode()):
-                texts.append(t)
-                of.append(lang)
+    if not langs:
+        return fit([], [])
+    # ids first: at most SAMPLE rows are broadcast, so texts are neither sorted nor sent beyond the sample
+    each = max(20, SAMPLE // max(4, len(langs)))
+    chosen = [rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for x in langs]
+    ids = chosen[0]
+    for part in chosen[1:]:
+        ids = ids.union(part)
+    picked = rows.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).collect()
+    picked = [r for r in sorted(picked, key=lambda r: (r["lang"], r["doc_id"], r["text"])) if has_letter(r["text"].encode())]
+    texts, of = [r["text"].encode() for r in picked], [r["lang"] for r in picked]
     return fit(texts, of)
 
 
