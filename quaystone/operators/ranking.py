@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +134,7 @@ def factor_correlations(long: DataFrame, factors: list[str]) -> DataFrame:
     """Pearson and Spearman correlation of each factor with the return, per horizon; pairs must be finite."""
     each = F.array(*(F.struct(F.lit(f).alias("factor"), finite(f).alias("x")) for f in factors))
     t = long.select("horizon", finite("return_pct").alias("y"), F.explode(each).alias("e")).select("horizon", "y", "e.*").where("x is not null and y is not null")
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)  # read three times below; spills to disk, recomputed if lost
     # ranks within (horizon, factor): ties share their mean rank.  Values are counted first, so that the ordered
     # window runs over distinct values
     def avg_rank(c: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
@@ -30,7 +31,7 @@ def candidates(spark, d, limit=15):
 
 
 def labelled(spark, d):
-    c = candidates(spark, d)
+    c = candidates(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # read for keys, labels and factors
     lab = rk.forward_labels(c, panel(spark, d), min_amount=MIN_AMOUNT)
     return lab.join(c.select("trade_date", "symbol", "state", *FACTORS), ["trade_date", "symbol"])
 
