@@ -199,3 +199,53 @@ def test_streak_and_flow(spark):
     f = spark.createDataFrame([("s", "large", "buy", 10.0), ("s", "large", "sell", 4.0), ("s", "small", "sell", 1.0)], "symbol string, tier string, side string, amount double")
     g = flow.tier_summary(f).first()
     assert g.main_net == 6 and g.small_net == -1 and g.trend == "inflow" and g.control_ratio == pytest.approx(600 / 14)
+
+
+def test_payloads(spark):
+    from quaystone.sources import payloads
+
+    raw = spark.createDataFrame([("2025-01-03", "1.5", "2", "1", "1.8", "100", 3.0), ("20250102", "1", "2", "1", "1", "x", None), ("bad", "1", "1", "1", "1", "1", 0.0)], "`日期` string, `开盘` string, high string, low string, close string, vol string, pct_chg double")
+    got = payloads.normalize_history(raw).orderBy("date").collect()
+    assert [r.date for r in got] == [dt.date(2025, 1, 2), dt.date(2025, 1, 3)] and got[0].volume is None and got[1].open == 1.5 and got[1].pct_change == 3.0
+    with pytest.raises(ValueError):
+        payloads.normalize_history(raw.drop("close"))
+    short = spark.createDataFrame([('v="a~b";',)], "value string")
+    assert payloads.quote_lines(short).count() == 0
+    k = spark.createDataFrame([("s", '[["2025-01-02","1","2","3","0.5","9"],["2025-01-03","1"],["bad","1","2","3","4","5"]]')], "symbol string, payload string")
+    assert [(r.date, r.close, r.volume) for r in payloads.kline_json(k).collect()] == [(dt.date(2025, 1, 2), 2.0, 9.0)]
+    s = spark.createDataFrame([("sh600001", "5", None), ("12", "5", "x")], "symbol string, price string, industry string")
+    assert [tuple(r) for r in payloads.normalize_snapshot(s).collect()] == [("600001", 5.0, "unknown")]
+    assert spark.range(1).select(payloads.money_in_yuan(F.lit(12.5), F.lit("wan"))).first()[0] == 125000
+
+
+def test_range_join_buckets_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    b = spark.createDataFrame([("000001", day(int(i)), float(i)) for i in sorted(rng.choice(400, 150, replace=False))], "symbol string, date date, x double")
+    c = spark.createDataFrame([(day(int(i)), "000001", 1) for i in rng.choice(400, 20, replace=False)], "trade_date date, symbol string, rank_no int")
+    got = {(r.trade_date, r.date) for r in ranking.bars_ahead(c, b, 17).collect()}
+    want = {(x.trade_date, y.date) for x in c.collect() for y in b.collect() if 0 < (y.date - x.trade_date).days <= 17}
+    assert got == want
+
+
+def test_as_of_and_relaxed_selection(spark):
+    from quaystone.operators import scores
+
+    req = spark.createDataFrame([(1, "a", day(40)), (2, "a", day(5)), (3, "b", day(40))], "id int, k string, at date")
+    snap = spark.createDataFrame([("a", day(8), 1.0), ("a", day(39), 2.0), ("a", day(41), 3.0)], "k string, d date, v double")
+    got = {r.id: r.found_v for r in store.as_of(req, snap, "k", "at", "d").collect()}
+    assert got == {1: 2.0, 2: None, 3: None}
+    picks = spark.createDataFrame([(day(0), s) for s in (61.0, 58.0, 57.0, 40.0)], "date date, s double")
+    assert sorted(r.s for r in scores.relaxed_selection(picks, "s", threshold=60, need=3, floor=50).collect()) == [57.0, 58.0, 61.0]
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    from quaystone.streaming import jobs
+
+    ts = dt.datetime(2026, 1, 1)
+    rows = [(i, ts + dt.timedelta(minutes=i), i % 3, "purchase" if i % 4 else "view", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    df.repartition(4).write.parquet(f"file://{tmp_path}/events")
+    stream = lambda: jobs.event_stream(spark, f"file://{tmp_path}/events")
+    got = {r.user_id: r.value for r in jobs.run_available(jobs.latest_per_key(stream(), "user_id", "ts", "value"), spark, "update", ["user_id"]).collect()}
+    assert got == {0: 39.0, 1: 37.0, 2: 38.0}
+    assert jobs.run_available(jobs.deduplicated(stream(), ["event_id"], "ts"), spark, "append").count() == 40
