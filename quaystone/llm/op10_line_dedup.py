@@ -107,7 +107,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
     path = new_path(spark, "line-hashes")
     line_hashes(docs, bounds, min_chars).write.partitionBy("batch").parquet(path)
     hashes = spark.read.schema("doc_id long, k1 long, k2 long, batch int").parquet(path)
-    repeated = repeated_keys(hashes, len(bounds) + 1, fanout)
+    # written, so that both sides of the next join are plain exchanges and a common line's rows can be split
+    repeated = stored(repeated_keys(hashes, len(bounds) + 1, fanout), "repeated-lines")
     gone = (
         hashes.join(repeated, ["k1", "k2"])
         .where("owner < doc_id")
