@@ -45,7 +45,7 @@ def word_hashes() -> dict[str, int]:
 def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of every text, sorted within a text, and how many each has."""
     known = word_hashes()
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     flat, sizes = [], []
     for t in texts:
