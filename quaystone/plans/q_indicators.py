@@ -27,8 +27,7 @@ def rsi(spark, d):
 
 
 def recursive(spark, d):
-    weekly = ind.resample(src.bars(spark, d), "week")
-    return ind.recursive_indicators(weekly).select("symbol", "date", *(r(c).alias(c) for c in ("macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j")))
+    return ind.recursive_indicators(src.bars(spark, d)).select("symbol", "date", *(r(c).alias(c) for c in ("macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j")))
 
 
 def features(spark, d):

@@ -15,20 +15,15 @@ from .sqltext import FEATURES, WIN, fullsql, r, rs
 WEIGHTS = {"return_5d": 0.5, "return_20d": 0.3, "ma20_gap_pct": -0.4, "volatility_20d": -0.1, "volume_ratio_20": 2.0, "boll_position": 3.0}
 
 
-def weekly_indicators(spark, d):
-    return ind.all_indicators(ind.resample(src.bars(spark, d), "week"))
-
-
 def signals(spark, d):
-    out = rules.technical_score(rules.signal_score(weekly_indicators(spark, d)))
+    out = rules.technical_score(rules.signal_score(ind.all_indicators(src.bars(spark, d))))
     return out.select("symbol", "date", "signal_score", "signal", "trend_up", "technical_score", "technical_trend_up", F.concat_ws(",", "signal_codes").alias("codes"))
 
 
 def pick_panel(spark, d):
-    p = ind.rsi(ind.feature_frame(src.bars(spark, d)))
-    z = {c: F.lit(None).cast("double") for c in ("macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j")}
-    p = rules.signal_score(p.withColumns(z))
-    state = rk.market_state(p).select("date", "state")
+    features = ind.feature_frame(src.bars(spark, d))
+    p = rules.signal_score(ind.recursive_indicators(ind.rsi(features)))
+    state = rk.market_state(features).select("date", "state")
     return rules.relative_scores(rules.historical_pick(p.join(state, "date")))
 
 

@@ -57,7 +57,8 @@ def calibrated(spark, d):
 
 def recalibrated(spark, d):
     s = scored(spark, d)
-    return scores.recalibrated(s.withColumn("up_prob", F.lit(0.5)), s, EDGES).select("trade_date", "symbol", "bucket", r("up_calibrated").alias("up_calibrated"))
+    p = pick_panel(spark, d).select(F.col("date").alias("trade_date"), "symbol", "up_prob")
+    return scores.recalibrated(s.join(p, ["trade_date", "symbol"]), s, EDGES).select("trade_date", "symbol", "bucket", r("up_calibrated").alias("up_calibrated"))
 
 
 def quotes(spark, d):
