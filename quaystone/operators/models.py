@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +72,46 @@ def walk_forward(df: DataFrame, features: list[str], label: str, date: str, fold
     return out
 
 
+#: Rows of a block of queries and of samples.
+QUERY_BLOCK, SAMPLE_BLOCK = 1000, 4000
+
+
 def neighbour_evidence(queries: DataFrame, samples: DataFrame, k: int = 40) -> DataFrame:
-    """Mean label of the ``k`` nearest samples of each query (squared distance); a bounded query set against all rows."""
-    d = F.aggregate(F.zip_with("q.embedding", "s.embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = queries.alias("q").join(samples.alias("s"), F.col("q.label") == F.col("s.label")).where("q.vec_id <> s.vec_id")
-    near = pairs.select(F.col("q.vec_id").alias("vec_id"), F.col("s.vec_id").alias("other"), F.round(d + 1e-9, 6).alias("d"))
+    """Mean label and mean distance of the ``k`` nearest of all other samples of each query.
+
+    The distance is the root mean square over components, each scaled by its spread in ``samples`` (below 1e-6: as it
+    is). Missing components and labels count as 0. Every block of queries meets every block of samples, which gives at
+    most ``k`` rows a query; these are merged.
+    """
+    dim, n = samples.agg(F.max(F.size("embedding")), F.count("*")).first()
+    dim, sample_blocks = max(dim or 0, 1), n // SAMPLE_BLOCK + 1
+    query_blocks = queries.count() // QUERY_BLOCK + 1
+    whole = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.nanvl(F.get("embedding", i).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    spread = samples.select(F.posexplode(whole)).groupBy("pos").agg(F.stddev_pop("col").alias("s"))
+    std = [r.s if r.s >= 1e-6 else 1.0 for r in spread.orderBy("pos").collect()] or [1.0]  # one row for each component
+    block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    q = queries.select("vec_id", whole.alias("x"), block(query_blocks).alias("_q")).withColumn("_s", every(sample_blocks))
+    s = samples.select("vec_id", whole.alias("x"), F.coalesce(F.col("label").cast("double"), F.lit(0.0)).alias("label"), block(sample_blocks).alias("_s")).withColumn("_q", every(query_blocks))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        matrix = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) / std
+        a, b = matrix(left), matrix(right)
+        own = np.array(left.column("vec_id").fill_null(-1).to_pylist(), dtype=np.int64)
+        other = np.array(right.column("vec_id").fill_null(-1).to_pylist(), dtype=np.int64)
+        label = right.column("label").to_numpy()
+        found = []
+        for i, x in zip(own, a, strict=True):
+            d = np.round(np.sqrt(np.mean((b - x) ** 2, axis=1)) + 1e-9, 6)
+            at = np.flatnonzero(other != i)
+            if len(at) > k:
+                at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+            at = at[np.lexsort((other[at], d[at]))][:k]
+            found.append((np.full(len(at), i), other[at], d[at], label[at]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["vec_id", "other", "d", "label"])
+
+    near = q.groupBy("_q", "_s").cogroup(s.groupBy("_q", "_s")).applyInArrow(nearest, "vec_id long, other long, d double, label double")
     w = Window.partitionBy("vec_id").orderBy("d", "other")
-    return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).groupBy("vec_id").agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), F.min_by("other", "pos").alias("nearest"))
+    best = near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return best.groupBy("vec_id").agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), F.min_by("other", "pos").alias("nearest"), F.avg("label").alias("mean_label"))

@@ -161,7 +161,7 @@ def walk_forward(spark, d):
 
 def neighbours(spark, d):
     e = src.table(spark, d, "embeddings").where("embedding is not null")
-    return ml.neighbour_evidence(e.where("vec_id % 50 = 0"), e).select("vec_id", "n", r("avg_d", 3).alias("avg_d"), "nearest")
+    return ml.neighbour_evidence(e.where("vec_id % 50 = 0"), e).select("vec_id", "n", r("avg_d", 3).alias("avg_d"), "nearest", r("mean_label").alias("mean_label"))
 
 
 # streams

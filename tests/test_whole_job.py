@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.operators import rules
+from quaystone.operators import models, rules
 from quaystone.plans import q_rules, registry
 from quaystone.sources import adapters as src
 
@@ -80,3 +80,22 @@ def test_recalibrated_blends_the_picks_probability(spark):
     assert len(m) == len(got) > 0
     want = np.where(m.calibrated, 0.4 * m.up_prob + 0.6 * m.wins / m.n, m.up_prob)
     np.testing.assert_allclose(m.up_calibrated, want, atol=1e-4)
+
+
+def test_neighbours_of_every_label(spark, monkeypatch):
+    monkeypatch.setattr(models, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(models, "SAMPLE_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4)) * [1, 100, 0.01, 0]
+    label = [None if i % 9 == 0 else int(i % 3) for i in range(120)]
+    df = spark.createDataFrame([(i, v.tolist(), label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in models.neighbour_evidence(df.where("vec_id % 10 = 0"), df, 7).collect()}
+    x = x.astype(np.float32).astype(float)
+    std = x.std(axis=0)
+    std[std < 1e-6] = 1
+    assert sorted(got) == list(range(0, 120, 10))
+    for i, r in got.items():
+        d = np.round(np.sqrt(np.mean(((x - x[i]) / std) ** 2, axis=1)) + 1e-9, 6)
+        near = [j for j in np.lexsort((np.arange(120), d)) if j != i][:7]
+        assert (r.n, r.nearest) == (7, near[0]) and r.avg_d == pytest.approx(d[near].mean())
+        assert r.mean_label == pytest.approx(np.mean([label[j] or 0 for j in near]))
