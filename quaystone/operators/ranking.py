@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, finite, limit_band, safe_div, truthy
@@ -187,8 +187,24 @@ def coverage(requested: DataFrame, available: DataFrame) -> DataFrame:
     """Requested dates that are missing, the counts and a status; both inputs have a date column."""
     missing = requested.join(available.select("date").distinct(), "date", "left_anti")
     n = requested.agg(F.count("*").alias("n_requested")).crossJoin(missing.agg(F.count("*").alias("n_missing"), F.min("date").alias("first_missing")))  # one row each
-    status = F.when(F.col("n_missing") == F.col("n_requested"), "blocked").when(F.col("n_missing") > 0, "partial").otherwise("complete")
-    return n.withColumn("status", status)
+    return n.withColumn("status", coverage_status())
+
+
+def coverage_status() -> Column:
+    return F.when(F.col("n_missing") == F.col("n_requested"), "blocked").when(F.col("n_missing") > 0, "partial").otherwise("complete")
+
+
+def coverage_by(requested: DataFrame, available: DataFrame, key: str) -> DataFrame:
+    """Coverage of the requested dates for each key; a row without a date only names its key."""
+    numbered = requested.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # one row for each date
+    total = numbered.agg(F.count("*").alias("n_requested"))
+    have = available.select(key, "date").distinct().join(numbered, "date", "left")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("_i")))
+    gap = F.min(F.when(F.col("_i") > F.col("_p"), F.col("_p")))  # the first number that is passed over
+    g = have.withColumn("_p", place).groupBy(key).agg(F.count("_i").alias("_n"), gap.alias("_gap")).crossJoin(total)  # one row
+    g = g.withColumn("n_missing", F.col("n_requested") - F.col("_n")).withColumn("_i", F.when(F.col("n_missing") > 0, F.coalesce("_gap", F.col("_n") + 1)).cast("int"))
+    out = g.join(numbered.withColumnRenamed("date", "first_missing"), "_i", "left").withColumn("status", coverage_status())
+    return out.select(key, "n_requested", "n_missing", "first_missing", "status")
 
 
 def union_of(parts: list[DataFrame]) -> DataFrame:

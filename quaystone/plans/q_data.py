@@ -101,8 +101,10 @@ def preferred(spark, d):
 
 
 def source_fallback(spark, d):
+    """A symbol's supplier bars, or else the closes of the part of that number."""
     b = src.bars(spark, d).select("symbol", "date", r("close").alias("close"))
-    return st.first_source([b.where("date < '1995-03-01' and symbol < '000050'"), b.where("date >= '1998-01-01'")], "symbol")
+    parts = src.trades(spark, d).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("price", "seq").alias("close"))
+    return st.first_source([b, parts.select("symbol", "date", r("close").alias("close"))], "symbol")
 
 
 def order_quotes(spark, d):

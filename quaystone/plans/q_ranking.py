@@ -92,10 +92,11 @@ def states(spark, d):
 
 
 def covered(spark, d):
-    b = src.bars(spark, d).where("symbol = '000001'")
-    span = src.bars(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    b = src.bars(spark, d).select("symbol", "date")
+    span = b.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     wanted = span.select(F.explode(F.sequence("a", "b")).alias("date"))
-    return rk.coverage(wanted, b).select("n_requested", "n_missing", "first_missing", "status")
+    known = src.industry(spark, d).select("symbol", F.lit(None).cast("date").alias("date"))
+    return rk.coverage_by(wanted, b.unionByName(known), "symbol").select("symbol", "n_requested", "n_missing", "first_missing", "status")
 
 
 #: ... -> cand: the 15 best of each date, with the market state.

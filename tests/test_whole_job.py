@@ -1,11 +1,13 @@
 """The whole job of queries whose SQL states less: against folds in pandas on the smallest tables."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.operators import models, rules
+from quaystone.operators import models, ranking, rules
 from quaystone.plans import q_rules, registry
 from quaystone.sources import adapters as src
 
@@ -99,3 +101,27 @@ def test_neighbours_of_every_label(spark, monkeypatch):
         near = [j for j in np.lexsort((np.arange(120), d)) if j != i][:7]
         assert (r.n, r.nearest) == (7, near[0]) and r.avg_d == pytest.approx(d[near].mean())
         assert r.mean_label == pytest.approx(np.mean([label[j] or 0 for j in near]))
+
+
+def test_source_fallback_takes_whole_sources(spark):
+    got = registry.QUERIES["source_fallback"](spark, DATA).toPandas()
+    line = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("date")).toPandas()
+    suppliers = {(f"{k:06d}", d) for k, d in zip(line.l_suppkey, line.date, strict=True)}
+    first = {s for s, _ in suppliers}
+    parts = {(f"{k:06d}", d) for k, d in zip(line.l_partkey, line.date, strict=True)}
+    assert first & {s for s, _ in parts} and {s for s, _ in parts} - first
+    assert sorted(zip(got.symbol, got.date, strict=True)) == sorted(suppliers | {x for x in parts if x[0] not in first})
+
+
+def test_coverage_of_every_symbol(spark):
+    day = lambda i: dt.date(2026, 1, 1) + dt.timedelta(days=i)
+    have = {"all": {0, 1, 2, 3}, "late": {2, 3, 9}, "gap": {0, 2, 3}, "end": {0, 1}, "none": set()}
+    wanted = spark.createDataFrame([(day(i),) for i in (0, 1, 2, 3, 3)], "date date")
+    df = spark.createDataFrame([(s, day(i)) for s, days in have.items() for i in [*days, *days]] + [("none", None), ("gap", None)], "symbol string, date date")
+    got = {r.symbol: (r.n_requested, r.n_missing, r.first_missing, r.status) for r in ranking.coverage_by(wanted, df, "symbol").collect()}
+    for s, days in have.items():
+        miss = [i for i in range(4) if i not in days]
+        assert got.pop(s) == (4, len(miss), day(miss[0]) if miss else None, "blocked" if len(miss) == 4 else "partial" if miss else "complete")
+    assert not got
+    rows = registry.QUERIES["date_coverage"](spark, DATA).collect()
+    assert sorted(r.symbol for r in rows) == sorted(r.symbol for r in src.industry(spark, DATA).unionByName(src.bars(spark, DATA).select("symbol"), allowMissingColumns=True).select("symbol").distinct().collect())
