@@ -52,13 +52,21 @@ def first_source(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 def as_of(requests: DataFrame, snapshots: DataFrame, key: str, at: str, date: str, days: int = 30) -> DataFrame:
-    """Newest snapshot of the key at or before each request within ``days``; bucketed, so that it is an equi-join."""
+    """Newest snapshot of the key at or before each request, however old.
+
+    Buckets of ``days`` make it an equi-join: a request meets the snapshots of its own bucket, and where none is early
+    enough the last one of the buckets before, carried over (one row for each key and bucket).
+    """
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
-    wide = requests.withColumn("_b", F.explode(F.array(number(at), number(at) - 1)))
-    s = snapshots.select(key, F.col(date).alias("_d"), F.struct(*[c for c in snapshots.columns if c != key]).alias("_s"), number(date).alias("_b"))
-    hit = wide.join(s, [key, "_b"]).where((F.col("_d") <= F.col(at)) & (F.datediff(F.col(at), F.col("_d")) <= days))
-    found = hit.groupBy(*requests.columns).agg(F.max_by("_s", "_d").alias("_s"))
-    return requests.join(found, requests.columns, "left").select(*requests.columns, *(F.col(f"_s.{c}").alias(f"found_{c}") for c in snapshots.columns if c != key))
+    ask = requests.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct().withColumn("_b", number(at))
+    s = snapshots.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(key, F.col(date).alias("_d"), F.struct(*[c for c in snapshots.columns if c != key]).alias("_s"), number(date).alias("_b"))
+    recent = ask.join(s, [key, "_b"]).where(F.col("_d") <= F.col(at)).groupBy(key, at).agg(F.max_by("_s", "_d").alias("_recent"))
+    last = s.groupBy(key, "_b").agg(F.max_by("_s", "_d").alias("_last"))
+    marks = last.join(ask.select(key, "_b").distinct(), [key, "_b"], "full_outer")
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(key, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    found = ask.join(carried, [key, "_b"]).join(recent, [key, at], "left").select(key, at, F.coalesce("_recent", "_carried").alias("_s"))
+    return requests.join(found, [key, at], "left").select(*requests.columns, *(F.col(f"_s.{c}").alias(f"found_{c}") for c in snapshots.columns if c != key))
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:

@@ -109,9 +109,9 @@ def source_fallback(spark, d):
 
 def order_quotes(spark, d):
     b = src.bars(spark, d).select("symbol", F.col("date").alias("bar_date"), r("close").alias("close"))
-    req = orders(spark, d).select("o_orderkey", F.lpad((F.col("o_custkey") % 100).cast("string"), 6, "0").alias("symbol"), F.to_date("o_orderdate").alias("at"))
+    req = orders(spark, d).select("o_orderkey", F.format_string("%06d", "o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("at"))
     out = st.as_of(req, b, "symbol", "at", "bar_date")
-    return out.select("o_orderkey", "symbol", "at", F.col("found_bar_date").alias("bar_date"), F.col("found_close").alias("close"))
+    return out.select("o_orderkey", "symbol", "at", F.col("found_bar_date").alias("bar_date"), F.col("found_close").alias("close"), F.datediff("at", "found_bar_date").alias("age_days"))
 
 
 def paged(spark, d):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.operators import models, ranking, rules
+from quaystone.operators import models, ranking, rules, store
 from quaystone.plans import q_rules, registry
 from quaystone.sources import adapters as src
 
@@ -125,3 +125,25 @@ def test_coverage_of_every_symbol(spark):
     assert not got
     rows = registry.QUERIES["date_coverage"](spark, DATA).collect()
     assert sorted(r.symbol for r in rows) == sorted(r.symbol for r in src.industry(spark, DATA).unionByName(src.bars(spark, DATA).select("symbol"), allowMissingColumns=True).select("symbol").distinct().collect())
+
+
+def test_as_of_looks_back_without_bound(spark):
+    rng = np.random.default_rng(6)
+    day = lambda i: dt.date(2026, 1, 1) + dt.timedelta(days=int(i))
+    snaps = {("a", int(i)) for i in rng.choice(2000, 12, replace=False)} | {("b", 0), ("c", 1999)}
+    asks = [(n, k, int(i)) for n, (k, i) in enumerate(zip(rng.choice(["a", "b", "c", "d"], 200), rng.integers(0, 2000, 200), strict=True))]
+    req = spark.createDataFrame([(n, k, day(i), None) for n, k, i in asks] * 2 + [(-1, None, day(5), None), (-2, "a", None, None)], "id int, k string, at date, note string")
+    snap = spark.createDataFrame([(k, day(i), i) for k, i in snaps] + [("a", None, -1)], "k string, d date, v int")
+    rows = store.as_of(req, snap, "k", "at", "d").collect()
+    want = {n: max((j for s, j in snaps if s == k and j <= i), default=None) for n, k, i in asks} | {-1: None, -2: None}
+    assert len(rows) == 402 and all(r.found_v == want[r.id] for r in rows)
+    assert sum(want[n] is not None and i - want[n] > 60 for n, _, i in asks) > 50
+
+
+def test_quotes_of_the_orders_own_keys(spark):
+    got = registry.QUERIES["as_of_quotes"](spark, DATA).toPandas().set_index("o_orderkey").sort_index()
+    o = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("at")).toPandas().set_index("o_orderkey").sort_index()
+    bars = src.bars(spark, DATA).select("symbol", "date").toPandas().groupby("symbol").date.apply(sorted).to_dict()
+    assert got.index.equals(o.index)
+    want = [max((d for d in bars.get(f"{k:06d}", []) if d <= at), default=None) for k, at in zip(o.o_custkey, o["at"], strict=True)]
+    assert [None if pd.isna(x) else x for x in got.bar_date] == want and any(want)
