@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """``events`` as a stream of files; a path pattern also takes a table that is one file."""
+    """``events`` as a stream of files; a path pattern also takes a table that is one file.
+
+    All files that are there come in one trigger: files are in no order of time, so one by one the watermark of the
+    first would drop older rows of the next, and positions would be folded in file order.
+    """
     batch = spark.read.parquet(path)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -57,8 +63,16 @@ def running_positions(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(_fold, POSITION, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def dropped_rows(query) -> int:
+    """Rows that a finished query left out as later than its watermark."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def run_available(df: DataFrame, spark: SparkSession, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a query over what is there and read the result back from the shared folder; ``keys`` keep the last update."""
+    """Run a query over what is there and read the result back from the shared folder; ``keys`` keep the last update.
+
+    Rows dropped by the watermark are reported as a warning.
+    """
     import tempfile
     import uuid
 
@@ -68,7 +82,10 @@ def run_available(df: DataFrame, spark: SparkSession, mode: str, keys: list[str]
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{path}/out")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    if dropped := dropped_rows(query):
+        warnings.warn(f"{dropped} late rows were dropped by the watermark", stacklevel=2)
     schema = T.StructType([*df.schema.fields, T.StructField("_epoch", T.LongType())])
     out = spark.read.schema(schema).parquet(f"{path}/out")
     if keys:

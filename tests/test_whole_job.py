@@ -1,6 +1,8 @@
 """The whole job of queries whose SQL states less: against folds in pandas on the smallest tables."""
 
 import datetime as dt
+import os
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from quaystone.operators import models, ranking, rules, store
 from quaystone.plans import q_rules, registry
 from quaystone.sources import adapters as src
+from quaystone.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 RECURSIVE = ["macd", "macd_signal", "macd_hist", "kdj_k", "kdj_d", "kdj_j"]
@@ -147,3 +150,45 @@ def test_quotes_of_the_orders_own_keys(spark):
     assert got.index.equals(o.index)
     want = [max((d for d in bars.get(f"{k:06d}", []) if d <= at), default=None) for k, at in zip(o.o_custkey, o["at"], strict=True)]
     assert [None if pd.isna(x) else x for x in got.bar_date] == want and any(want)
+
+
+def late_first(spark, path):
+    """Files in reverse order of time; three, as Spark drops by the watermark of the batch before the last."""
+    ts = dt.datetime(2026, 1, 1)
+    rows = [(i, ts + dt.timedelta(hours=i), i % 3, "purchase" if i % 4 else "view", float(i)) for i in range(400)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    seen = set()
+    for k, part in enumerate((rows[270:], rows[130:270], rows[:130])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{path}/events.parquet")
+        for f in set(path.glob("events.parquet/*.parquet")) - seen:
+            os.utime(f, (1.7e9 + k, 1.7e9 + k))
+            seen.add(f)
+    return rows
+
+
+def test_streams_count_files_in_reverse_order(spark, tmp_path):
+    rows = late_first(spark, tmp_path)
+    d = f"file://{tmp_path}"
+    df = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        bars = registry.QUERIES["stream_daily_bars"](spark, d).collect()
+        counts = {r.event_type: r.n for r in registry.QUERIES["stream_deduplicated"](spark, d).collect()}
+    want = df.groupby(["event_type", df.ts.dt.floor("D")]).value.agg(["first", "max", "min", "last", "count"])
+    assert {(r.event_type, pd.Timestamp(r.start)): (r.open, r.high, r.low, r.close, r.n) for r in bars} == {k: tuple(v) for k, v in zip(want.index, want.itertuples(index=False), strict=True)}
+    assert counts == df.groupby("event_type").event_id.count().to_dict()
+    position = {}
+    for r in df.itertuples():
+        q, c, n = position.get(r.user_id, (0.0, 0.0, 0))
+        q, c = (q + 1, c + r.value) if r.event_type == "purchase" else (q - 1, c * (q - 1) / q) if q > 0 else (q, c)
+        position[r.user_id] = (q, c, n + 1)
+    got = {r.user_id: (r.qty, r.cost, r.n) for r in registry.QUERIES["stream_positions"](spark, d).collect()}
+    assert got == {u: (q, pytest.approx(c, abs=1e-3), n) for u, (q, c, n) in position.items()}
+
+
+def test_dropped_rows_are_reported(spark, tmp_path):
+    late_first(spark, tmp_path)
+    batch = spark.read.parquet(f"file://{tmp_path}/events.parquet")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events.parquet")
+    with pytest.warns(UserWarning, match="late rows were dropped"):
+        jobs.run_available(jobs.tumbling_bars(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "value"), spark, "update", ["event_type", "start"])
