@@ -1,11 +1,12 @@
 """Sharding by a k-d tree over document metadata.
 
-A point is a group of equal texts (weight: its bytes; coordinates: log size, source, language, text hash).
+A point is a group of equal texts (weight: its bytes; coordinates: source, language, log size).
 From the root on, each node is cut along its widest dimension at the weighted quantile that splits its
-leaves, found with two distributed histograms (coarse, then exact values); where ties or heavy texts would
-unbalance the halves, the next widest is used, at last a further hash order.  Leaves are shards of nearly equal bytes (law `bytes`).
-Equal texts stay together; a group above GROUP_SHARE of a shard is dealt out by doc_id, as one shard could
-not hold it.  Only histograms (bounded by shards x dimensions x 1024) reach the driver.
+leaves, found with four distributed histograms, each of STEP further bits; a text hash only parts ties.
+Leaves are shards of nearly equal bytes (law `bytes`).  Equal texts stay together: a group above GROUP_SHARE
+of a shard is placed whole, largest first, and the cuts balance around it; only a group above a shard is dealt
+out by doc_id, as one shard could not hold it.  Only histograms (bounded by shards x dimensions x 1024) and the
+groups placed whole (at most shards / GROUP_SHARE, and texts longer than a shard) reach the driver.
 
 Defined cases: null text counts as empty (16 bytes); null source, lang or doc_id are values of their own;
 rows that repeat a doc_id each get a slot; fewer groups than shards leave shards empty; an empty table gives
@@ -14,16 +15,16 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-N_SHARDS, GROUP_SHARE, TOLERANCE, BITS, BLOCKS = 40, 0.1, 0.005, 20, 32
-#: Metadata dimensions, then further hash orders used only where no metadata cut is even enough.
-DIMS = ("x_size", "x_source", "x_lang", "x_text", "x_h1", "x_h2", "x_h3", "x_h4")
-METADATA = 4
+N_SHARDS, GROUP_SHARE, TOLERANCE, BITS, STEP, BLOCKS = 40, 0.1, 0.005, 20, 10, 32
+#: Metadata dimensions: BITS bits of the metadata, then BITS bits of a text hash that only part ties.
+DIMS = ("x_source", "x_lang", "x_size")
 
 
 def scaled(hashed: Column) -> Column:
@@ -45,9 +46,10 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def with_parts(rows: DataFrame, target: float) -> DataFrame:
-    """Rows with source and lang of their group and a part number: 0, or dealt by doc_id in a heavy group."""
+    """Rows with source and lang of their group and a part number: 0, or dealt by doc_id in a group above a shard."""
     groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    groups = groups.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target)))).cast("int"))
+    fine = F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target))).cast("int")
+    groups = groups.withColumn("parts", F.when(F.col("w") > max(1.0, target), fine).otherwise(1))
     joined = rows.drop("source", "lang").join(groups.drop("w"), ["k1", "k2"])
     return joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
 
@@ -56,12 +58,9 @@ def points_of(parted: DataFrame) -> DataFrame:
     """(k1, k2, part, w, coordinates): one row for each group of equal texts, or each part of a heavy one."""
     points = parted.groupBy("k1", "k2", "part").agg(F.sum("size").alias("w"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     size = F.least(F.lit(1.0), F.log2(F.col("size").cast("double")) / 40) * ((1 << BITS) - 1)
-    return points.select(
-        "k1", "k2", "part", F.col("w").cast("double").alias("w"),
-        size.cast("int").alias("x_size"), scaled(F.xxhash64("source")).alias("x_source"),
-        scaled(F.xxhash64("lang")).alias("x_lang"), scaled(F.xxhash64("k1", "k2", "part")).alias("x_text"),
-        *(scaled(F.xxhash64("k1", "k2", "part", F.lit(d))).alias(d) for d in DIMS[METADATA:]),
-    )
+    order = {"x_source": scaled(F.xxhash64("source")), "x_lang": scaled(F.xxhash64("lang")), "x_size": size}
+    tie = lambda d: scaled(F.xxhash64("k1", "k2", "part", F.lit(d)))
+    return points.select("k1", "k2", "part", F.col("w").cast("double").alias("w"), *((F.shiftleft(order[d].cast("long"), BITS) + tie(d)).alias(d) for d in DIMS))
 
 
 class Node:
@@ -81,45 +80,44 @@ class Node:
         return [self] if self.leaves > 1 else []
 
 
-def grow(points: DataFrame, n_shards: int) -> Node:
-    """Split level by level until every leaf is one shard."""
-    root, low = Node(0, n_shards), BITS // 2
+def grow(points: DataFrame, room: list[float]) -> Node:
+    """Split level by level until every leaf is one shard; weights go to leaves in proportion to their room."""
+    root = Node(0, len(room))
     stuck: set[int] = set()
     while nodes := {n.first: n for n in root.open() if n.first not in stuck}:
         at = points.select(root.expression().alias("node"), "w", *DIMS).where(F.col("node").isin(list(nodes)))
         extent = {r["node"]: r for r in at.groupBy("node").agg(F.sum("w").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in DIMS), *(F.max(d).alias(f"hi_{d}") for d in DIMS)).collect()}
         stuck |= {k for k in nodes if k not in extent or all(extent[k][f"lo_{d}"] == extent[k][f"hi_{d}"] for d in DIMS)}
         long = at.select("node", "w", F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(d).alias("x")) for i, d in enumerate(DIMS)))).alias("c")).select("node", "w", "c.dim", "c.x")
-        coarse: dict = {}
-        for r in long.groupBy("node", "dim", F.shiftright("x", low).alias("bin")).agg(F.sum("w").alias("w")).collect():
-            coarse.setdefault((r["node"], r["dim"]), {})[r["bin"]] = r["w"]
-        crossing = {}
-        for (k, d), bins in coarse.items():
-            goal, below = extent[k]["w"] * (nodes[k].leaves // 2) / nodes[k].leaves, 0.0
-            for b in sorted(bins):
-                if below + bins[b] >= goal or b == max(bins):
-                    crossing[k, d] = (b, below, goal)
-                    break
-                below += bins[b]
-        wanted = F.create_map(*(x for (k, d), (b, _, _) in crossing.items() for x in (F.lit(k * len(DIMS) + d), F.lit(b)))) if crossing else F.create_map().cast("map<int,int>")
-        fine: dict = {}
-        inside = long.where(F.try_element_at(wanted, F.col("node") * len(DIMS) + F.col("dim")) == F.shiftright("x", low))
-        for r in inside.groupBy("node", "dim", "x").agg(F.sum("w").alias("w")).collect():
-            fine.setdefault((r["node"], r["dim"]), {})[r["x"]] = r["w"]
+        goal, options, prefix, below = {}, {}, {}, {}
+        for k in set(nodes) & set(extent):
+            own = room[k : k + nodes[k].leaves]
+            share = sum(own[: len(own) // 2]) / sum(own) if sum(own) else (len(own) // 2) / len(own)
+            for d in range(len(DIMS)):
+                goal[k, d], options[k, d], prefix[k, d], below[k, d] = extent[k]["w"] * share, [], 0, 0.0
+        for low in range(2 * BITS - STEP, -1, -STEP):  # STEP bits more of the weighted quantile each time
+            wanted = F.create_map(*(x for (k, d), v in prefix.items() for x in (F.lit(k * len(DIMS) + d), F.lit(v).cast("long")))) if prefix else F.create_map().cast("map<int,bigint>")
+            inside = long.where(F.try_element_at(wanted, F.col("node") * len(DIMS) + F.col("dim")) == F.shiftright("x", low + STEP))
+            bins: dict = {}
+            for r in inside.groupBy("node", "dim", F.shiftright("x", low).alias("bin")).agg(F.sum("w").alias("w")).collect():
+                bins.setdefault((r["node"], r["dim"]), {})[r["bin"]] = r["w"]
+            for kd, found in bins.items():
+                for x in sorted(found):
+                    options[kd].append((((x << low) - 1), below[kd]))
+                    if below[kd] + found[x] >= goal[kd] or x == max(found):
+                        prefix[kd] = x
+                        options[kd].append((((x + 1) << low) - 1, below[kd] + found[x]))
+                        break
+                    below[kd] += found[x]
         for k, node in nodes.items():
             if k in stuck:
                 continue
-            widest = sorted(range(METADATA), key=lambda d: extent[k][f"lo_{DIMS[d]}"] - extent[k][f"hi_{DIMS[d]}"])
+            widest = sorted(range(len(DIMS)), key=lambda d: (extent[k][f"lo_{DIMS[d]}"] >> BITS) - (extent[k][f"hi_{DIMS[d]}"] >> BITS))
             best = None
-            for d in [*widest, *range(METADATA, len(DIMS))]:
-                b, left, goal = crossing[k, d]
-                top, options = extent[k][f"hi_{DIMS[d]}"], [((b << low) - 1, left)]
-                for x in sorted(fine.get((k, d), {})):
-                    left += fine[k, d][x]
-                    options.append((x, left))
-                options = [(abs(w - goal), d, x) for x, w in options if extent[k][f"lo_{DIMS[d]}"] <= x < top]
-                if options and (best is None or min(options)[0] < best[0]):
-                    best = min(options)
+            for d in widest:
+                fit = [(abs(w - goal[k, d]), d, x) for x, w in options[k, d] if extent[k][f"lo_{DIMS[d]}"] <= x < extent[k][f"hi_{DIMS[d]}"]]
+                if fit and (best is None or min(fit)[0] < best[0]):
+                    best = min(fit)
                 if best and best[0] <= TOLERANCE * extent[k]["w"] / node.leaves:
                     break
             if best is None:
@@ -130,13 +128,30 @@ def grow(points: DataFrame, n_shards: int) -> Node:
     return root
 
 
+def largest_first(groups: list, target: float, n_shards: int) -> tuple[dict, list[float]]:
+    """Each whole group, largest first, to the shard with the most room; the shards' room left for the rest."""
+    load, placed = [(0.0, i) for i in range(n_shards)], {}
+    for g in sorted(groups, key=lambda g: (-g["w"], g["k1"], g["k2"])):
+        w, i = heapq.heappop(load)
+        placed[g["k1"], g["k2"]] = i
+        heapq.heappush(load, (w + g["w"], i))
+    return placed, [max(0.0, target - w) for w, _ in sorted(load, key=lambda x: x[1])]
+
+
 def shard(docs: DataFrame, *, n_shards: int = N_SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = stored(document_rows(docs), "shard-rows")
     total = rows.agg(F.sum("size")).head()[0] or 0
     parted = stored(with_parts(rows, total / n_shards), "shard-parts")
     points = stored(points_of(parted), "shard-points")
-    placed = points.select("k1", "k2", "part", grow(points, n_shards).expression().cast("int").alias("shard"))
+    target = total / n_shards
+    heavy = (F.col("w") > GROUP_SHARE * target) & ~F.col("_split")
+    marked = points.withColumn("_split", F.max("part").over(Window.partitionBy("k1", "k2")) > 0)
+    whole, room = largest_first(marked.where(heavy).select("k1", "k2", "w").collect(), target, n_shards)  # at most n_shards / GROUP_SHARE groups
+    at = points.sparkSession.createDataFrame([(*k, i) for k, i in whole.items()], "k1 long, k2 long, _at int")
+    rest = stored(points.join(F.broadcast(at), ["k1", "k2"], "left"), "shard-rest")
+    tree = grow(rest.where("_at is null"), room).expression()
+    placed = rest.select("k1", "k2", "part", F.coalesce("_at", tree).cast("int").alias("shard"))
     dealt = stored(parted.join(placed, ["k1", "k2", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
     blocked = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)))
     counts = blocked.groupBy("shard", "_b").agg(F.count("*").alias("_n"))  # n_shards x BLOCKS rows
