@@ -41,10 +41,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Row ranges of at most about SLICE_BYTES in ``column``, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of at most about ``size`` bytes in ``column``, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
-    parts = np.cumsum(sizes) // SLICE_BYTES
+    parts = np.cumsum(sizes) // size
     cuts = np.flatnonzero(np.diff(parts)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         if b > a:
