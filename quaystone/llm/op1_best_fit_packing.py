@@ -34,7 +34,7 @@ MEMO_BYTES = 96 << 20
 #: Longer words are encoded again in each slice.
 MEMO_WORD = 64
 #: Pieces of one length that one task ranks.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 1_000
 #: Words whose ids are gathered at once.
 GATHER = 1 << 20
 MARKS = ".,;:!?%#$*&|<>()-"

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-N_SHARDS, GROUP_SHARE, TOLERANCE, BITS, STEP, BLOCKS = 40, 0.1, 0.005, 20, 10, 32
+N_SHARDS, GROUP_SHARE, TOLERANCE, BITS, STEP, BLOCK_ROWS = 40, 0.1, 0.005, 20, 10, 1000
 #: Metadata dimensions: BITS bits of the metadata, then BITS bits of a text hash that only part ties.
 DIMS = ("x_source", "x_lang", "x_size")
 
@@ -46,21 +46,37 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def with_parts(rows: DataFrame, target: float) -> DataFrame:
-    """Rows with source and lang of their group and a part number: 0, or dealt by doc_id in a group above a shard."""
-    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    fine = F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target))).cast("int")
-    groups = groups.withColumn("parts", F.when(F.col("w") > max(1.0, target), fine).otherwise(1))
-    joined = rows.drop("source", "lang").join(groups.drop("w"), ["k1", "k2"])
-    return joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
-
+    """Rows with source and lang of their group and a part number: 0, or dealt by doc_id in a group above a shard.
 
-def points_of(parted: DataFrame) -> DataFrame:
-    """(k1, k2, part, w, coordinates): one row for each group of equal texts, or each part of a heavy one."""
-    points = parted.groupBy("k1", "k2", "part").agg(F.sum("size").alias("w"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    Groups above GROUP_SHARE of a shard, of which there are at most shards / GROUP_SHARE, are broadcast; their rows
+    get a key of their own each in the join with all other groups, so a hot text's rows stay spread.
+    """
+    keys, own = ["k1", "k2"], ["source", "lang", "parts"]
+    groups = rows.groupBy(*keys).agg(F.sum("size").alias("w"), F.min("source").alias("source"), F.min("lang").alias("lang"))
+    fine = F.ceil(F.col("w") / F.lit(max(1.0, GROUP_SHARE * target))).cast("int")
+    groups = stored(groups.withColumn("parts", F.when(F.col("w") > max(1.0, target), fine).otherwise(1)), "shard-groups")
+    hot, cold = F.col("w") > GROUP_SHARE * target, F.col("w") <= GROUP_SHARE * target
+    bare = rows.drop("source", "lang").join(F.broadcast(groups.where(hot).select(*keys, F.struct(*own).alias("_hot"))), keys, "left")
+    bare = bare.withColumn("_k", F.when(F.col("_hot").isNull(), F.col("k2")).otherwise(F.xxhash64("doc_id", "k2")))
+    light = groups.where(cold).select("k1", F.col("k2").alias("_k"), F.struct(*own).alias("_cold"))
+    joined = bare.join(light, ["k1", "_k"], "left").withColumn("_g", F.coalesce("_hot", "_cold"))
+    part = F.pmod(F.xxhash64("doc_id"), "_g.parts").cast("int")
+    return joined.select("doc_id", "size", "text_crc32", *keys, "_g.source", "_g.lang", part.alias("part"), (F.col("_g.parts") > 1).alias("split"))
+
+
+def coordinates() -> list[Column]:
+    """The place of a row of a group, the same for all of them as their texts are equal."""
     size = F.least(F.lit(1.0), F.log2(F.col("size").cast("double")) / 40) * ((1 << BITS) - 1)
     order = {"x_source": scaled(F.xxhash64("source")), "x_lang": scaled(F.xxhash64("lang")), "x_size": size}
     tie = lambda d: scaled(F.xxhash64("k1", "k2", "part", F.lit(d)))
-    return points.select("k1", "k2", "part", F.col("w").cast("double").alias("w"), *((F.shiftleft(order[d].cast("long"), BITS) + tie(d)).alias(d) for d in DIMS))
+    return [(F.shiftleft(order[d].cast("long"), BITS) + tie(d)).alias(d) for d in DIMS]
+
+
+def points_of(parted: DataFrame) -> DataFrame:
+    """(k1, k2, part, split, w, coordinates): one row for each group of equal texts, or each part of a heavy one."""
+    of_group = [F.first(c).alias(c) for c in ("source", "lang", "split")]
+    points = parted.groupBy("k1", "k2", "part").agg(F.sum("size").cast("double").alias("w"), F.max("size").alias("size"), *of_group)
+    return points.select("k1", "k2", "part", "split", "w", *coordinates())
 
 
 class Node:
@@ -141,23 +157,21 @@ def largest_first(groups: list, target: float, n_shards: int) -> tuple[dict, lis
 def shard(docs: DataFrame, *, n_shards: int = N_SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = stored(document_rows(docs), "shard-rows")
-    total = rows.agg(F.sum("size")).head()[0] or 0
-    parted = stored(with_parts(rows, total / n_shards), "shard-parts")
+    total, n = rows.agg(F.sum("size"), F.count("*")).head()
+    target = (total or 0) / n_shards
+    parted = stored(with_parts(rows, target), "shard-parts")
     points = stored(points_of(parted), "shard-points")
-    target = total / n_shards
-    heavy = (F.col("w") > GROUP_SHARE * target) & ~F.col("_split")
-    marked = points.withColumn("_split", F.max("part").over(Window.partitionBy("k1", "k2")) > 0)
-    whole, room = largest_first(marked.where(heavy).select("k1", "k2", "w").collect(), target, n_shards)  # at most n_shards / GROUP_SHARE groups
-    at = points.sparkSession.createDataFrame([(*k, i) for k, i in whole.items()], "k1 long, k2 long, _at int")
-    rest = stored(points.join(F.broadcast(at), ["k1", "k2"], "left"), "shard-rest")
-    tree = grow(rest.where("_at is null"), room).expression()
-    placed = rest.select("k1", "k2", "part", F.coalesce("_at", tree).cast("int").alias("shard"))
-    dealt = stored(parted.join(placed, ["k1", "k2", "part"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
-    blocked = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)))
-    counts = blocked.groupBy("shard", "_b").agg(F.count("*").alias("_n"))  # n_shards x BLOCKS rows
+    heavy = (F.col("w") > GROUP_SHARE * target) & ~F.col("split")
+    whole, room = largest_first(points.where(heavy).select("k1", "k2", "w").collect(), target, n_shards)  # at most n_shards / GROUP_SHARE groups
+    at = F.broadcast(points.sparkSession.createDataFrame([(*k, i) for k, i in whole.items()], "k1 long, k2 long, _at int"))
+    tree = grow(stored(points.join(at, ["k1", "k2"], "left_anti"), "shard-rest"), room).expression()
+    placed = parted.select("*", *coordinates()).join(at, ["k1", "k2"], "left")
+    dealt = stored(placed.select("doc_id", "size", "text_crc32", F.coalesce("_at", tree).cast("int").alias("shard")), "shard-dealt")
+    blocked = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n // (n_shards * BLOCK_ROWS) + 1)))
+    counts = blocked.groupBy("shard", "_b").agg(F.count("*").alias("_n"))  # one row for about BLOCK_ROWS rows
     starts = counts.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_from"))
     own = Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size")
-    numbered = blocked.withColumn("_r", F.row_number().over(own) - 1).join(F.broadcast(starts), ["shard", "_b"])
+    numbered = blocked.withColumn("_r", F.row_number().over(own) - 1).join(starts, ["shard", "_b"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_from") + F.col("_r")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
