@@ -10,7 +10,7 @@ from ..operators import indicators as ind
 from ..operators import models as ml
 from ..operators import store as st
 from ..sources import adapters as src
-from ..sources.adapters import BARS, INDUSTRY, MONEY_FLOW
+from ..sources.adapters import BARS, INDUSTRY, MONEY_FLOW, TRADES
 from ..streaming import jobs
 from .sqltext import r, rs
 
@@ -111,7 +111,7 @@ def order_quotes(spark, d):
     b = src.bars(spark, d).select("symbol", F.col("date").alias("bar_date"), r("close").alias("close"))
     req = orders(spark, d).select("o_orderkey", F.format_string("%06d", "o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("at"))
     out = st.as_of(req, b, "symbol", "at", "bar_date")
-    return out.select("o_orderkey", "symbol", "at", F.col("found_bar_date").alias("bar_date"), F.col("found_close").alias("close"), F.datediff("at", "found_bar_date").alias("age_days"))
+    return out.select("o_orderkey", "symbol", "at", F.col("found_bar_date").alias("bar_date"), F.col("found_close").alias("close"), F.datediff("at", "found_bar_date").cast("double").alias("age_days"))
 
 
 def paged(spark, d):
@@ -241,11 +241,11 @@ SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SEL
 SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT * FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)""",
     "single_active_order": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_active FROM orders",
     "prefer_primary": """SELECT coalesce(s.s_suppkey, c.c_custkey) AS k, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, c_name) AS name FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey""",
-    "source_fallback": f"""WITH {BARS}, u AS (SELECT symbol, date, {rs('close')} AS close, 0 AS prio FROM bars WHERE date < '1995-03-01' AND symbol < '000050'
-  UNION ALL SELECT symbol, date, {rs('close')}, 1 FROM bars WHERE date >= '1998-01-01')
+    "source_fallback": f"""WITH {BARS}, {TRADES}, u AS (SELECT symbol, date, {rs('close')} AS close, 0 AS prio FROM bars
+  UNION ALL SELECT symbol, ts::DATE, {rs('arg_max(price, seq)')}, 1 FROM trades GROUP BY 1, 2)
 SELECT symbol, date, close FROM u QUALIFY prio = min(prio) OVER (PARTITION BY symbol)""",
-    "as_of_quotes": f"""WITH {BARS}, q AS (SELECT o_orderkey, lpad((o_custkey % 100)::VARCHAR, 6, '0') AS symbol, o_orderdate::DATE AS at FROM orders)
-SELECT q.o_orderkey, q.symbol, q.at, max(b.date) AS bar_date, {rs('arg_max(b.close, b.date)')} AS close FROM q LEFT JOIN bars b ON b.symbol = q.symbol AND b.date <= q.at AND date_diff('day', b.date, q.at) <= 30 GROUP BY 1, 2, 3""",
+    "as_of_quotes": f"""WITH {BARS}, q AS (SELECT o_orderkey, printf('%06d', o_custkey) AS symbol, o_orderdate::DATE AS at FROM orders)
+SELECT q.o_orderkey, q.symbol, q.at, b.date AS bar_date, {rs('b.close')} AS close, date_diff('day', b.date, q.at)::DOUBLE AS age_days FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.date <= q.at""",
     "page_of_orders": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 51 OFFSET 100",
     "search_symbols": f"""WITH {INDUSTRY}, s AS (
   SELECT symbol, name, CASE WHEN symbol = '00001' THEN 1200.0 WHEN upper(name) = '00001' THEN 1150.0 WHEN starts_with(symbol, '00001') THEN 1020.0 - length(symbol) WHEN instr(symbol, '00001') > 0 THEN 920.0 - 5 * (instr(symbol, '00001') - 1)
@@ -262,10 +262,13 @@ g AS (SELECT lang, count(*) AS n, sum(y)::BIGINT AS n_pos, avg((p - y) ** 2) AS
 b AS (SELECT lang, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(y) AS my, avg(p) AS mp FROM pred GROUP BY 1, 2), e AS (SELECT lang, sum(n * abs(my - mp)) / sum(n) AS ece FROM b GROUP BY lang)
 SELECT lang, n, n_pos, {', '.join(f'{rs(c)} AS {c}' for c in ('brier', 'log_loss', 'auc', 'ece'))} FROM g JOIN e USING (lang)""",
     "probability_bands": f"WITH {PRED} SELECT lang, ((p >= 0.2)::INT + (p >= 0.4)::INT + (p >= 0.6)::INT + (p >= 0.8)::INT)::INT AS band, count(*) AS n, {rs('avg(y)')} AS hit_rate FROM pred GROUP BY 1, 2",
-    "neighbour_evidence": f"""WITH q AS (SELECT a.vec_id, b.vec_id AS other, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) + 1e-9, 6) AS d
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    "neighbour_evidence": f"""WITH x AS (SELECT vec_id, coalesce(label, 0)::DOUBLE AS label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE embedding IS NOT NULL),
+z AS (SELECT vec_id, label, pos, CASE WHEN v IS NULL OR isnan(v) THEN 0 ELSE v END AS v FROM x),
+s AS (SELECT pos, CASE WHEN stddev_pop(v) >= 1e-6 THEN stddev_pop(v) ELSE 1 END AS sd FROM z GROUP BY pos),
+q AS (SELECT a.vec_id, b.vec_id AS other, any_value(b.label) AS label, round(sqrt(avg(((a.v - b.v) / sd) ** 2)) + 1e-9, 6) AS d
+  FROM z a JOIN z b ON a.pos = b.pos AND a.vec_id <> b.vec_id JOIN s ON s.pos = a.pos WHERE a.vec_id % 50 = 0 GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS pos FROM q QUALIFY pos <= 40)
-SELECT vec_id, count(*) AS n, {rs('avg(d)', 3)} AS avg_d, arg_min(other, pos) AS nearest FROM k GROUP BY vec_id""",
+SELECT vec_id, count(*) AS n, {rs('avg(d)', 3)} AS avg_d, arg_min(other, pos) AS nearest, {rs('avg(label)')} AS mean_label FROM k GROUP BY vec_id""",
     "stream_latest_value": f"SELECT user_id, max(ts) AS ts, {rs('arg_max(value, (ts, event_id))')} AS value FROM events GROUP BY user_id",
     "stream_deduplicated": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
     "stream_daily_bars": f"""SELECT event_type, date_trunc('day', ts) AS start, {rs('arg_min(value, (ts, event_id))')} AS open, {rs('max(value)')} AS high, {rs('min(value)')} AS low, {rs('arg_max(value, (ts, event_id))')} AS close, count(*) AS n

@@ -74,12 +74,11 @@ def resample_sql(period):
 )"""
 
 
-RECURSIVE = f"""
-WITH RECURSIVE {BARS}, {resample_sql('week')},
-b AS (
+#: bars -> e: exponential means of the daily bars, one step a bar.
+MEANS = f"""b AS (
   SELECT symbol, date, close, row_number() {WIN} AS k,
          (close - {fullsql('min', 'low', 9)}) / nullif({fullsql('max', 'high', 9)} - {fullsql('min', 'low', 9)}, 0) * 100 AS rsv
-  FROM weekly
+  FROM bars
 ), e AS (
   SELECT symbol, k, date, close AS e12, close AS e26, 0.0::DOUBLE AS sig, rsv AS kk, rsv AS dd, 1 AS gk FROM b WHERE k = 1
   UNION ALL
@@ -91,7 +90,9 @@ b AS (
               ELSE e.dd * 2 / 3 + (CASE WHEN b.rsv IS NULL THEN e.kk WHEN e.kk IS NULL THEN b.rsv ELSE (pow(2.0 / 3, e.gk) * e.kk + b.rsv / 3) / (pow(2.0 / 3, e.gk) + 1.0 / 3) END) / 3 END,
          CASE WHEN b.rsv IS NULL THEN e.gk + 1 ELSE 1 END
   FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1
-)
+)"""
+RECURSIVE = f"""
+WITH RECURSIVE {BARS}, {MEANS}
 SELECT symbol, date, {rs('e12 - e26')} AS macd, {rs('sig')} AS macd_signal, {rs('e12 - e26 - sig')} AS macd_hist,
        {rs('kk')} AS kdj_k, {rs('dd')} AS kdj_d, {rs('3 * kk - 2 * dd')} AS kdj_j FROM e
 """

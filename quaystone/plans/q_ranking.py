@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..sources import adapters as src
+from ..sources.adapters import BARS, INDUSTRY
 from .sqltext import FEATURES, r, rs
 
 FACTORS = ["return_5d", "return_20d", "ma20_gap_pct", "volume_ratio_20", "volatility_20d", "from_20d_high_pct"]
@@ -208,8 +209,9 @@ m AS (
 ) SELECT horizon::INT AS horizon, mode, n FROM c WHERE n > 0""",
     "dominant_state_by_month": f"""WITH {CAND}, c AS (SELECT strftime(trade_date, '%Y-%m') AS month, state, count(*) AS n FROM cand GROUP BY ALL)
 SELECT month, state FROM c QUALIFY row_number() OVER (PARTITION BY month ORDER BY n DESC, state) = 1""",
-    "date_coverage": f"""WITH {FEATURES}, s AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM bars),
-m AS (SELECT date FROM s WHERE date NOT IN (SELECT date FROM bars WHERE symbol = '000001'))
-SELECT (SELECT count(*) FROM s) AS n_requested, count(*) AS n_missing, min(date) AS first_missing,
-  CASE WHEN count(*) = (SELECT count(*) FROM s) THEN 'blocked' WHEN count(*) > 0 THEN 'partial' ELSE 'complete' END AS status FROM m""",
+    "date_coverage": f"""WITH {BARS}, {INDUSTRY}, s AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM bars),
+k AS (SELECT symbol FROM bars UNION SELECT symbol FROM industry), g AS (
+  SELECT k.symbol, s.date, b.symbol IS NULL AS miss FROM k CROSS JOIN s LEFT JOIN (SELECT symbol, date FROM bars) b ON b.symbol = k.symbol AND b.date = s.date
+) SELECT symbol, count(*) AS n_requested, count(*) FILTER (WHERE miss) AS n_missing, min(date) FILTER (WHERE miss) AS first_missing,
+  CASE WHEN count(*) FILTER (WHERE miss) = count(*) THEN 'blocked' WHEN count(*) FILTER (WHERE miss) > 0 THEN 'partial' ELSE 'complete' END AS status FROM g GROUP BY symbol""",
 }

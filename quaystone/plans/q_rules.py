@@ -8,7 +8,7 @@ from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..operators import rules
 from ..sources import adapters as src
-from .q_indicators import RECURSIVE
+from .q_indicators import MEANS, RECURSIVE
 from .q_ranking import CAND
 from .sqltext import FEATURES, WIN, fullsql, r, rs
 
@@ -57,13 +57,20 @@ RSI = f"""s1 AS (
   SELECT *, greatest(coalesce(close - lag(close) {WIN}, 0), 0) AS up_, greatest(-coalesce(close - lag(close) {WIN}, 0), 0) AS dn_ FROM feat
 ), s2 AS (SELECT *, {fullsql('avg', 'up_', 14)} AS g_, {fullsql('avg', 'dn_', 14)} AS l_ FROM s1),
 ri AS (SELECT *, coalesce(nullif(CASE WHEN l_ = 0 AND g_ = 0 THEN NULL WHEN l_ = 0 THEN 100.0 ELSE 100 - 100 / (1 + g_ / nullif(l_, 0)) END, 0), 50) AS rsi FROM s2)"""
-PICK = f"""{CAND.split(', scored AS')[0].split(',' + chr(10) + 'scored AS')[0]}, {RSI}, sg AS (
+#: ... -> mkt: the part of the candidates' SQL up to the market state.
+MARKET = CAND.split(", scored AS")[0].split("," + chr(10) + "scored AS")[0]
+#: ... -> pick; needs WITH RECURSIVE.
+PICK = f"""{MARKET}, {MEANS}, {RSI}, kd AS (
+  SELECT symbol, date, e12 - e26 AS mc, sig, coalesce(nullif(kk, 0), 50) AS kk, coalesce(nullif(dd, 0), 50) AS dd, coalesce(nullif(3 * kk - 2 * dd, 0), 50) AS jj FROM e
+), sg AS (
   SELECT r.*, m.state,
-    (-10 + CASE WHEN rsi > 70 THEN -15 WHEN rsi < 30 THEN 15 ELSE 0 END
+    (CASE WHEN mc - sig > 0 THEN CASE WHEN mc > sig THEN 20 ELSE 10 END WHEN mc < sig THEN -20 ELSE -10 END
+     + CASE WHEN kk > dd AND kk > 50 THEN 15 WHEN kk < dd AND kk < 50 THEN -15 ELSE 0 END + CASE WHEN jj > 100 THEN -10 WHEN jj < 0 THEN 10 ELSE 0 END
+     + CASE WHEN rsi > 70 THEN -15 WHEN rsi < 30 THEN 15 ELSE 0 END
      + CASE WHEN coalesce(ma5, 0) = 0 OR coalesce(ma10, 0) = 0 OR coalesce(ma20, 0) = 0 OR coalesce(ma60, 0) = 0 THEN 0
             WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 THEN 20 WHEN close < ma5 AND ma5 < ma10 AND ma10 < ma20 THEN -20 ELSE 0 END
      + CASE WHEN coalesce(boll_upper, 0) = 0 OR coalesce(boll_lower, 0) = 0 THEN 0 WHEN close > boll_upper THEN 5 WHEN close < boll_lower THEN 10 ELSE 0 END)::INT AS signal_score
-  FROM ri r JOIN mkt m ON m.date = r.date
+  FROM ri r JOIN mkt m ON m.date = r.date JOIN kd ON kd.symbol = r.symbol AND kd.date = r.date
 ), p1 AS (
   SELECT *, {cl('(volume_ratio_20 - 1) * 1.8 + 0.08 * pct_change', -5, 5)} AS inflow, {cl('2 + 2.5 * volume_ratio_20 + 0.35 * abs(pct_change)', 0.3, 25)} AS turn,
     coalesce(rsi >= 78 OR ma20_gap_pct >= 10 OR return_20d >= 24 OR pct_change >= 6.5, false) AS hot,
@@ -99,7 +106,7 @@ QUERIES = {"rule_signals": signals, "historical_picks": picks, "universe_screeni
 HEAD = RECURSIVE.rsplit("SELECT symbol, date,", 1)[0]
 SIGNALS = f"""{HEAD}, x1 AS (
   SELECT symbol, date, close, {", ".join(f"{fullsql('avg', 'close', n)} AS ma{n}" for n in (5, 10, 20, 60))}, {fullsql('stddev_samp', 'close', 20)} AS dev, count(*) OVER (PARTITION BY symbol) >= 60 AS enough,
-    greatest(coalesce(close - lag(close) {WIN}, 0), 0) AS up_, greatest(-coalesce(close - lag(close) {WIN}, 0), 0) AS dn_ FROM weekly
+    greatest(coalesce(close - lag(close) {WIN}, 0), 0) AS up_, greatest(-coalesce(close - lag(close) {WIN}, 0), 0) AS dn_ FROM bars
 ), x2 AS (SELECT *, {fullsql('avg', 'up_', 14)} AS g_, {fullsql('avg', 'dn_', 14)} AS l_ FROM x1),
 x3 AS (
   SELECT x.symbol, x.date, close, {", ".join(f"CASE WHEN enough THEN coalesce(ma{n}, 0) ELSE 0 END AS ma{n}" for n in (5, 10, 20, 60))},
@@ -125,8 +132,8 @@ SELECT symbol, date, signal_score, CASE WHEN signal_score > 40 THEN 'strong_buy'
 CONTRIB = " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS factor, coalesce({c}, 0) * {w} AS v FROM last" for c, w in WEIGHTS.items())
 SQL = {
     "rule_signals": SIGNALS,
-    "historical_picks": f"WITH {PICK} SELECT symbol, date, signal_score, penalty::INT AS penalty, action, confidence, {', '.join(f'{rs(c)} AS {c}' for c in PICK_COLS)} FROM pick",
-    "daily_trade_plan": f"""WITH {PICK}, g AS (SELECT date, state, count(*) FILTER (WHERE action = 'buy') AS n_buy, count(*) FILTER (WHERE action = 'watch') AS n_watch, {rs('max(display_score)')} AS best FROM pick GROUP BY 1, 2)
+    "historical_picks": f"WITH RECURSIVE {PICK} SELECT symbol, date, signal_score, penalty::INT AS penalty, action, confidence, {', '.join(f'{rs(c)} AS {c}' for c in PICK_COLS)} FROM pick",
+    "daily_trade_plan": f"""WITH RECURSIVE {PICK}, g AS (SELECT date, state, count(*) FILTER (WHERE action = 'buy') AS n_buy, count(*) FILTER (WHERE action = 'watch') AS n_watch, {rs('max(display_score)')} AS best FROM pick GROUP BY 1, 2)
 SELECT *, (CASE WHEN state = 'defensive' THEN least(8, 30, n_buy * 10) ELSE least(30, n_buy * 10) END)::INT AS exposure FROM g""",
     "universe_screening": f"""WITH {FEATURES}, ind AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS symbol, n_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 k AS (

@@ -13,7 +13,7 @@ from ..sources import payloads
 from ..sources.adapters import BARS, INDUSTRY, MONEY_FLOW
 from .q_data import BIG, SIGNED
 from .q_ranking import LAB, candidates, labelled
-from .q_rules import PICK, pick_panel
+from .q_rules import MARKET, PICK, pick_panel
 from .sqltext import r, rs
 
 
@@ -70,7 +70,7 @@ def quotes(spark, d):
 
 
 def klines(spark, d):
-    b = src.bars(spark, d).where("symbol < '000010'")
+    b = src.bars(spark, d)
     packed = b.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(F.array(F.col("date").cast("string"), *(F.round(F.col(c) + 1e-9, 2).cast("string") for c in ("open", "close", "high", "low", "volume")))))).alias("payload"))
     return payloads.kline_json(packed).select("symbol", "date", *(r(c, 2).alias(c) for c in ("open", "close", "high", "low", "volume")))
 
@@ -113,20 +113,22 @@ SQL = {
 ), z AS (SELECT *, (0.35 * 50.0 + 0.30 * flow_score + 0.25 * fundamental_score + 0.10 * valuation_score)::DOUBLE AS t FROM y)
 SELECT symbol, flow_score, fs AS flow_signal_score, CASE WHEN fs > 30 THEN 'strong_bull' WHEN fs > 15 THEN 'bull' WHEN fs > 0 THEN 'lean_bull' WHEN fs > -15 THEN 'lean_bear' WHEN fs > -30 THEN 'bear' ELSE 'strong_bear' END AS flow_signal,
   fundamental_score, valuation_score, {rs('t')} AS total, CASE WHEN round(t + 1e-9, 6) >= 85 THEN 'A' WHEN round(t + 1e-9, 6) >= 75 THEN 'B' WHEN round(t + 1e-9, 6) >= 65 THEN 'C' WHEN round(t + 1e-9, 6) >= 55 THEN 'D' ELSE 'E' END AS rating FROM z""",
-    "profile_decisions": f"""WITH {PICK}, {FLOW}, la AS (SELECT symbol, signal_score, close FROM pick QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+    "profile_decisions": f"""WITH RECURSIVE {PICK}, {FLOW}, la AS (SELECT symbol, signal_score, close FROM pick QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
 x AS (SELECT la.symbol, close, t.*, ((0.6 * signal_score + 0.4 * greatest(-100.0, least(100.0, (CASE WHEN mn > 0 THEN {DEC} ELSE -({DEC}) END) * CASE WHEN strong THEN 1.2 ELSE 1.0 END))) * rk * pk)::DOUBLE AS s FROM la JOIN fl2 USING (symbol) CROSS JOIN {PROFILE}),
 y AS (SELECT *, round(s + 1e-9, 6) AS q FROM x)
 SELECT symbol, risk_level, period, {rs('s')} AS decision_score,
   CASE WHEN q >= 50 THEN 'strong_buy' WHEN q >= 25 THEN 'buy' WHEN q >= 10 THEN 'careful_buy' WHEN q >= -10 THEN 'hold' WHEN q >= -25 THEN 'careful_sell' WHEN q >= -50 THEN 'sell' ELSE 'strong_sell' END AS decision,
   {rs('(CASE WHEN q >= 50 THEN least(base * 1.5, 0.8) WHEN q >= 25 THEN base * 1.2 WHEN q >= 10 THEN base * 0.8 WHEN q >= 0 THEN base * 0.5 ELSE 0 END)::DOUBLE')} AS position,
   {rs('close * (1 + CASE WHEN q > 30 THEN hi ELSE lo END)')} AS take_price, {rs('close * (1 - stop)')} AS stop_price FROM y""",
-    "relaxed_selection": f"""WITH {PICK}, s AS (SELECT date, symbol, round(display_score + 1e-9, 4) AS s FROM pick),
+    "relaxed_selection": f"""WITH RECURSIVE {PICK}, s AS (SELECT date, symbol, round(display_score + 1e-9, 4) AS s FROM pick),
 c AS (SELECT *, {', '.join(f'count(*) FILTER (WHERE s >= {t}) OVER (PARTITION BY date) AS c{i}' for i, t in enumerate(TRIES))} FROM s),
 h AS (SELECT *, CASE {' '.join(f'WHEN c{i} >= 3 THEN {t}' for i, t in enumerate(TRIES))} ELSE {TRIES[-1]} END::DOUBLE AS threshold FROM c)
 SELECT date, symbol, s + 0.0 AS score, threshold FROM h WHERE s >= threshold""",
     "score_calibration": f"WITH {SCORED} SELECT bucket, n, wins, losses, {rs('a', 3)} AS avg_return, calibrated FROM cb",
-    "recalibrated_probability": f"WITH {SCORED} SELECT trade_date, symbol, sc.bucket, {rs('CASE WHEN calibrated THEN 0.4 * 0.5 + 0.6 * wins / nullif(n, 0) ELSE 0.5 END')} AS up_calibrated FROM sc JOIN cb ON cb.bucket = sc.bucket",
+    "recalibrated_probability": f"""WITH RECURSIVE {PICK}{SCORED.removeprefix(MARKET)}
+SELECT sc.trade_date, sc.symbol, sc.bucket, {rs('CASE WHEN calibrated THEN 0.4 * up_prob + 0.6 * wins / nullif(n, 0) ELSE up_prob END')} AS up_calibrated
+FROM sc JOIN cb ON cb.bucket = sc.bucket JOIN pick p ON p.symbol = sc.symbol AND p.date = sc.trade_date""",
     "quote_lines": f"""WITH {BARS} SELECT symbol, 'name' || symbol AS name, {rs('close', 2)} AS price, {rs('volume', 2)} AS volume, {rs('amount', 2)} AS amount, date FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""",
-    "kline_json": f"WITH {BARS} SELECT symbol, date, {', '.join(f'{rs(c, 2)} AS {c}' for c in ('open', 'close', 'high', 'low', 'volume'))} FROM bars WHERE symbol < '000010'",
+    "kline_json": f"WITH {BARS} SELECT symbol, date, {', '.join(f'{rs(c, 2)} AS {c}' for c in ('open', 'close', 'high', 'low', 'volume'))} FROM bars",
     "normalized_history": f"WITH {BARS} SELECT symbol, date, {', '.join(f'{rs(c, 2)} AS {c}' for c in ('open', 'close', 'volume', 'amount'))} FROM bars",
 }

@@ -119,16 +119,16 @@ m AS (SELECT p.*, coalesce(nullif(quote, 0), avg_cost) AS price FROM pos p LEFT
 k AS (SELECT *, (price - avg_cost) * qty AS pnl, coalesce(price / nullif(avg_cost, 0) - 1, 0) * 100 AS pnl_pct FROM m)
 SELECT symbol, {rs('price')} AS price, {rs('pnl', 2)} AS pnl, {rs('pnl_pct', 3)} AS pnl_pct,
   CASE WHEN pnl_pct <= -8 THEN 'stop_loss' WHEN pnl_pct >= 15 THEN 'take_profit' WHEN pnl_pct <= -4 THEN 'near_stop' WHEN pnl_pct >= 7.5 THEN 'near_take' ELSE 'normal' END AS risk_status FROM k""",
-    "event_study": f"WITH {ROUNDS} SELECT symbol, signal_date, entry_date, {rs('entry_price')} AS entry_price, exit_date, {rs('exit_price')} AS exit_price, reason, {rs('ret')} AS ret FROM rounds",
-    "equity_drawdowns": f"WITH {ROUNDS} SELECT run_id::INT AS run_id, date, {', '.join(f'{rs(c)} AS {c}' for c in ('ret', 'value', 'drawdown', 'step'))} FROM dr",
-    "run_performance": f"""WITH {ROUNDS}, g AS (
+    "event_study": f"WITH RECURSIVE {ROUNDS} SELECT symbol, signal_date, entry_date, {rs('entry_price')} AS entry_price, exit_date, {rs('exit_price')} AS exit_price, reason, {rs('ret')} AS ret FROM rounds",
+    "equity_drawdowns": f"WITH RECURSIVE {ROUNDS} SELECT run_id::INT AS run_id, date, {', '.join(f'{rs(c)} AS {c}' for c in ('ret', 'value', 'drawdown', 'step'))} FROM dr",
+    "run_performance": f"""WITH RECURSIVE {ROUNDS}, g AS (
   SELECT run_id, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, min(date) FILTER (WHERE drawdown = md) AS worst_date, arg_max(value, date) AS final, min(drawdown) AS max_drawdown,
          coalesce(avg(step) / nullif(stddev_pop(step), 0) * sqrt(252.0), 0) AS sharpe FROM (SELECT *, min(drawdown) OVER (PARTITION BY run_id) AS md FROM dr) GROUP BY run_id
 ), h AS (SELECT *, final - 1 AS total_return, greatest(-0.99, least(3, pow(final, 1 / (greatest(date_diff('day', first_date, last_date), 1) / 365.0)) - 1)) AS annual_return FROM g),
 k AS (SELECT *, (sharpe >= 1)::INT + (max_drawdown >= -0.20)::INT + (n_days >= 60)::INT + (annual_return > 0)::INT AS n_passed FROM h)
 SELECT run_id::INT AS run_id, n_days, first_date, last_date, worst_date, {', '.join(f'{rs(c)} AS {c}' for c in ('total_return', 'annual_return', 'max_drawdown', 'sharpe'))}, n_passed::INT AS n_passed,
   CASE n_passed WHEN 4 THEN 'A' WHEN 3 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS grade FROM k""",
-    "monthly_returns": f"""WITH {ROUNDS}, m AS (SELECT run_id, strftime(date, '%Y-%m') AS month, arg_max(value, date) AS value FROM eq GROUP BY 1, 2)
+    "monthly_returns": f"""WITH RECURSIVE {ROUNDS}, m AS (SELECT run_id, strftime(date, '%Y-%m') AS month, arg_max(value, date) AS value FROM eq GROUP BY 1, 2)
 SELECT run_id::INT AS run_id, month, {rs('value')} AS value, {rs('value / lag(value) OVER (PARTITION BY run_id ORDER BY month) - 1')} AS ret FROM m""",
     "trade_counts": f"WITH {TRADES} SELECT symbol, count(*) FILTER (WHERE side = 'buy') AS n_buy, count(*) FILTER (WHERE side = 'sell') AS n_sell, sum(qty) AS qty FROM trades GROUP BY symbol",
 }
