@@ -1,15 +1,19 @@
 """HTML extraction by tag-path ratios.
 
-A tolerant scanner turns a page into text blocks, each with its root-to-leaf tag path.  Text length and
-punctuation are summed per path; a path's text ratio (characters a tag) and punctuation ratio (marks a tag)
-are smoothed over its neighbours in page order, fused (their product) and compared with a share of the
-page's spread; paths above the threshold, and their siblings inside the same content root, are content.
-Boilerplate elements (navigation, headers, footers, asides, forms, scripts, styles, adverts, comments ...)
-never count.
+A tolerant scanner turns a page into text blocks, each with its root-to-leaf path of tags and class names.  Text
+length, punctuation and linked characters are summed per path; a path's text ratio (characters a tag) and
+punctuation ratio (marks a tag) are smoothed over its neighbours in page order, fused (their product, less the
+linked share) and compared with a share of the page's spread.  Paths above the threshold are content.  Blocks of
+other paths are kept where the structure ties them to content: headings beside content paths, what lies between
+content blocks, and, inside a declared article, lists, quotes and other siblings of content; paths of links are
+not.  A declared article (``article``, ``main``) bounds the page if it holds a content path.  Elements that are
+never article (navigation, headers, footers, asides, forms, scripts, adverts, comments ... by tag, class, id or
+role) and hidden ones do not count, unless they hold the declared article themselves.
 
 Defined cases: null or empty html, or a page without content, gives an empty text; unclosed and misnested
-tags close implicitly; pages of any length are read whole; repeated rows give equal rows; an empty table
-gives an empty result; other columns are carried on request, text and n_chars are replaced.
+tags close implicitly; pages and paths of any length are read whole, in time linear in the page; repeated rows
+give equal rows; an empty table gives an empty result; other columns are carried on request, text and n_chars
+are replaced.
 """
 
 from __future__ import annotations
@@ -25,143 +29,225 @@ from pyspark.sql import types as T
 from .common import texts_of, with_text_columns
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 #: Elements that are never part of the article.
-DROP = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "object", "audio", "video", "canvas", "label", "fieldset", "figcaption"} | RAW
+DROP = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "object", "audio", "video", "canvas", "label", "fieldset"} | RAW
 #: Words of class, id or role that name boilerplate.
 DROP_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|comment\w*|disqus|respond|reply|"
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|comment\w*|disqus|respond|reply|"
     r"cookie\w*|consent\w*|notice\w*|newsletter\w*|subscri\w*|share\w*|social\w*|related\w*|recommend\w*|popup\w*|modal\w*|login\w*|toolbar\w*|pagination|pager|widget\w*|"
-    r"navigation|complementary|contentinfo|search|alert\w*|toc|skip\w*)(?:$|[\s_-])",
+    r"navigation|complementary|contentinfo|search|alert\w*|toc|skip\w*)(?:$|[_-])",
     re.I,
 )
+#: Names that say what a wrapper has beside its content.
+BESIDE = re.compile(r"^(?:has|no|with|without)[_-]", re.I)
 BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li",
-    "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "hgroup", "search",
+    "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "hgroup", "search", "figcaption",
 } | DROP
 #: What an opening tag closes first, up to the element that bounds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+TABLE = {"table", "tbody", "thead", "tfoot", "tr", "html", "body"}
 ROOTS = {"article", "main"}
-#: Innermost block elements that make up a path.
-DEPTH = 64
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Containers of running text: their blocks count as siblings of the container.
+FLOW = {"blockquote", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "figure", "hgroup", "li", "dd", "details", "pre"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+TELLING = re.compile(r"class|id|role|style|hidden", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACE = re.compile(r"\s+")
 
 
-def blocks_of(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, inside a content root) of every text block outside boilerplate, in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # element, boilerplate
-    buffer: list[str] = []
-    blocks: list[str] = []  # the block elements among them
-    depth_bad = roots = 0
-
-    def flush() -> None:
-        nonlocal buffer
-        if buffer:
-            text = SPACE.sub(" ", html_lib.unescape("".join(buffer))).strip()
-            buffer = []
-            if text:
-                out.append(("/".join(blocks[-DEPTH:]), text, roots > 0))
-
-    def close(to: int) -> None:
-        nonlocal depth_bad, roots
-        while len(stack) > to:
-            shut, bad = stack.pop()
-            depth_bad -= bad
-            roots -= shut in ROOTS
-            if shut in BLOCK:
-                blocks.pop()
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not depth_bad:
-            buffer.append(page[at : m.start() if m else n])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x in BLOCK for x, _ in stack[k:]):
-                        flush()
-                    if name in BLOCK or not any(x in BLOCK for x, _ in stack[k:]):
-                        close(k)
-                    break
-                if stack[k][0] in ("table", "body") and name not in BLOCK:
-                    break
-        else:
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of a name; none where no telling one can be there."""
+    found: dict[str, str] = {}
+    if TELLING.search(raw):
+        for name, *values in ATTRIBUTE.findall(raw):
+            found.setdefault(name.lower(), next(filter(None, values), ""))
+    return found
+
+
+def boilerplate(attrs: dict[str, str]) -> bool:
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or INVISIBLE.search(attrs.get("style", "")):
+        return True
+    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split()
+    return any(DROP_NAME.search(n) and not BESIDE.match(n) for n in names)
+
+
+class Page:
+    """Blocks of a page: text, path, characters in links, whether a content root holds it.
+
+    Paths are nodes of a tree, so that a block costs the same at any depth: ``parent`` and ``tag`` by node.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.nodes = [-1], [""], {}
+        self.text: list[str] = []
+        self.path: list[int] = []
+        self.linked: list[int] = []
+        self.rooted: list[bool] = []
+        self.suspect: list[int] = []  # innermost element named as boilerplate
+        self.above, self.pardoned = [-1], [True]  # of such elements: the next one outside, holds a content root
+        self.read(page)
+        bad = [False] * len(self.above)
+        for k in range(1, len(bad)):
+            bad[k] = not self.pardoned[k] or bad[self.above[k]]
+        kept = [i for i, k in enumerate(self.suspect) if not bad[k]]
+        for name in ("text", "path", "linked", "rooted"):
+            setattr(self, name, [getattr(self, name)[i] for i in kept])
+
+    def node(self, parent: int, tag: str, classes: str) -> int:
+        label = " ".join([tag, *sorted({re.sub(r"\d+", "", c) for c in classes.split()})])
+        k = self.nodes.setdefault((parent, label), len(self.parent))
+        if k == len(self.parent):
+            self.parent.append(parent)
+            self.tag.append(tag)
+        return k
+
+    def read(self, page: str) -> None:
+        stack: list[tuple[str, bool, int, int]] = []  # element, never content, path outside, suspect outside
+        open_at: dict[str, list[int]] = {}
+        block_at: list[int] = []
+        buffer: list[str] = []
+        at_node = linked = dropped = roots = suspect = 0
+
+        def flush() -> None:
+            nonlocal linked
+            if buffer:
+                if text := SPACE.sub(" ", html_lib.unescape("".join(buffer))).strip():
+                    self.text.append(text)
+                    self.path.append(at_node)
+                    self.linked.append(linked)
+                    self.rooted.append(roots > 0)
+                    self.suspect.append(suspect)
+                buffer.clear()
+            linked = 0
+
+        def close(to: int) -> None:
+            nonlocal at_node, dropped, roots, suspect
+            while len(stack) > to:
+                name, never, at_node, suspect = stack.pop()
+                dropped -= never
+                roots -= name in ROOTS
+                open_at[name].pop()
+                if name in BLOCK:
+                    block_at.pop()
+
+        def last(names) -> int:
+            return max((open_at[x][-1] for x in names if open_at.get(x)), default=-1)
+
+        at, n = 0, len(page)
+        while at < n:
+            m = TOKEN.search(page, at)
+            if not dropped:
+                piece = page[at : m.start() if m else n]
+                buffer.append(piece)
+                if open_at.get("a"):
+                    linked += len(piece)
+            if not m:
+                break
+            at = m.end()
+            name = (m[2] or "").lower()
+            if not name:
+                continue
+            if m[1]:
+                k, inner = last([name]), block_at[-1] if block_at else -1
+                bound = CLOSES[name][1] if name in CLOSES else () if name in TABLE else ("td", "th", "caption")
+                if k < 0 or (name not in BLOCK and k < inner) or k < last(bound):
+                    continue  # nothing to close, or an inline element outside the innermost block, or one outside a list or cell
+                if name in BLOCK:
+                    flush()
+                close(k)
+                continue
             if name in BLOCK:
                 flush()
-                if name not in ("html", "body"):
-                    # a block ends an open paragraph with whatever inline element hangs in it
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            close(k)
-                            break
-                        if stack[k][0] in BLOCK:
-                            break
-                shut, bound = CLOSES.get(name, (set(), set()))
-                for k in range(len(stack) - 1, -1, -1) if shut else ():
-                    if stack[k][0] in bound:
-                        break
-                    if stack[k][0] in shut:
-                        close(k)
-                        break
-            elif name == "br" and not depth_bad:
+                # a block ends an open paragraph with whatever inline element hangs in it
+                if name not in ("html", "body") and block_at and stack[block_at[-1]][0] == "p":
+                    close(block_at[-1])
+            elif name == "br" and not dropped:
                 buffer.append(" ")
-            if name in VOID or m[3].endswith("/") and name not in BLOCK:
+            shut, bound = CLOSES.get(name, ((), ()))
+            if shut and (k := last(shut)) > last(bound):
+                close(k)
+            ends_itself = m[3].endswith("/")
+            if name in VOID or ends_itself and (name not in BLOCK or name == "svg"):
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
-            bad = name in DROP
-            if not bad and m[3] and name not in ("html", "body", "article", "main"):
-                bad = bool(HIDDEN.search(m[3])) or any(DROP_NAME.search(next(filter(None, v), "")) for v in NAMED.findall(m[3]))
-            stack.append((name, bad))
-            depth_bad += bad
-            roots += name in ROOTS
+            attrs = attributes(m[3]) if m[3] else {}
+            stack.append((name, name in DROP, at_node, suspect))
+            open_at.setdefault(name, []).append(len(stack) - 1)
+            dropped += name in DROP
+            if name in ROOTS:
+                roots += 1
+                k = suspect
+                while k and not self.pardoned[k]:
+                    self.pardoned[k] = True
+                    k = self.above[k]
+            elif name not in ("html", "body") and boilerplate(attrs):
+                self.above.append(suspect)
+                self.pardoned.append(False)
+                suspect = len(self.above) - 1
             if name in BLOCK:
-                blocks.append(name)
-    flush()
-    return out
+                block_at.append(len(stack) - 1)
+                at_node = self.node(at_node, name, attrs.get("class", ""))
+        flush()
+
+
+def scores(paths: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: np.ndarray, window: int) -> np.ndarray:
+    """Fused ratio of each path; ``paths`` numbers the blocks' paths in order of first appearance."""
+    tags, total = np.bincount(paths), np.bincount(paths, weights=length)
+    text, punctuation = total / tags, np.bincount(paths, weights=marks) / tags
+    kernel = np.ones(2 * window + 1) / (2 * window + 1)
+    smooth = lambda x: np.convolve(np.pad(x, window, mode="edge"), kernel, mode="valid")
+    return smooth(text) * (1 + smooth(punctuation)) * (1 - np.minimum(1, np.bincount(paths, weights=linked) / total))
 
 
 def content(page: str, *, share: float = 0.5, window: int = 1) -> str:
     """Main text of a page."""
-    blocks = blocks_of(page)
-    if not blocks:
+    p = Page(page)
+    if not p.text:
         return ""
-    if any(b[2] for b in blocks):  # a declared content root bounds the article
-        blocks = [b for b in blocks if b[2]]
-    paths = list(dict.fromkeys(b[0] for b in blocks))
-    of = {p: k for k, p in enumerate(paths)}
-    k = np.array([of[b[0]] for b in blocks])
-    tags = np.bincount(k)
-    length = np.bincount(k, weights=[len(b[1]) for b in blocks]) / tags
-    marks = np.bincount(k, weights=[len(PUNCTUATION.findall(b[1])) for b in blocks]) / tags
-    kernel = np.ones(2 * window + 1) / (2 * window + 1)
+    length, linked, rooted = np.array([len(t) for t in p.text]), np.array(p.linked), np.array(p.rooted)
+    marks, path = np.array([len(PUNCTUATION.findall(t)) for t in p.text]), np.array(p.path)
+
+    def chosen(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of content paths and of link paths among ``of``."""
+        _, first, k = np.unique(path[of], return_index=True, return_inverse=True)
+        order = np.argsort(np.argsort(first))
+        k = order[k]
+        fused = scores(k, length[of], marks[of], linked[of], window)
+        links = np.bincount(k, weights=linked[of]) > 0.5 * np.bincount(k, weights=length[of])
+        return (fused >= share * fused.std())[k], links[k]
+
+    of = np.arange(len(path))
+    good, links = chosen(of)
+    bounded = bool((good & rooted).any())
+    if bounded and not rooted.all():
+        of = np.flatnonzero(rooted)
+        good, links = chosen(of)
+    parents = {p.parent[k] for k in path[of[good]].tolist()}
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, window, mode="edge"), kernel, mode="valid")
+    def beside(k: int) -> bool:
+        while p.tag[p.parent[k]] in FLOW:
+            k = p.parent[k]
+        return p.parent[k] in parents
 
-    fused = smooth(length) * (1 + smooth(marks))
-    good = {p for p, v in zip(paths, fused, strict=True) if v >= share * fused.std()}
-    # headings and short blocks between content belong to it: same parent as a content path
-    parents = {p.rpartition("/")[0] for p in good}
-    rooted = any(b[2] for b in blocks)
-    return "\n\n".join(t for p, t, _ in blocks if p in good or p.rpartition("/")[0] in parents or rooted and any(p.startswith(g) for g in parents))
+    inside = np.flatnonzero(good)
+    kept = []
+    for j, i in enumerate(of.tolist()):
+        k = p.path[i]
+        heading = p.tag[k] in HEADINGS and p.parent[k] in parents
+        if good[j] or heading or not links[j] and (inside[0] < j < inside[-1] or bounded and beside(k)):
+            kept.append(p.text[i])
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
