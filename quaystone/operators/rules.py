@@ -145,13 +145,6 @@ def screen(snapshot: DataFrame, *, min_price=5.0, min_amount=1e4, max_pct=9.5, p
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("prescore"), "symbol"))).where(F.col("pos") <= target).drop("_i")
 
 
-def decision(technical: Column, flow: Column, risk: str = "medium", period: str = "swing") -> tuple[Column, Column]:
-    """Combined score and its seven-way label."""
-    score = (0.6 * technical + 0.4 * flow) * {"low": 0.7, "medium": 1.0, "high": 1.3}[risk] * {"short": 0.8, "swing": 1.0, "long": 1.2}[period]
-    label = F.when(score >= 60, "strong_buy").when(score >= 30, "buy").when(score >= 10, "add").when(score > -10, "hold").when(score > -30, "reduce").when(score > -60, "sell").otherwise("strong_sell")
-    return score, label
-
-
 def contributions(df: DataFrame, names: list[str], weights: dict[str, float], key: list[str], n: int = 5) -> DataFrame:
     """Top ``n`` positive and negative weighted factor values of each row."""
     each = F.array(*(F.struct((F.coalesce(F.col(c), F.lit(0.0)) * weights[c]).alias("v"), F.lit(c).alias("factor")) for c in names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def fifo_lots(trades: DataFrame) -> DataFrame:
     """Round trips by first-in first-out: sells take the oldest open lots; what no lot covers is dropped.
 
     Quantities become intervals: the running net with its running minimum tells how much of a sell is
-    covered, then buys and sells of a symbol meet where their cumulative intervals overlap.  ``seq`` orders.
+    covered, then one ordered pass over the cumulative quantities of both sides cuts them into lots.  ``seq`` orders.
     """
     w = Window.partitionBy("symbol").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -22,12 +24,16 @@ def fifo_lots(trades: DataFrame) -> DataFrame:
     t = t.withColumn("eff", F.when(F.col("side") == "buy", F.col("qty")).otherwise(covered)).where("eff > 0")
     by_side = Window.partitionBy("symbol", "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("hi", F.sum("eff").over(by_side)).withColumn("lo", F.col("hi") - F.col("eff"))
-    side = lambda s, p: t.where(F.col("side") == s).select("symbol", *(F.col(c).alias(f"{p}_{c}") for c in ("seq", "ts", "price", "lo", "hi")))
+    # every cumulative quantity, from the highest down: it ends one segment, of the buy and the sell last met
+    down = Window.partitionBy("symbol").orderBy(F.desc("hi"), "side")
+    met = lambda s: F.last(F.when(F.col("side") == s, F.struct("seq", "ts", "price", "lo", "hi")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    parts = t.select("symbol", "hi", F.coalesce(F.lead("hi").over(down), F.lit(0.0)).alias("from"), met("buy").alias("b"), met("sell").alias("s"))
+    both = parts.where("b is not null and s is not null and hi > from")
     return (
-        side("buy", "b").join(side("sell", "s"), "symbol").where("b_lo < s_hi and s_lo < b_hi")
+        both.select("symbol", *(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "bs" for c in ("seq", "ts", "price", "lo", "hi")))
         .withColumn("qty", F.least("b_hi", "s_hi") - F.greatest("b_lo", "s_lo"))
         .withColumns({"cost": F.col("qty") * F.col("b_price"), "pnl": F.col("qty") * (F.col("s_price") - F.col("b_price")), "days": F.datediff("s_ts", "b_ts")})
-    )
+    )
 
 
 def trade_diagnostics(lots: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,8 +83,11 @@ def entries(picks: DataFrame, bars: DataFrame, *, threshold=0.0, max_positions=1
     w = Window.partitionBy("date").orderBy(F.desc("rank_score"), "symbol")
     chosen = picks.where(F.col("action").isin(*actions) & (F.col("rank_score") >= threshold)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_positions)
     days = bars.select("date").distinct()
-    # market calendar: one row per date, numbered by month first so that no task sees all dates
-    nxt = days.alias("a").join(days.alias("b"), (F.col("b.date") > F.col("a.date")) & (F.datediff("b.date", "a.date") <= 14)).groupBy(F.col("a.date").alias("date")).agg(F.min("b.date").alias("entry_date"))
+    # market calendar by month, so that no task sees all dates: a date within 14 days is in this month or the next
+    month = Window.partitionBy("_m").orderBy("date")
+    days = days.withColumn("_m", F.trunc("date", "month"))
+    first = days.groupBy("_m").agg(F.min("date").alias("_first")).select(F.add_months("_m", -1).alias("_m"), "_first")
+    nxt = days.withColumn("_next", F.lead("date").over(month)).join(first, "_m", "left").select("date", F.coalesce("_next", "_first").alias("entry_date")).where(F.datediff("entry_date", "date") <= 14)
     fill = bars.select("symbol", F.col("date").alias("entry_date"), (F.coalesce(F.nullif("open", F.lit(0.0)), "close") * (1 + slippage)).alias("entry_price"))
     return chosen.join(nxt, "date").join(fill, ["symbol", "entry_date"]).select("symbol", F.col("date").alias("signal_date"), "entry_date", "entry_price", "rank_score")
 
@@ -100,7 +109,7 @@ def exits(entry: DataFrame, bars: DataFrame, *, stop=0.08, take=0.14, hold_days=
     return out.withColumn("ret", F.col("exit_price") * (1 - 0.0003) / (F.col("entry_price") * (1 + 0.0003)) - 1)
 
 
-def equity_curve(rounds: DataFrame, run: str = "run") -> DataFrame:
+def equity_curve(rounds: DataFrame) -> DataFrame:
     """Daily mean return of trades by exit date, compounded per calendar year of the run (key: run_id)."""
     daily = rounds.groupBy("exit_date").agg(F.avg("ret").alias("ret")).withColumns({"run_id": F.year("exit_date"), "date": F.col("exit_date")})
     w = Window.partitionBy("run_id").orderBy("date")
@@ -122,7 +131,8 @@ def performance(equity: DataFrame) -> DataFrame:
         F.avg("step").alias("m"), F.stddev_pop("step").alias("s"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
     years = F.greatest(F.datediff("last_date", "first_date"), F.lit(1)) / 365
-    return out.withColumns({"total_return": F.col("final") - 1, "annual_return": clamp(F.pow(F.col("final"), 1 / years) - 1, -0.99, 3), "sharpe": F.coalesce(safe_div("m", "s") * F.sqrt(F.lit(252.0)), F.lit(0.0))}).drop("m", "s", "final")
+    annual = F.expm1(F.least(F.log("final") / years, F.lit(math.log(4))))  # in logs: a short run's power overflows
+    return out.withColumns({"total_return": F.col("final") - 1, "annual_return": F.when(F.col("final") > 0, clamp(annual, -0.99, 3)).otherwise(-0.99), "sharpe": F.coalesce(safe_div("m", "s") * F.sqrt(F.lit(252.0)), F.lit(0.0))}).drop("m", "s", "final")
 
 
 def monthly_returns(equity: DataFrame) -> DataFrame:

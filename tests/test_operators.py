@@ -249,3 +249,17 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {r.user_id: r.value for r in jobs.run_available(jobs.latest_per_key(stream(), "user_id", "ts", "value"), spark, "update", ["user_id"]).collect()}
     assert got == {0: 39.0, 1: 37.0, 2: 38.0}
     assert jobs.run_available(jobs.deduplicated(stream(), ["event_id"], "ts"), spark, "append").count() == 40
+
+
+def test_performance_of_one_day(spark):
+    eq = spark.createDataFrame([(1, "1995-02-01", 9.3, 10.3), (2, "1995-02-01", -1.0, 0.0)], "run_id int, date string, ret double, value double").withColumn("date", F.to_date("date"))
+    got = {r.run_id: r.annual_return for r in trades.performance(eq).collect()}
+    assert got[1] == pytest.approx(3.0) and got[2] == pytest.approx(-0.99)
+
+
+def test_entry_on_the_next_market_date(spark):
+    days = ["1995-01-30", "1995-01-31", "1995-02-03", "1995-02-28", "1995-03-20"]
+    bars = spark.createDataFrame([("a", d, 10.0, 11.0) for d in days], "symbol string, date string, open double, close double").withColumn("date", F.to_date("date"))
+    picks = bars.select("symbol", "date", F.lit("buy").alias("action"), F.lit(1.0).alias("rank_score"))
+    got = {(str(r.signal_date), str(r.entry_date)) for r in trades.entries(picks, bars).collect()}
+    assert got == {("1995-01-30", "1995-01-31"), ("1995-01-31", "1995-02-03")}
