@@ -285,6 +285,11 @@ def block_pairs(rows: DataFrame, group: list[str], counts: DataFrame, block: int
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id reachable by links), n_links, kept."""
+    return classes(docs).drop("wordless")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """The same with ``wordless``: the text has no shingles."""
     found = stored(sketches(docs), "sketches")
     nodes = stored(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("signature").alias("signature")), "jaccard-nodes")
     banded = stored(bands(nodes), "bands")
@@ -319,14 +324,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .select("node", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     )
     out = found.select("doc_id", "node").join(per_node, "node", "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("node").isNull().alias("wordless"))
     return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id."""
-    gone = jaccard_classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the documents whose class has a smaller doc_id.
+
+    Equal texts without words are copies too: the smallest doc_id stays.  Of rows that repeat doc_id and text one
+    stays; a null doc_id is kept.
+    """
+    marks = classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(~F.col("kept")).alias("__gone"), F.max("wordless").alias("__bare"), F.count("*").alias("__rows"))
+    marks = stored(marks.where("__gone or __bare or __rows > 1"), "marks").withColumnRenamed("doc_id", "__id")
+    left = docs.join(marks, F.col("doc_id") == F.col("__id"), "left").where("__gone is null or not __gone")
+    twin = F.col("__id").isNotNull()
+    bare = F.col("__bare") & (F.col("__rows") == 1)
+    text = F.coalesce("text", F.lit(""))
+    once = left.where(twin).groupBy(F.when(~bare, F.col("doc_id")).alias("__own"), F.sha2(text, 256).alias("__text")).agg(F.min_by(F.struct(*docs.columns), "doc_id").alias("__row"))
+    return left.where(~twin).select(docs.columns).unionByName(once.select("__row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

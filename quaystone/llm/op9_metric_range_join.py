@@ -16,6 +16,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import Forest, components, stored
 
 THRESHOLD = 0.93
-CELL_ROWS, MAX_PIVOTS, PIVOT_SAMPLE, BLOCK = 2000, 256, 4096, 2000
+CELL_ROWS, MAX_PIVOTS, PIVOT_SAMPLE, BLOCK = 2000, 1024, 4096, 2000
+#: Rows placed at a time, and the distance from the threshold within which a cosine is summed exactly.
+PLACE_ROWS, NEAR = 1000, 1e-12
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -70,25 +74,40 @@ def choose_pivots(nodes: DataFrame, per_label: int) -> dict[int, np.ndarray]:
     return out
 
 
-def join_block(r: float, threshold: float):
+def cosine(a: bytes, b: bytes) -> float:
+    """Cosine with sums rounded once; powers of two keep huge and tiny components finite."""
+    x, y = (np.frombuffer(v, dtype="<f8") for v in (a, b))
+    x, y = (np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for v in (x, y))
+    total = lambda u, v: math.fsum((u * v).tolist())
+    return total(x, y) / math.sqrt(total(x, x) * total(y, y))
+
+
+def join_block(threshold: float):
     def run(batch: pa.Table) -> pa.Table:
         p = batch.to_pandas()
         q, t = p[p.role == "q"].reset_index(drop=True), p[p.role == "t"].reset_index(drop=True)
-        node, other, links, weight = [], [], [], []
+        node, other, links = [], [], []
         if len(q) and len(t):
             x, y = unit(q["vector"].tolist()), unit(t["vector"].tolist())
-            ids = pd.factorize(np.r_[q["rep"], t["rep"]])
-            code, reps = ids[0], ids[1]
+            code, reps = pd.factorize(np.r_[q["rep"], t["rep"]])
             qc, tc = code[: len(q)], code[len(q) :]
             mult = t["mult"].to_numpy()
             forest, total = Forest(len(reps)), np.zeros(len(q), dtype=np.int64)
             for a in range(0, len(q), 500):
-                hit = (x[a : a + 500] @ y.T >= threshold) & (qc[a : a + 500, None] != tc[None, :])
+                c = x[a : a + 500] @ y.T
+                hit = c >= threshold
+                for i, j in zip(*np.nonzero(np.abs(c - threshold) < NEAR), strict=True):  # the product's rounding must not decide
+                    hit[i, j] = cosine(q["vector"][a + i], t["vector"][j]) >= threshold
+                hit &= qc[a : a + 500, None] != tc[None, :]
                 total[a : a + 500] = hit @ mult
-                for i, j in np.argwhere(hit):
-                    if forest.join(int(qc[a + i]), int(tc[j])):
-                        node.append(reps[qc[a + i]])
-                        other.append(reps[tc[j]])
+                i, j = np.nonzero(hit)
+                u, v = qc[a + i], tc[j]
+                while len(k := forest.apart(u, v)):
+                    u, v = u[k], v[k]
+                    for m in np.unique(forest.p[u], return_index=True)[1].tolist():  # one pair a tree
+                        if forest.join(int(u[m]), int(v[m])):
+                            node.append(reps[u[m]])
+                            other.append(reps[v[m]])
             links += [0] * len(node)
             some = np.flatnonzero(total)
             node += q["rep"].to_numpy()[some].tolist()
@@ -102,31 +121,31 @@ def join_block(r: float, threshold: float):
 def range_join(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    r = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    r = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # distances by the cosine are within 1e-7
     found = stored(nodes_of(vectors), "vectors")
     nodes = stored(found.groupBy("label", "node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vector").alias("vector")), "vector-nodes")
     most = nodes.groupBy("label").count().agg(F.max("count")).head()[0] or 0
     pivots = spark.sparkContext.broadcast(choose_pivots(nodes, max(1, min(MAX_PIVOTS, -(-most // CELL_ROWS)))))  # bounded by MAX_PIVOTS
 
+    def cells_of(data: list[bytes], size: int) -> tuple[np.ndarray, ...]:
+        """Row, cell, whether it is home, distance, for each cell a row belongs to or may have links in."""
+        p = pivots.value.get(size)  # a length outside the sample: one cell
+        d = np.zeros((len(data), 1)) if p is None else np.sqrt(np.maximum(0, 2 - 2 * unit(data) @ p.T))
+        i, k = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * r)
+        return i, k, k == d.argmin(axis=1)[i], d[i, k]
+
     def place(batches):
-        for b in batches:
-            data = b.column("vector").to_pylist()
-            cells, homes, dists, size = [], [], [], [len(v) for v in data]
-            for i, v in enumerate(data):
-                p = pivots.value.get(size[i])
-                if p is None:  # a length outside the sample: one cell
-                    d = np.zeros(1)
-                else:
-                    d = np.linalg.norm(p - unit([v])[0], axis=1)
-                home = int(d.argmin())
-                near = np.flatnonzero(d <= d[home] + 2 * r)
-                cells.append(near.tolist())
-                homes.append([bool(k == home) for k in near])
-                dists.append(d[near].tolist())
-            rows = np.repeat(np.arange(len(data)), [len(c) for c in cells])
-            flat = [pa.array([x for c in cols for x in c], k) for cols, k in ((cells, pa.int32()), (homes, pa.bool_()), (dists, pa.float64()))]
-            taken = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("label", "rep", "mult", "vector")), pa.array(np.array(size)[rows], pa.int64()), *flat], names=["label", "rep", "mult", "vector", "size", "cell", "home", "d"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, PLACE_ROWS):
+                b = whole.slice(start, PLACE_ROWS)
+                data = b.column("vector").to_pylist()
+                sizes = np.array([len(v) for v in data])
+                for size in np.unique(sizes).tolist():
+                    of = np.flatnonzero(sizes == size)
+                    i, *flat = cells_of([data[k] for k in of], size)
+                    taken = b.take(pa.array(of[i]))
+                    made = [pa.array(x, k) for x, k in zip(flat, (pa.int32(), pa.bool_(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("label", "rep", "mult", "vector")), pa.array(np.full(len(i), size)), *made], names=["label", "rep", "mult", "vector", "size", "cell", "home", "d"])
 
     placed = stored(nodes.mapInArrow(place, "label string, rep long, mult long, vector binary, size long, cell int, home boolean, d double"), "vector-cells")
     cell = ["label", "size", "cell"]
@@ -137,7 +156,7 @@ def range_join(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     cols = [*cell, "rep", "mult", "vector"]
     asked = rows.where("home").select(*cols, F.lit("q").alias("role"), salt("n_home").alias("qb"), F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)).alias("tb"))
     held = rows.where("n_home > 0").select(*cols, F.lit("t").alias("role"), F.explode(F.sequence(F.lit(0), blocks("n_home") - 1)).alias("qb"), salt("n_all").alias("tb"))
-    made = stored(asked.unionByName(held).groupBy(*cell, "qb", "tb").applyInArrow(join_block(r, threshold), "rep long, other long, links long"), "vector-links")
+    made = stored(asked.unionByName(held).groupBy(*cell, "qb", "tb").applyInArrow(join_block(threshold), "rep long, other long, links long"), "vector-links")
     links = made.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(made.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-components")
     per_node = nodes.select("label", "node", "rep", "mult").join(links, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
