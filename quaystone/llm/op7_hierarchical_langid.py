@@ -3,11 +3,13 @@
 Features are shares of hashed byte trigrams of the folded text.  Linear support vector machines, one for
 each pair, vote among families; within the chosen family one for each pair of its languages votes again
 (dual coordinate descent on the hinge loss).  They are fitted on a bounded sample of labelled rows
-(SAMPLE rows, shared evenly by the languages, chosen by hash); every whole text is scored.
+(SAMPLE rows, shared evenly by the languages, chosen by hash, and LEAST of each language where they are many,
+so that every labelled language is learned); every whole text is scored.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without labelled rows all are
 `und`; languages outside FAMILIES form families of their own; repeated rows score alike; an empty table
-gives an empty result; other columns are carried on request and those with a result's name are replaced.
+gives an empty result; a null doc_id is neither held out nor learned from, and of rows that repeat a doc_id with one
+language one is learned from; other columns are carried on request and those with a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import texts_of, with_text_columns
 
-SAMPLE, DIMS, EPOCHS, C = 2000, 8192, 15, 1.0
+SAMPLE, LEAST, DIMS, EPOCHS, C = 2000, 20, 8192, 15, 1.0
 #: Languages by family (ISO 639-1).
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy"],
@@ -141,19 +143,17 @@ def predict(model: dict, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def train_model(docs: DataFrame, *, fold: int = 3, held_out: int = 1) -> dict:
-    """Fit on labelled rows outside the held-out fold; at most SAMPLE rows come to the driver."""
+    """Fit on labelled rows outside the held-out fold; SAMPLE rows at most come to the driver, or LEAST a language."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
-    # languages with labels, the most frequent first; the bound on rows bounds their number too
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 20).collect()]
-    if not langs:
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return fit([], [])
-    # ids first: at most SAMPLE rows are broadcast, so texts are neither sorted nor sent beyond the sample
-    each = max(20, SAMPLE // max(4, len(langs)))
-    chosen = [rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for x in langs]
-    ids = chosen[0]
-    for part in chosen[1:]:
-        ids = ids.union(part)
-    picked = rows.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).collect()
+    # ids first: only the sample's are broadcast, so texts are neither sorted nor sent beyond it; each task
+    # keeps the first of every language before the shuffle, so a language with most rows makes no large group
+    each = max(LEAST, SAMPLE // max(4, n_langs))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.select("doc_id", "lang").distinct().withColumn("_n", first).where(F.col("_n") <= each).select("doc_id", "lang")
+    picked = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     picked = [r for r in sorted(picked, key=lambda r: (r["lang"], r["doc_id"], r["text"])) if has_letter(r["text"].encode())]
     texts, of = [r["text"].encode() for r in picked], [r["lang"] for r in picked]
     return fit(texts, of)
@@ -178,4 +178,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train_model(docs), keep=["doc_id"])
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
