@@ -8,13 +8,15 @@ aggregated (expected toxic tokens, largest marginal) and calibrated to a documen
 marginal of at least one half give the offending spans.
 
 Defined cases: null or empty text scores as a text without tokens; labels that are null or not 0/1 are not
-learned from; without any toxic label the score is 0; repeated rows score alike; an empty table gives an
+learned from; without any toxic label the score is close to 0 (2e-9); repeated rows score alike, and of rows that
+repeat a doc_id one is learned from; a null doc_id is neither held out nor learned from; an empty table gives an
 empty result; other columns are carried on request and those with a result's name are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import sys
 from array import array
 
@@ -228,7 +230,7 @@ def train_model(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held_out:
     for v, n in zip((1, 0), SAMPLE, strict=True):
         # ids first: at most n rows are broadcast, so texts are neither shuffled nor sorted
         ids = known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id")
-        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
         picked.append([r["text"].encode() for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
     return fit(*picked, prior=counts.get(1, 0) / max(1, sum(counts.values())))
 
@@ -259,7 +261,8 @@ def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = No
             score = 1 / (1 + np.exp(-(summary(p, doc, len(texts)) @ final)))
             out = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             if with_spans:
-                out.append([spans(t, p[doc == k]) for k, t in enumerate(texts)])
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+                out.append([spans(t, p[a:b]) for t, a, b in zip(texts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
             return out
 
         return fn
@@ -267,20 +270,23 @@ def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = No
     return with_text_columns(docs, fields, factory, keep)
 
 
-def spans(text: bytes, p: np.ndarray) -> list[dict]:
-    import re
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+
 
+def spans(text: bytes, p: np.ndarray) -> list[dict]:
+    """Runs of tokens that are toxic with a marginal of at least one half, as code points."""
     found: list[dict] = []
     if (p >= 0.5).any():
-        last = -2
-        for k, m in enumerate(re.finditer(rb"[^ \t\n\x0b\x0c\r]+", text)):
+        last, done, points = -2, 0, 0
+        for k, m in enumerate(WORD.finditer(text)):
             if p[k] >= 0.5:
-                end = len(text[: m.end()].decode())
+                start = points + len(text[done : m.start()].decode())
+                end = start + len(m[0].decode())
                 if last == k - 1:
                     found[-1]["end"] = end
                 else:
-                    found.append({"start": len(text[: m.start()].decode()), "end": end})
-                last = k
+                    found.append({"start": start, "end": end})
+                last, done, points = k, m.end(), end
     return found
 
 
@@ -288,8 +294,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = score_documents(docs, train_model(docs, labels), keep=["doc_id"])
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    out = score_documents(docs, train_model(docs, labels), keep=["doc_id"], with_spans=True)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "score", "predicted", "spans")
 
 
 def clean(docs: DataFrame, all_docs: DataFrame, labels: DataFrame) -> DataFrame:
