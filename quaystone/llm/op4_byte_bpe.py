@@ -26,6 +26,8 @@ from .common import Remembered, texts_of, with_text_columns
 
 #: Distinct chunks whose ids a task remembers, in each of two generations.
 CACHE = 300_000
+#: Characters of a chunk that may be remembered beyond its slice.
+LONG = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -169,6 +171,12 @@ class ByteBpe:
                     if w not in whole:
                         whole[w] = self.pretokens_to_ids([w.encode()])[0]
                 out.append(b"".join(map(whole.__getitem__, ws)))
+        for c in new:
+            if len(c) > LONG:
+                del seen.young[c]
+        for c in heads:
+            if len(c) > LONG:
+                del self.heads[c]
         if len(self.heads) > 50_000:
             self.heads.clear()
         seen.turn()
