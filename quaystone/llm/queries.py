@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_best_fit_packing, op2_tag_path_ratios, op3_suffix_repetition, op4_byte_bpe, op5_crf_toxicity, op6_kd_sharding, op7_hierarchical_langid, op8_bayes_jaccard_join, op9_metric_range_join, op10_line_dedup, op11_importance_resampling, op13_periodic_runs
+from . import op1_best_fit_packing, op2_tag_path_ratios, op3_suffix_repetition, op4_byte_bpe, op5_crf_toxicity, op6_kd_sharding, op7_hierarchical_langid, op8_bayes_jaccard_join, op9_metric_range_join, op10_line_dedup, op11_importance_resampling, op12_warc_zstd, op13_periodic_runs
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_metric_range_join": op9_metric_range_join.query,
     "op10_line_dedup": op10_line_dedup.query,
     "op11_importance_resampling": op11_importance_resampling.query,
+    "op12_warc_zstd": op12_warc_zstd.query,
     "op13_periodic_runs": op13_periodic_runs.query,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op9_metric_range_join": op9_metric_range_join.SQL,
     "op10_line_dedup": op10_line_dedup.SQL,
     "op11_importance_resampling": op11_importance_resampling.SQL,
+    "op12_warc_zstd": op12_warc_zstd.SQL,
     "op13_periodic_runs": op13_periodic_runs.SQL,
 }
