@@ -142,7 +142,7 @@ def write_archives(typed: DataFrame, path: str, known: bytes) -> DataFrame:
                 for r, html in zip(rows, texts_of(part.column("html")), strict=True):
                     if out is None:
                         name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)  # by default its name would choose one
                         if known:
                             size += out.write(struct.pack("<II", MAGIC, len(known)) + known)
                     size += out.write(zstd.compress(record(r["page_id"], r["url"], html, r["payload_bytes"], r["payload_digest"], r["refers_to"])))
@@ -188,7 +188,7 @@ def read_archives(manifest: DataFrame, path: str, *, with_payload: bool = False)
         for b in batches:
             for name in b.column("name").to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for raw in frames(stream):
                         rows.append(parsed(raw)[: len(names)])
                         held += 500 + (len(raw) if with_payload else 0)
