@@ -57,7 +57,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def with_text_columns(
-    df: DataFrame, fields: list[T.StructField], factory: Callable, keep: list[str] | None = None, text: str = "text"
+    df: DataFrame, fields: list[T.StructField], factory: Callable, keep: list[str] | None = None, text: str = "text", size: int = SLICE_BYTES
 ) -> DataFrame:
     """Append columns computed from ``text``; one Arrow pass, no shuffle.
 
@@ -74,7 +74,7 @@ def with_text_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 made = fn(part)
                 cols = [part.column(c) for c in carried]
                 cols += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]

@@ -31,9 +31,10 @@ from .common import Forest, Remembered, texts_of, with_text_columns
 
 #: Rows the model is fitted on at most: toxic, others.
 SAMPLE = (1000, 2000)
-P_VALUE, MIN_PRECISION, MIN_COUNT, STEPS, L2 = 1e-6, 0.9, 5, 40, 1e-2
-#: Distinct tokens whose score a task remembers, in each of two generations.
-CACHE = 300_000
+P_VALUE, MIN_PRECISION, MIN_COUNT, STEPS, L2 = 1e-6, 0.6, 5, 40, 1e-2
+#: Distinct tokens whose score a task remembers in each of two generations, the bytes of a token beyond which it does not,
+#: and the bytes of text it holds as tokens at a time: about 25 MB of memo and 100 MB of arrays a task.
+CACHE, LONG_TOKEN, SLICE = 80_000, 32, 1 << 20
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|…«»„“”¿¡-–—"
 
 
@@ -256,6 +257,9 @@ def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = No
             for w in new:
                 known.young[w] = bias + sum(weights.get(f, 0.0) for f in features(w.decode(errors="replace")))
             unary = np.fromiter(map(known.young.__getitem__, tokens), dtype=float, count=len(tokens))
+            for w in new:
+                if len(w) > LONG_TOKEN:
+                    del known.young[w]
             known.turn()
             p, _ = chain_marginals(unary, starts, lengths, trans)
             score = 1 / (1 + np.exp(-(summary(p, doc, len(texts)) @ final)))
@@ -267,7 +271,7 @@ def score_documents(docs: DataFrame, model: dict, *, keep: list[str] | None = No
 
         return fn
 
-    return with_text_columns(docs, fields, factory, keep)
+    return with_text_columns(docs, fields, factory, keep, size=SLICE)
 
 
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
