@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +43,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; what its task held goes back to the system, as the worker process lives on and serves later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of at most about ``size`` bytes in ``column``, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
@@ -80,7 +98,7 @@ def with_text_columns(
                 cols += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*carried, *(f.name for f in fields)])
 
-    return df.select(*read).mapInArrow(run, schema)
+    return df.select(*read).mapInArrow(tidy(run), schema)
 
 
 def arrow_type(t: T.DataType) -> pa.DataType:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, shared_dir, slices, stored, texts_of
+from .common import new_path, shared_dir, slices, stored, texts_of, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -57,7 +57,7 @@ def line_hashes(docs: DataFrame, bounds: list[int], min_chars: int) -> DataFrame
                     names=["batch", "doc_id", "k1", "k2"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def repeated_keys(hashes: DataFrame, n_batches: int, fanout: int) -> DataFrame:
@@ -142,7 +142,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int
 
     need = list(dict.fromkeys([*keep, "doc_id", "text"]))
     joined = docs.select(*need).join(gone.select("doc_id", F.col("_gone").alias(mark)), "doc_id", "left")
-    return joined.select(*need, mark).mapInArrow(run, schema)
+    return joined.select(*need, mark).mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, tidy
 
 CAPACITY = 2048
 #: Bytes of text numbered together.
@@ -174,7 +174,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACI
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, bounds[-1]), pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 class SumIndex:

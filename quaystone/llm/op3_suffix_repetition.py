@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts_of, with_text_columns
+from .common import SLICE_BYTES, texts_of, with_text_columns
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_BASE_SHARE = 50, 3, 0.5
@@ -130,7 +130,7 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, max_long_share: f
 
         return fn
 
-    return with_text_columns(docs, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], factory, keep)
+    return with_text_columns(docs, [T.StructField(prefix + f.name, f.dataType) for f in FIELDS], factory, keep, size=SLICE_BYTES // 4)  # ranks of every doubling are held
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, group_starts, slices, stored, texts_of, whole_groups
+from .common import Forest, components, group_starts, slices, stored, texts_of, tidy, whole_groups
 
 THRESHOLD, WORDS, HASHES, BAND, TOLERANCE, BLOCK = 0.8, 5, 128, 4, 1e-9, 1024
 STEP = 16  # MinHash values compared at a time
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                             nodes[i], sigs[i] = xxhash.xxh3_128_hexdigest(sh[at[i] : at[i] + n[i]].tobytes()), s.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "node", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node string, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, node string, signature binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("bucket", "band").agg(F.count("*").alias("_n")).where("_n > 1")
     members = banded.join(buckets.select("bucket", "band"), ["bucket", "band"], "left_semi").join(nodes.select("rep", "signature"), "rep")
     dealt = block_pairs(members, ["bucket", "band"], buckets, BLOCK).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "rep")
-    proposed = dealt.mapInArrow(propose, "a long, b long")
+    proposed = dealt.mapInArrow(tidy(propose), "a long, b long")
     families = stored(components(proposed, "families").withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("_n"))
 
@@ -312,11 +312,11 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, names=["rep", "family", "node", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(families, "rep").select("rep", "family", "text")
-    rows = texts.mapInArrow(sets, "rep long, family long, node string, shingles binary")
+    rows = texts.mapInArrow(tidy(sets), "rep long, family long, node string, shingles binary")
     rows = rows.dropDuplicates(["rep", "node"]).join(nodes.select("rep", "node", "mult", "signature"), ["rep", "node"])
     rows = rows.select("family", "rep", "mult", "signature", "shingles")
     dealt = block_pairs(rows, ["family"], sizes, BLOCK).repartition(*FAMILY).sortWithinPartitions(*FAMILY, "rep")
-    made = stored(dealt.mapInArrow(verify, "rep long, other long, links long"), "links")
+    made = stored(dealt.mapInArrow(tidy(verify), "rep long, other long, links long"), "links")
     links = made.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(made.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "classes")
     per_node = (
