@@ -113,23 +113,23 @@ def risk_order(risk: str) -> Column:
 
 
 def risk_selection(picks: DataFrame, risk: str) -> DataFrame:
-    """The picks of each date that suit a risk profile, with their ``key`` (see ``risk_order``).
+    """The picks of each date that suit a risk profile, with their ``key`` (see ``risk_order``)."""
+    return profile_selection(picks.withColumn("risk", F.lit(risk))).drop("risk")
+
+
+def profile_selection(picks: DataFrame) -> DataFrame:
+    """The picks of each date that suit the profile in their column ``risk``, with their ``key`` (see ``risk_order``).
 
     Low: strict limits, or the loose ones on dates where fewer than 8 meet the strict; high: the active picks
     alone on dates with at least 10 of them.
     """
-    c, day = F.col, Window.partitionBy("date")
-    if risk == "low":
-        buy = c("action") == "buy"
-        strict = buy & (c("dd_prob") <= 0.24) & (c("risk_adjusted") >= 56) & (c("turn") <= 9) & (c("inflow") >= -0.2)
-        loose = buy & (c("dd_prob") <= 0.32) & (c("risk_adjusted") >= 50)
-        keep = F.when(F.count_if("_a").over(day) < 8, loose).otherwise(c("_a"))
-        out = picks.withColumn("_a", F.coalesce(strict, F.lit(False)))
-    elif risk == "high":
-        fits = c("action").isin("buy", "watch") & (c("dd_prob") <= 0.55) & (c("edge") >= 0)
-        active = fits & ((c("action") == "watch") | (c("turn") >= 9) | F.substring("symbol", 1, 3).isin("300", "688"))
-        keep = F.when(F.count_if("_a").over(day) >= 10, c("_a")).otherwise(fits)
-        out = picks.withColumn("_a", F.coalesce(active, F.lit(False)))
-    else:
-        keep, out = c("dd_prob") <= 0.42, picks.withColumn("_a", F.lit(True))
-    return out.withColumn("_keep", keep).where("_keep").drop("_a", "_keep").withColumn("key", risk_order(risk))
+    c, day = F.col, Window.partitionBy("date", "risk")
+    low, high, buy = c("risk") == "low", c("risk") == "high", c("action") == "buy"
+    strict = buy & (c("dd_prob") <= 0.24) & (c("risk_adjusted") >= 56) & (c("turn") <= 9) & (c("inflow") >= -0.2)
+    loose = buy & (c("dd_prob") <= 0.32) & (c("risk_adjusted") >= 50)
+    fits = c("action").isin("buy", "watch") & (c("dd_prob") <= 0.55) & (c("edge") >= 0)
+    active = fits & ((c("action") == "watch") | (c("turn") >= 9) | F.substring("symbol", 1, 3).isin("300", "688"))
+    out = picks.withColumn("_a", F.coalesce(F.when(low, strict).when(high, active), F.lit(False))).withColumn("_n", F.count_if("_a").over(day))
+    wide = F.when(low, (c("_n") < 8) & loose | (c("_n") >= 8) & c("_a")).when(high, (c("_n") < 10) & fits | (c("_n") >= 10) & c("_a")).otherwise(c("dd_prob") <= 0.42)
+    key = F.when(low, risk_order("low")).when(high, risk_order("high")).otherwise(risk_order("medium"))
+    return out.where(wide).drop("_a", "_n").withColumn("key", key)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp
 from ..operators import indicators as ind
 from ..operators import pools
 from ..operators import ranking as rk
@@ -13,7 +11,6 @@ from ..operators import trades as tr
 from ..sources import adapters as src
 from ..sources.adapters import BARS, INDUSTRY
 from .q_ranking import CAND, LAB, labelled, panel
-from .q_rules import PICK, cl, pick_panel
 from .q_trades import POS
 from .sqltext import r, rs
 
@@ -82,33 +79,10 @@ def reason_scores(spark, d):
     return o.select("o_orderkey", pools.score_in_text(text).alias("score"))
 
 
-RISKS = ("low", "medium", "high")
-
-
-def risk_picks(spark, d):
-    s = F.col("signal_score") - 0.65 * F.col("penalty")
-    cols = ["date", "symbol", "action", "signal_score", "penalty", "up_prob", "dd_prob", "expected_return", "total", "turn", "inflow"]
-    p = pick_panel(spark, d).select(cols).persist(StorageLevel.MEMORY_AND_DISK)  # read once a profile
-    p = p.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("dd_prob", "turn", "inflow")})
-    p = p.withColumns({
-        "risk_adjusted": F.round(clamp(72 - 65 * F.col("dd_prob"), 0, 100) + 1e-9, 6), "quality": clamp(58 + 0.2 * s, 0, 100), "trend": clamp(50 + 0.4 * s, 0, 100),
-        "edge": F.lit(0.0), "profit_factor": F.lit(1.0),
-    })
-    out = [pools.risk_selection(p, x).select("date", "symbol", F.lit(x).alias("risk"), r("key").alias("key")) for x in RISKS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 ACT = """act AS (SELECT lpad(o_custkey::VARCHAR, 6, '0') AS symbol, o_orderdate::DATE AS ts, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'buy' WHEN 'O' THEN 'watch' ELSE 'ignored' END AS kind FROM orders)"""
-GROWTH = "CASE WHEN symbol[1:3] IN ('300', '688') THEN 4.0 ELSE 0.0 END"
-KEY = {
-    "low": f"(1 - dd) * 34 + ra * 0.28 + quality * 0.16 + {cl('100 - abs(tn - 4) * 8', 0, 100)} * 0.10 + {cl('fl * 8 + 50', 0, 100)} * 0.08 + total * 0.04 - {GROWTH}",
-    "medium": "up_prob * 20 + (1 - dd) * 20 + 50 * 0.28 + 45 * 0.14 + total * 0.18",
-    "high": f"""up_prob * 22 + expected_return * 1.6 + {cl('tn * 7.5', 0, 100)} * 0.42 + trend * 0.14 + total * 0.06 + CASE WHEN action = 'watch' THEN 14.0 ELSE 0.0 END
-      + CASE WHEN tn >= 10 THEN 8.0 WHEN tn >= 8 THEN 4.0 ELSE 0.0 END + {GROWTH} - dd * 6""",
-}
 QUERIES = {
     "pool_actions": pool_actions, "buy_conservatism": conservatism, "state_statistics": state_stats, "quote_overlay": overlaid, "merged_dimensions": dimensions,
-    "training_features": training_features, "portfolio_totals": totals, "recent_action_counts": recent, "reason_scores": reason_scores, "risk_selection": risk_picks,
+    "training_features": training_features, "portfolio_totals": totals, "recent_action_counts": recent, "reason_scores": reason_scores,
 }
 SQL = {
     "pool_actions": f"""WITH {INDUSTRY}, {ACT}, la AS (SELECT symbol, kind FROM act QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, id DESC) = 1),
@@ -133,12 +107,4 @@ t AS (SELECT count(*) AS n, coalesce(sum(c), 0) AS c, coalesce(sum(v), 0) AS v F
 SELECT n, {rs('c', 2)} AS cost, {rs('v', 2)} AS value, {rs('v - c', 2)} AS pnl, {rs('coalesce((v - c) / nullif(c, 0), 0) * 100', 3)} AS pnl_pct FROM t""",
     "recent_action_counts": f"WITH {ACT}, l AS (SELECT * FROM act ORDER BY ts DESC, id DESC LIMIT 20) SELECT kind, count(*) AS n FROM l GROUP BY 1",
     "reason_scores": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey % 1000) / 8 END::DOUBLE AS score FROM orders",
-    "risk_selection": f"""WITH RECURSIVE {PICK}, k0 AS (SELECT *, round(dd_prob + 1e-9, 6) AS dd, round(turn + 1e-9, 6) AS tn, round(inflow + 1e-9, 6) AS fl, {cl('58 + 0.2 * sp', 0, 100)} AS quality, {cl('50 + 0.4 * sp', 0, 100)} AS trend FROM pick),
-k1 AS (SELECT *, round({cl('72 - 65 * dd', 0, 100)} + 1e-9, 6) AS ra FROM k0),
-k2 AS (SELECT *, action = 'buy' AND dd <= 0.24 AND ra >= 56 AND tn <= 9 AND fl >= -0.2 AS strict, action = 'buy' AND dd <= 0.32 AND ra >= 50 AS loose,
-  action IN ('buy', 'watch') AND dd <= 0.55 AS fits, action = 'watch' OR tn >= 9 OR symbol[1:3] IN ('300', '688') AS lively FROM k1),
-k3 AS (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY date) AS n1, count(*) FILTER (WHERE fits AND lively) OVER (PARTITION BY date) AS n2 FROM k2)
-SELECT date, symbol, 'low' AS risk, {rs(KEY['low'])} AS key FROM k3 WHERE CASE WHEN n1 < 8 THEN loose ELSE strict END
-UNION ALL SELECT date, symbol, 'medium', {rs(KEY['medium'])} FROM k3 WHERE dd <= 0.42
-UNION ALL SELECT date, symbol, 'high', {rs(KEY['high'])} FROM k3 WHERE fits AND (n2 < 10 OR lively)""",
 }
