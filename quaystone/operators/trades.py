@@ -37,19 +37,43 @@ def fifo_lots(trades: DataFrame) -> DataFrame:
 
 
 def trade_diagnostics(lots: DataFrame, keys: list[str]) -> DataFrame:
-    """Win rate, mean returns, profit/loss ratio (9.99 without a loss), holding time, realised profit, Sharpe."""
+    """Win rate, mean returns, profit/loss ratio (9.99 for wins without a loss), holding time, realised profit, Sharpe.
+
+    A round trip that gains nothing counts as a loss.
+    """
     ret = F.col("pnl") / F.col("cost") * 100
     lots = lots.withColumn("ret", ret)
-    win, loss = F.avg(F.when(F.col("ret") > 0, F.col("ret"))), F.avg(F.when(F.col("ret") < 0, F.col("ret")))
+    win, loss = F.avg(F.when(F.col("ret") > 0, F.col("ret"))), F.avg(F.when(F.col("ret") <= 0, F.col("ret")))
     return lots.groupBy(*keys).agg(
         F.count("*").alias("n_lots"), F.avg((F.col("ret") > 0).cast("int")).alias("win_rate"), F.avg("ret").alias("avg_return_pct"),
         F.coalesce(win, F.lit(0.0)).alias("avg_win_pct"), F.coalesce(loss, F.lit(0.0)).alias("avg_loss_pct"),
-        F.when(loss.isNull(), 9.99).otherwise(F.coalesce(win, F.lit(0.0)) / F.abs(loss)).alias("profit_loss_ratio"),
+        F.when(loss < 0, F.coalesce(win, F.lit(0.0)) / F.abs(loss)).when(win.isNotNull(), 9.99).otherwise(0.0).alias("profit_loss_ratio"),
         F.avg("days").alias("avg_days"), F.sum("pnl").alias("realised"), F.sum("cost").alias("cost"),
         F.coalesce(safe_div(F.avg("ret"), F.stddev_pop("ret")) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"),
     )
 
 
+def trade_curve(lots: DataFrame, keys: list[str]) -> DataFrame:
+    """Equity after every round trip, in order of the sells: 1 + realised profit / realised cost, and its drawdown from the peak so far (1 at first)."""
+    w = Window.partitionBy(*keys).orderBy("s_seq", "b_seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = lots.withColumn("equity", 1 + F.coalesce(F.try_divide(F.sum("pnl").over(w), F.sum("cost").over(w)), F.lit(0.0)))
+    out = out.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w)))
+    return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+
+
+def curve_summary(lots: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: realised return, the return a year that it makes over the key's trading span, and the worst drawdown (positive).
+
+    ``spans``: ``keys``, first_ts, last_ts of all trades, matched or not.
+    """
+    out = trade_curve(lots, keys).groupBy(*keys).agg(F.sum("pnl").alias("realised"), F.sum("cost").alias("cost"), F.abs(F.min("drawdown")).alias("max_drawdown")).join(spans, keys)
+    total, days = F.try_divide("realised", "cost"), F.greatest(F.datediff("last_ts", "first_ts"), F.lit(1))
+    annual = F.expm1(F.least(F.log1p("total") * 365 / F.col("period_days"), F.lit(math.log(4))))
+    out = out.withColumns({"total": F.coalesce(total, F.lit(0.0)), "period_days": days})
+    out = out.withColumn("annual_return", F.when((F.col("cost") > 0) & (F.col("total") > -0.999), clamp(annual, -0.99, 3)).otherwise(0.0))
+    return out.select(*keys, "realised", F.col("total").alias("total_return"), "period_days", "annual_return", "max_drawdown")
+
+
 def positions(trades: DataFrame) -> DataFrame:
     """Average-cost position per symbol: buys add cost, sells scale it by what is left, 0 closes.
 
@@ -92,15 +116,20 @@ def entries(picks: DataFrame, bars: DataFrame, *, threshold=0.0, max_positions=1
     return chosen.join(nxt, "date").join(fill, ["symbol", "entry_date"]).select("symbol", F.col("date").alias("signal_date"), "entry_date", "entry_price", "rank_score")
 
 
-def exits(entry: DataFrame, bars: DataFrame, *, stop=0.08, take=0.14, hold_days=20, slippage=0.001) -> DataFrame:
-    """First close from the entry date on that stops, takes or ages out, in that order; else the last close in reach."""
+def exits(entry: DataFrame, bars: DataFrame, *, stop=0.08, take=0.14, hold_days=20, slippage=0.001, scores: DataFrame | None = None, least_score=45.0) -> DataFrame:
+    """First close from the entry date on that stops, takes, ages out or has lost its score, in that order; else the last close in reach.
+
+    ``scores`` (symbol, date, score) holds the scored rows; a date without one keeps the trade.
+    """
     reach = hold_days + 40
     number = lambda c: F.datediff(c, F.lit("1970-01-01"))
     e = entry.withColumn("_bucket", F.explode(F.sequence(F.floor(number("entry_date") / reach), F.floor((number("entry_date") + reach) / reach))))
-    b = bars.select("symbol", "date", "close", F.floor(number("date") / reach).alias("_bucket"))
+    scored = bars.select("symbol", "date", "close")
+    scored = scored.withColumn("score", F.lit(None).cast("double")) if scores is None else scored.join(scores.select("symbol", "date", "score"), ["symbol", "date"], "left")
+    b = scored.withColumn("_bucket", F.floor(number("date") / reach))
     seen = e.join(b, ["symbol", "_bucket"]).where((F.col("date") >= F.col("entry_date")) & (F.datediff("date", "entry_date") <= reach))
     c, p = F.col("close"), F.col("entry_price")
-    reason = F.when(c <= p * (1 - stop), "stop").when(c >= p * (1 + take), "take").when(F.datediff("date", "entry_date") >= hold_days, "time")
+    reason = F.when(c <= p * (1 - stop), "stop").when(c >= p * (1 + take), "take").when(F.datediff("date", "entry_date") >= hold_days, "time").when(F.col("score") < least_score, "score")
     seen = seen.withColumn("reason", reason)
     keys = ["symbol", "signal_date", "entry_date", "entry_price"]
     hit = F.struct("date", "close", "reason")
@@ -116,6 +145,35 @@ def equity_curve(rounds: DataFrame) -> DataFrame:
     return daily.withColumn("value", F.exp(F.sum(F.log1p("ret")).over(w))).select("run_id", "date", "ret", "value")
 
 
+def open_trade_equity(rounds: DataFrame, bars: DataFrame, *, commission=0.0003) -> DataFrame:
+    """(run_id, date, n_open, ret, value): mean daily return of the trades that are open, compounded; dates without an open trade are left out.
+
+    A trade earns from its entry price to that day's close, then from close to close of its symbol, then to its exit
+    price; both prices bear the commission, so that its days multiply to its own return.  Trades are not spread over their
+    days: entries and exits are counted per symbol and date, running sums of both tell how many trades a bar's return counts for.
+    """
+    paid, got = F.col("entry_price") * (1 + commission), F.col("exit_price") * (1 - commission)
+    same, zero = F.col("entry_date") == F.col("exit_date"), F.lit(0.0)
+    event = lambda date, n_in, n_out, inverse, sold, n_same, ret: F.struct(*(x.alias(n) for x, n in ((date, "date"), (n_in, "n_in"), (n_out, "n_out"), (inverse, "inverse"), (sold, "sold"), (n_same, "n_same"), (ret, "same_ret"))))
+    whole = event(F.col("entry_date"), zero, zero, zero, zero, F.lit(1.0), got / paid - 1)
+    start, end = event(F.col("entry_date"), F.lit(1.0), zero, 1 / paid, zero, zero, zero), event(F.col("exit_date"), zero, F.lit(1.0), zero, got, zero, zero)
+    names = ["n_in", "n_out", "inverse", "sold", "n_same", "same_ret"]
+    events = rounds.select("symbol", F.explode(F.when(same, F.array(whole)).otherwise(F.array(start, end))).alias("e")).select("symbol", "e.*")
+    events = events.groupBy("symbol", "date").agg(*(F.sum(n).alias(n) for n in names))
+    by_symbol = Window.partitionBy("symbol").orderBy("date")
+    upto, before = by_symbol.rowsBetween(Window.unboundedPreceding, 0), by_symbol.rowsBetween(Window.unboundedPreceding, -1)
+    b = bars.select("symbol", "date", "close").join(events, ["symbol", "date"], "left").fillna(0.0, names)
+    b = b.withColumns({"prev": F.lag("close").over(by_symbol), "held": F.coalesce(F.sum("n_in").over(before), zero) - F.sum("n_out").over(upto)})
+    step = lambda x: F.coalesce(F.try_divide(x, "prev"), zero)
+    earned = F.col("close") * F.col("inverse") - F.col("n_in") + step(F.col("sold")) - F.col("n_out") + F.col("same_ret") + F.col("held") * (step(F.col("close")) - 1)
+    daily = b.withColumn("earned", F.when(F.col("prev").isNull(), F.col("close") * F.col("inverse") - F.col("n_in") + F.col("same_ret")).otherwise(earned))
+    daily = daily.groupBy("date").agg(*(F.sum(n).alias(n) for n in ("earned", "n_in", "n_out", "n_same"))).withColumn("run_id", F.lit(1))
+    run = Window.partitionBy("run_id").orderBy("date")  # one row a date
+    n_open = F.sum("n_in").over(run) - F.coalesce(F.sum("n_out").over(run.rowsBetween(Window.unboundedPreceding, -1)), zero) + F.col("n_same")
+    daily = daily.withColumn("n_open", n_open).where("n_open > 0").withColumn("ret", F.col("earned") / F.col("n_open"))
+    return daily.select("run_id", "date", F.col("n_open").cast("long").alias("n_open"), "ret", F.exp(F.sum(F.log1p("ret")).over(run)).alias("value"))
+
+
 def drawdowns(equity: DataFrame) -> DataFrame:
     """Running peak, drawdown and daily return per run."""
     w = Window.partitionBy("run_id").orderBy("date")

@@ -109,8 +109,8 @@ QUERIES = {
 SQL = {
     "fifo_round_trips": f"WITH {FIFO} SELECT symbol, count(*) AS n_lots, {rs('sum(qty)', 2)} AS qty, {rs('sum(cost)', 2)} AS cost, {rs('sum(pnl)', 2)} AS pnl, sum(days)::BIGINT AS days FROM lot GROUP BY symbol",
     "trade_diagnostics": f"""WITH {FIFO}, g AS (
-  SELECT symbol, count(*) AS n_lots, avg((ret > 0)::INT) AS win_rate, avg(ret) AS avg_return_pct, coalesce(avg(ret) FILTER (WHERE ret > 0), 0) AS avg_win_pct, coalesce(avg(ret) FILTER (WHERE ret < 0), 0) AS avg_loss_pct,
-    CASE WHEN count(*) FILTER (WHERE ret < 0) = 0 THEN 9.99 ELSE coalesce(avg(ret) FILTER (WHERE ret > 0), 0) / abs(avg(ret) FILTER (WHERE ret < 0)) END AS profit_loss_ratio,
+  SELECT symbol, count(*) AS n_lots, avg((ret > 0)::INT) AS win_rate, avg(ret) AS avg_return_pct, coalesce(avg(ret) FILTER (WHERE ret > 0), 0) AS avg_win_pct, coalesce(avg(ret) FILTER (WHERE ret <= 0), 0) AS avg_loss_pct,
+    CASE WHEN avg(ret) FILTER (WHERE ret <= 0) < 0 THEN coalesce(avg(ret) FILTER (WHERE ret > 0), 0) / abs(avg(ret) FILTER (WHERE ret <= 0)) WHEN count(*) FILTER (WHERE ret > 0) > 0 THEN 9.99 ELSE 0 END AS profit_loss_ratio,
     avg(days) AS avg_days, sum(pnl) AS realised, coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252.0), 0) AS sharpe FROM lot GROUP BY symbol
 ) SELECT symbol, n_lots, {', '.join(f'{rs(c)} AS {c}' for c in ('win_rate', 'avg_return_pct', 'avg_win_pct', 'avg_loss_pct', 'profit_loss_ratio', 'avg_days', 'sharpe'))}, {rs('realised', 2)} AS realised FROM g""",
     "average_cost_positions": f"WITH RECURSIVE {POS} SELECT symbol, n_trades, {rs('qty', 2)} AS qty, {rs('cost', 2)} AS cost, {rs('realised', 2)} AS realised FROM pos",
