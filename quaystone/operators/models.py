@@ -55,23 +55,6 @@ def probability_model(train: DataFrame, features: list[str], label: str):
     return Pipeline(stages=stages).fit(train.withColumn("_w", weight)), None
 
 
-def walk_forward(df: DataFrame, features: list[str], label: str, date: str, folds: int = 3) -> DataFrame:
-    """Out-of-fold (date, y, p): each fold is predicted by the dates before it; folds split on whole dates."""
-    from pyspark.ml.functions import vector_to_array
-
-    cuts = df.select(F.datediff(date, F.lit("1970-01-01")).cast("double").alias("d")).approxQuantile("d", [i / (folds + 1) for i in range(1, folds + 1)], 0.001)
-    out = None
-    for k, cut in enumerate(cuts):
-        day = F.datediff(date, F.lit("1970-01-01"))
-        hi = cuts[k + 1] if k + 1 < len(cuts) else float("inf")
-        model, prior = probability_model(df.where(day <= cut), features, label)
-        test = df.where((day > cut) & (day <= hi))
-        p = test.withColumn("p", F.lit(prior)) if model is None else model.transform(test).withColumn("p", vector_to_array("_prob")[1])
-        part = p.select(date, F.col(label).alias("y"), "p", F.lit(k).alias("fold"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 #: Rows of a block of queries and of samples.
 QUERY_BLOCK, SAMPLE_BLOCK = 1000, 4000
 

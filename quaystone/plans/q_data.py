@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import flow as fl
-from ..operators import indicators as ind
 from ..operators import models as ml
 from ..operators import store as st
 from ..sources import adapters as src
@@ -155,12 +154,6 @@ def bands(spark, d):
     return ml.probability_bands(predictions(spark, d), ["lang"]).select("lang", "band", "n", r("hit_rate").alias("hit_rate"))
 
 
-def walk_forward(spark, d):
-    p = ind.forward_labels(ind.feature_frame(src.bars(spark, d))).where("future_return is not null")
-    out = ml.walk_forward(ind.every_kth(p, 5), ["return_5d", "return_20d", "ma20_gap_pct", "volume_ratio_20"], "label_up", "date")
-    return ml.evaluate(out.select("fold", "y", F.round("p", 6).alias("p")), ["fold"]).select("fold", "n", "n_pos", r("auc", 2).alias("auc"), r("brier", 2).alias("brier"))
-
-
 def neighbours(spark, d):
     e = src.table(spark, d, "embeddings").where("embedding is not null")
     return ml.neighbour_evidence(e.where("vec_id % 50 = 0"), e).select("vec_id", "n", r("avg_d", 3).alias("avg_d"), "nearest", r("mean_label").alias("mean_label"))
@@ -196,7 +189,7 @@ QUERIES = {
     "news_events": news_events, "news_scores": news_scores, "news_diverse_top": news_diverse, "news_hashes": news_hashes, "news_search": news_search, "page_links": page_links,
     "latest_order_per_customer": latest_orders, "upsert_orders": upserted, "insert_missing_orders": inserted, "single_active_order": active_orders, "prefer_primary": preferred,
     "source_fallback": source_fallback, "as_of_quotes": order_quotes, "page_of_orders": paged, "search_symbols": searched, "scalar_rules": scalars, "parse_dates": dates,
-    "model_metrics": model_metrics, "probability_bands": bands, "walk_forward_metrics": walk_forward, "neighbour_evidence": neighbours,
+    "model_metrics": model_metrics, "probability_bands": bands, "neighbour_evidence": neighbours,
     "stream_latest_value": stream_latest, "stream_deduplicated": stream_dedupe, "stream_daily_bars": stream_bars, "stream_positions": stream_positions,
 }
 
