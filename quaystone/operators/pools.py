@@ -31,11 +31,17 @@ def with_latest_action(pool: DataFrame, actions: DataFrame, keys: list[str], ts:
     return out.withColumn("bought", F.col("bought_at").isNotNull())
 
 
+def bought_after(rows: DataFrame, buys: DataFrame, keys: list[str], date: str, ts: str, days: int) -> DataFrame:
+    """``rows`` with ``bought``: whether the same key was bought on the row's date or up to ``days`` days later."""
+    b = buys.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda k: F.date_sub(ts, k))).alias(date)).distinct()
+    return rows.join(b.withColumn("bought", F.lit(True)), [*keys, date], "left").fillna(False, ["bought"])
+
+
 def buy_conservatism(rows: DataFrame, keys: list[str], strong: str, value: str) -> DataFrame:
-    """Strong rows that were and were not bought, and the mean result of both."""
+    """Strong rows that were and were not bought, those of ranks up to 10 (``rank_no``) that were not, and the mean result of both."""
     hit, bought = F.col(strong), F.col("bought")
     return rows.groupBy(*keys).agg(
-        F.count_if(hit & bought).alias("n_bought"), F.count_if(hit & ~bought).alias("n_unbought"),
+        F.count_if(hit & bought).alias("n_bought"), F.count_if(hit & ~bought).alias("n_unbought"), F.count_if(hit & ~bought & (F.col("rank_no") <= 10)).alias("n_unbought_top10"),
         F.avg(F.when(hit & bought, F.col(value))).alias("bought_avg"), F.avg(F.when(hit & ~bought, F.col(value))).alias("unbought_avg"),
     )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, finite, limit_band, safe_div, truthy
+from ..sources.shared import written
+from .ordering import exact_quantiles, mean_ranks
 
 HORIZONS = (3, 5, 10, 20)
 THRESHOLDS = {3: 5.0, 5: 8.0, 10: 12.0, 20: 18.0}
@@ -134,15 +135,9 @@ def factor_correlations(long: DataFrame, factors: list[str]) -> DataFrame:
     """Pearson and Spearman correlation of each factor with the return, per horizon; pairs must be finite."""
     each = F.array(*(F.struct(F.lit(f).alias("factor"), finite(f).alias("x")) for f in factors))
     t = long.select("horizon", finite("return_pct").alias("y"), F.explode(each).alias("e")).select("horizon", "y", "e.*").where("x is not null and y is not null")
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)  # read three times below; spills to disk, recomputed if lost
-    # ranks within (horizon, factor): ties share their mean rank.  Values are counted first, so that the ordered
-    # window runs over distinct values
-    def avg_rank(c: str) -> DataFrame:
-        n = t.groupBy("horizon", "factor", c).agg(F.count("*").alias("n"))
-        w = Window.partitionBy("horizon", "factor").orderBy(c)
-        return n.select("horizon", "factor", c, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"r{c}"))
-
-    t = t.join(avg_rank("x"), ["horizon", "factor", "x"]).join(avg_rank("y"), ["horizon", "factor", "y"])
+    t = written(t, "factor-pairs")
+    keys = ["horizon", "factor"]
+    t = t.join(mean_ranks(t, keys, "x", "rx"), [*keys, "x"]).join(mean_ranks(t, keys, "y", "ry"), [*keys, "y"])
     flat = lambda c: (F.min(c) == F.max(c))
     return t.groupBy("horizon", "factor").agg(
         F.count("*").alias("n"),
@@ -152,14 +147,16 @@ def factor_correlations(long: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def miss_samples(long: DataFrame, limit: int = 20) -> DataFrame:
-    """Late winners, early losers and unbought strong rows, the ``limit`` most telling of each kind and horizon."""
-    q = long.groupBy("horizon").agg(F.percentile("return_pct", F.lit(0.9)).alias("p90"), F.percentile("return_pct", F.lit(0.1)).alias("p10"))
+    """Late winners, early losers and, where ``bought`` is a column, unbought strong rows: the ``limit`` most telling of each kind and horizon."""
+    long = written(long, "labels-by-horizon")
+    q = exact_quantiles(long, ["horizon"], "return_pct", {"p90": 0.9, "p10": 0.1})
     t = long.join(F.broadcast(q), "horizon")  # one row for each horizon
     late = (F.col("rank_no") > 10) & ((F.col("return_pct") >= F.col("p90")) | F.col("strong"))
     early = (F.col("rank_no") <= 10) & ((F.col("return_pct") <= F.col("p10")) | F.col("tp_sl_path").isin("sl_before_tp", "both_same_day_stop_loss_first"))
-    kinds = F.array_compact(F.array(F.when(late, "late_winner"), F.when(early, "early_loser")))
-    t = t.withColumn("kind", F.explode(kinds))
-    order = F.when(F.col("kind") == "late_winner", -F.col("return_pct")).otherwise(F.col("return_pct"))
+    kinds = [F.when(late, "late_winner"), F.when(early, "early_loser")]
+    kinds += [F.when(F.col("strong") & ~F.col("bought"), "unbought_strong")] if "bought" in long.columns else []
+    t = t.withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
+    order = F.when(F.col("kind") == "early_loser", F.col("return_pct")).otherwise(-F.col("return_pct"))
     w = Window.partitionBy("horizon", "kind").orderBy(order, "trade_date", "symbol")
     return t.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
 

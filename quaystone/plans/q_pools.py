@@ -28,10 +28,10 @@ def pool_actions(spark, d):
 
 
 def conservatism(spark, d):
-    bought = actions(spark, d).where("kind = 'buy'").select("symbol", F.lit(True).alias("bought")).distinct()
-    rows = labelled(spark, d).join(bought, "symbol", "left").fillna(False, ["bought"])
+    buys = actions(spark, d).where("kind = 'buy'")
+    rows = pools.bought_after(labelled(spark, d), buys, ["symbol"], "trade_date", "ts", 5)
     out = pools.buy_conservatism(rows, ["state"], "strong_5d", "return_5d_pct")
-    return out.select("state", "n_bought", "n_unbought", r("bought_avg", 3).alias("bought_avg"), r("unbought_avg", 3).alias("unbought_avg"))
+    return out.select("state", "n_bought", "n_unbought", "n_unbought_top10", r("bought_avg", 3).alias("bought_avg"), r("unbought_avg", 3).alias("unbought_avg"))
 
 
 def state_stats(spark, d):
@@ -88,8 +88,8 @@ SQL = {
     "pool_actions": f"""WITH {INDUSTRY}, {ACT}, la AS (SELECT symbol, kind FROM act QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, id DESC) = 1),
 fb AS (SELECT symbol, min(ts) AS bought_at FROM act WHERE kind = 'buy' GROUP BY 1)
 SELECT i.symbol, industry, kind AS action, bought_at IS NOT NULL AS bought, bought_at FROM industry i LEFT JOIN la ON la.symbol = i.symbol LEFT JOIN fb ON fb.symbol = i.symbol WHERE kind IS DISTINCT FROM 'ignored'""",
-    "buy_conservatism": f"""WITH {LAB}, {ACT}, fb AS (SELECT DISTINCT symbol FROM act WHERE kind = 'buy'), x AS (SELECT lab.*, fb.symbol IS NOT NULL AS bought FROM lab LEFT JOIN fb ON fb.symbol = lab.symbol)
-SELECT state, count(*) FILTER (WHERE strong_5d AND bought) AS n_bought, count(*) FILTER (WHERE strong_5d AND NOT bought) AS n_unbought,
+    "buy_conservatism": f"""WITH {LAB}, {ACT}, x AS (SELECT lab.*, EXISTS (SELECT 1 FROM act WHERE kind = 'buy' AND act.symbol = lab.symbol AND ts BETWEEN lab.trade_date AND lab.trade_date + 5) AS bought FROM lab)
+SELECT state, count(*) FILTER (WHERE strong_5d AND bought) AS n_bought, count(*) FILTER (WHERE strong_5d AND NOT bought) AS n_unbought, count(*) FILTER (WHERE strong_5d AND NOT bought AND rank_no <= 10) AS n_unbought_top10,
   {rs('avg(return_5d_pct) FILTER (WHERE strong_5d AND bought)', 3)} AS bought_avg, {rs('avg(return_5d_pct) FILTER (WHERE strong_5d AND NOT bought)', 3)} AS unbought_avg FROM x GROUP BY 1""",
     "state_statistics": f"""WITH {LAB}, s AS (SELECT unnest(['defensive', 'neutral', 'offensive']) AS state), l AS (SELECT state AS st, return_5d_pct AS v FROM lab WHERE tradability_status = 'tradable')
 SELECT state, count(v) AS n, {rs('coalesce(count(*) FILTER (WHERE v > 0) / nullif(count(v), 0)::DOUBLE, 0) * 100', 3)} AS win_rate, {rs('coalesce(min(v), 0)', 3)} AS worst FROM s LEFT JOIN l ON st = state GROUP BY 1""",

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
 from ..operators import ranking as rk
 from ..sources import adapters as src
 from ..sources.adapters import BARS, INDUSTRY
+from ..sources.shared import written
 from .sqltext import FEATURES, r, rs
 
 FACTORS = ["return_5d", "return_20d", "ma20_gap_pct", "volume_ratio_20", "volatility_20d", "from_20d_high_pct"]
@@ -25,15 +25,16 @@ def score():
     return F.round(F.col("return_20d") - 0.3 * F.abs(F.col("ma20_gap_pct")) + F.col("volume_ratio_20") + 1e-9, 4)
 
 
-def candidates(spark, d, limit=15):
-    p = panel(spark, d)
+def candidates(spark, d, limit=15, p=None):
+    p = panel(spark, d) if p is None else p
     state = rk.market_state(p).select(F.col("date").alias("trade_date"), "state")
     return rk.ranked(p, score(), limit).join(state, "trade_date")
 
 
 def labelled(spark, d):
-    c = candidates(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # read for keys, labels and factors
-    lab = rk.forward_labels(c, panel(spark, d), min_amount=MIN_AMOUNT)
+    p = written(panel(spark, d), "panel")  # read for candidates, their state and the bars ahead
+    c = written(candidates(spark, d, p=p), "candidates")
+    lab = rk.forward_labels(c, p, min_amount=MIN_AMOUNT)
     return lab.join(c.select("trade_date", "symbol", "state", *FACTORS), ["trade_date", "symbol"])
 
 
