@@ -80,9 +80,13 @@ def diverse_top(events: DataFrame, n: int, group: str, by: str = "source", time:
     return e.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).drop("_s")
 
 
-def news_filter(news: DataFrame, *, keyword: str | None = None, source: str | None = None, relevant_only: bool = False) -> DataFrame:
-    """Conjunction of the given conditions."""
+def news_filter(news: DataFrame, *, keyword: str | None = None, source: str | None = None, relevant_only: bool = False, level: str | None = None, symbol: str | None = None, since=None) -> DataFrame:
+    """Conjunction of the given conditions; ``level``, ``symbol`` and ``since`` read event_level, symbol and publish_time."""
     out = news
+    for column, value in (("event_level", level), ("symbol", symbol)):
+        out = out.where(F.col(column) == value) if value else out
+    if since is not None:
+        out = out.where(F.col("publish_time") >= F.lit(since))
     if keyword:
         out = out.where(F.lower("text").contains(keyword.lower()))
     if source:
