@@ -1,6 +1,6 @@
 """WARC archives, compressed record by record with a dictionary of their own.
 
-A dictionary is built from a bounded sample of records (SAMPLE) and embedded in every archive as its first frame, a
+A dictionary is built from a bounded sample of records (about SAMPLE) and embedded in every archive as its first frame, a
 skippable one (magic 0x184D2A5D, as the WARC-Zstandard specification has it), so that each archive can be read alone.
 Every record is a frame of its own, so that a reader may begin at any record.
 
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import SLICE_BYTES, new_path, slices, stored, table, texts_of
 
-#: Records the dictionary is built from and the largest of them, in bytes; bytes of the dictionary.
+#: Records the dictionary is built from (twice as many at most) and the largest of them, in bytes; bytes of the dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 400, 32 << 10, 64 << 10
 #: Compressed bytes after which a task begins its next archive; digests joined by broadcast at most.
 ARCHIVE_BYTES, HEAVY = 32 << 20, 1000
@@ -114,8 +114,10 @@ def parsed(raw: bytes) -> tuple:
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """Trained on at most SAMPLE records of at most SAMPLE_BYTES, chosen by hash; empty where there are too few to train on."""
-    rows = pages.select("page_id", "url", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("html"), "page_id").limit(SAMPLE).collect()
+    """Trained on about SAMPLE records of at most SAMPLE_BYTES, a share of the pages chosen by hash; empty where there are too few to train on."""
+    share = max(1, pages.count() // SAMPLE)
+    chosen = F.pmod(F.xxhash64("page_id", "html"), F.lit(share)) == 0
+    rows = pages.select("page_id", "url", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES) & chosen).limit(2 * SAMPLE).collect()
     texts = {r["html"].encode(): r for r in rows}
     samples = [record(r["page_id"], r["url"], x, len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), None) for x, r in texts.items()]
     size = min(DICTIONARY, sum(map(len, samples)) // 8)
