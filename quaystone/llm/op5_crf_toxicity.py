@@ -54,7 +54,7 @@ def tail(hits: int, n: int, share: float) -> float:
 def toxic_features(toxic: list[bytes], other: list[bytes], features_of) -> set[str]:
     """Features whose documents are toxic far beyond chance; a group of copies counts once."""
     docs = [*toxic, *other]
-    group = groups_of_copies([set(t.split()) for t in docs])
+    group = groups_of_copies(docs)
     bad = {int(x) for x in group[: len(toxic)]}
     share = min(0.999, len(bad) / max(1, len(set(group.tolist()))))
     least = max(3, math.ceil(math.log(P_VALUE) / math.log(share)))
@@ -108,21 +108,20 @@ def chain_marginals(unary: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     inner[starts] = False
     i = np.flatnonzero(inner)
     x, y = back[i - 1], ahead[i]
-    w = np.array([np.full(len(i), m00), m01 * y, m10 * x, m11 * x * y])
-    return p, (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    both = x * y
+    share = 1 / (m00 + m01 * y + m10 * x + m11 * both)
+    return p, np.array([[m00 * share.sum(), m01 * (y @ share)], [m10 * (x @ share), m11 * (both @ share)]])
 
 
-def groups_of_copies(docs: list[set[bytes]]) -> np.ndarray:
+def groups_of_copies(docs: list[bytes]) -> np.ndarray:
     """Near copies share a number, so that a copied text counts once: equal pairs of MinHash values over rarer words."""
-    df: dict[bytes, int] = {}
-    for d in docs:
-        for w in d:
-            df[w] = df.get(w, 0) + 1
-    most = max(2, len(docs) // 50)
+    hashed = [np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in set(t.split())], dtype=np.uint64)) for t in docs]
+    values, n = np.unique(np.concatenate(hashed), return_counts=True)
+    rare = values[n <= max(2, len(docs) // 50)]
     forest, first = Forest(len(docs)), {}
     odd = np.random.default_rng(5).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for k, d in enumerate(docs):
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in d if df[w] <= most], dtype=np.uint64)
+    for k, d in enumerate(hashed):
+        h = d[np.isin(d, rare, assume_unique=True)]
         if len(h):
             with np.errstate(over="ignore"):
                 v = ((h[:, None] * odd) >> np.uint64(20)).min(axis=0).tolist()
@@ -177,18 +176,21 @@ def fit(toxic: list[bytes], other: list[bytes], prior: float | None = None) -> d
     plain = plain[:: max(1, len(plain) // max(1, len(marked)))]
     tokens, starts, lengths, doc = chains([lines[k] for k in [*marked, *plain]])
     label = np.array([k < len(marked) and not bad.isdisjoint(of(w)) for k, w in zip(doc.tolist(), tokens, strict=True)], dtype=bool)
+    place: dict[bytes, int] = {}
+    word = np.array([place.setdefault(w, len(place)) for w in tokens], dtype=np.int32)  # features are held once a distinct word
     number: dict[str, int] = {}
     count: dict[str, int] = {}
-    for w in tokens:
+    for w, n in zip(place, np.bincount(word).tolist(), strict=True):
         for f in of(w):
-            count[f] = count.get(f, 0) + 1
+            count[f] = count.get(f, 0) + n
     flat, sizes = array("l"), array("l")
-    for w in tokens:
+    for w in place:
         own = [number.setdefault(f, len(number)) for f in of(w) if count[f] >= MIN_COUNT]
         flat.extend(own)
         sizes.append(len(own))
-    at, flat = np.repeat(np.arange(len(tokens)), np.array(sizes, dtype=np.int64)), np.array(flat, dtype=np.int64)
-    del count
+    n_words = len(place)
+    at, flat = np.repeat(np.arange(n_words), np.array(sizes, dtype=np.int64)), np.array(flat, dtype=np.int64)
+    del count, place
     v = np.zeros(len(number) + 5)  # weights, bias, transitions
     mom, var = np.zeros_like(v), np.zeros_like(v)
     inner = np.ones(len(tokens), dtype=bool)
@@ -196,10 +198,11 @@ def fit(toxic: list[bytes], other: list[bytes], prior: float | None = None) -> d
     i = np.flatnonzero(inner)
     seen_pairs = np.bincount(2 * label[i - 1] + label[i], minlength=4).astype(float)
     for step in range(1, STEPS + 1):
-        unary = np.bincount(at, weights=v[flat], minlength=len(tokens)) + v[-5]
+        unary = (np.bincount(at, weights=v[flat], minlength=n_words) + v[-5])[word]
         p, pairs = chain_marginals(unary, starts, lengths, v[-4:].reshape(2, 2), pairs=True)
         miss = label - p
-        g = np.r_[np.bincount(flat, weights=miss[at], minlength=len(number)), miss.sum(), seen_pairs - pairs.ravel()] - L2 * v
+        by_word = np.bincount(word, weights=miss, minlength=n_words)
+        g = np.r_[np.bincount(flat, weights=by_word[at], minlength=len(number)), miss.sum(), seen_pairs - pairs.ravel()] - L2 * v
         mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
         v += 0.3 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     weights = {f: float(v[k]) for f, k in number.items()}
