@@ -32,13 +32,21 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 #: Elements that are never part of the article.
 DROP = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "object", "audio", "video", "canvas", "label", "fieldset"} | RAW
-#: Words of class, id or role that name boilerplate.
-DROP_NAME = re.compile(
-    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|comment\w*|disqus|respond|reply|"
+#: Words of class, id or role that name boilerplate, and words that say no more than what kind of box it is.
+BOILERPLATE = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|comment\w*|disqus|respond|reply|"
     r"cookie\w*|consent\w*|notice\w*|newsletter\w*|subscri\w*|share\w*|social\w*|related\w*|recommend\w*|popup\w*|modal\w*|login\w*|toolbar\w*|pagination|pager|widget\w*|"
-    r"navigation|complementary|contentinfo|search|alert\w*|toc|skip\w*)(?:$|[_-])",
+    r"navigation|complementary|contentinfo|search|alert\w*|toc|skip\w*",
     re.I,
 )
+NEUTRAL = re.compile(
+    r"\d*|\w|site|page|global|main|top|bottom|left|right|first|last|primary|secondary|mobile|desktop|box\w*|bar|block|wrap\w*|container|list\w*|links?|buttons?|btns?|icons?|inner|outer|area|section|panel|items?|"
+    r"form|sign\w*|unit|slot|posts?|articles?|stor(?:y|ies)|content|media|tools?|text|row|col\w*|group|thread|policy|feed|bottom|sticky|fixed|js|the|more|to",
+    re.I,
+)
+#: Elements of running text: one word of their class is often about the text, not about its place.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figure", "figcaption", "span", "b", "i", "em", "strong", "mark", "a"}
+ABOUT = {"side", "header", "toc", "search", "reply", "respond", "share", "shares", "notice", "alert", "banner", "menu", "skip", "related"}
 #: Names that say what a wrapper has beside its content.
 BESIDE = re.compile(r"^(?:has|no|with|without)[_-]", re.I)
 BLOCK = {
@@ -72,11 +80,20 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def boilerplate(attrs: dict[str, str]) -> bool:
+def named_boilerplate(name: str, element: str) -> bool:
+    """Whether a whole class, id or role names boilerplate: each of its words does, or is neutral, and one at least does."""
+    words = re.split(r"[_-]+", name)
+    if len(words) == 1:
+        return bool(BOILERPLATE.fullmatch(name)) and not (element in RUNNING and name.lower() in ABOUT)
+    telling = [bool(BOILERPLATE.fullmatch(w)) for w in words]
+    return any(telling) and all(t or NEUTRAL.fullmatch(w) for t, w in zip(telling, words, strict=True))
+
+
+def boilerplate(attrs: dict[str, str], element: str) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or INVISIBLE.search(attrs.get("style", "")):
         return True
     names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split()
-    return any(DROP_NAME.search(n) and not BESIDE.match(n) for n in names)
+    return any(named_boilerplate(n, element) and not BESIDE.match(n) for n in names)
 
 
 class Page:
@@ -191,7 +208,7 @@ class Page:
                 while k and not self.pardoned[k]:
                     self.pardoned[k] = True
                     k = self.above[k]
-            elif name not in ("html", "body") and boilerplate(attrs):
+            elif name not in ("html", "body") and boilerplate(attrs, name):
                 self.above.append(suspect)
                 self.pardoned.append(False)
                 suspect = len(self.above) - 1
@@ -225,7 +242,7 @@ def content(page: str, *, share: float = 0.5, window: int = 1) -> str:
         k = order[k]
         fused = scores(k, length[of], marks[of], linked[of], window)
         links = np.bincount(k, weights=linked[of]) > 0.5 * np.bincount(k, weights=length[of])
-        return (fused >= share * fused.std())[k], links[k]
+        return ((fused > 0) & (fused >= share * fused.std()) & ~links)[k], links[k]
 
     of = np.arange(len(path))
     good, links = chosen(of)
@@ -233,6 +250,8 @@ def content(page: str, *, share: float = 0.5, window: int = 1) -> str:
     if bounded and not rooted.all():
         of = np.flatnonzero(rooted)
         good, links = chosen(of)
+    if not good.any():
+        return ""
     parents = {p.parent[k] for k in path[of[good]].tolist()}
 
     def beside(k: int) -> bool:
