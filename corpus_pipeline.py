@@ -2,6 +2,12 @@
 
 Toxic documents go, low-quality documents go, repeated lines go, one document of each near-duplicate class
 stays, and what is left is packed into sequences.
+
+Defined cases.  Null and empty texts and texts without words fail the quality rules, so that later stages meet none of
+the corpus' own; documents that lose all their lines to earlier ones are copies of each other without words, and one of each
+text stays.  A null doc_id is never learned from, owns no line and is nobody's copy: it goes by its text alone and is packed.  Rows that
+repeat a doc_id and its text are one document after the near-duplicate stage.  Texts are read whole; other columns, whatever their names,
+are carried to the last stage; an empty table packs into nothing.
 """
 
 from __future__ import annotations
