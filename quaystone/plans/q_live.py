@@ -106,7 +106,7 @@ LIVE = f"""{PICK}, {values_of_profiles()}, l0 AS (
 ), live AS (
   SELECT symbol, date, state, risk, strategy, act AS action, CASE WHEN up_ >= 0.68 AND dn <= 0.22 THEN 'high' WHEN up_ >= 0.55 THEN 'medium' ELSE 'low' END AS confidence, penalty_::DOUBLE AS penalty, notes,
     least(most, 10) * CASE WHEN act = 'buy' THEN 1.0 ELSE 0.5 END::DOUBLE AS position_pct, up_ AS up_prob, dn AS dd_prob, edge, profit_factor, (up_ - dn) * factor AS expected_return, close * (1 - stop) AS stop_price, close * (1 + take) AS take_price,
-    {cl(f"trend * w0 + fs * w1 + tu * w2 + quality * w3 + risk_adjusted * w4 + es * w5 + {cl('50 + news', 0, 100)} * w6", 0, 100)} AS total, trend, quality, risk_adjusted, turn, inflow FROM l11
+    {cl(f"trend * w0 + fs * w1 + tu * w2 + quality * w3 + risk_adjusted * w4 + es * w5 + {cl('50 + news', 0, 100)} * w6", 0, 100)} AS total, trend, quality, risk_adjusted, turn, inflow, fs FROM l11
 )"""
 
 GROWTH = "CASE WHEN symbol[1:3] IN ('300', '688') THEN 4.0 ELSE 0.0 END"

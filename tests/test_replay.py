@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaystone.operators import credibility as cr
+from quaystone.operators import guidance as gd
 from quaystone.operators import live, pools
 from quaystone.operators import trades as tr
 
@@ -183,3 +184,36 @@ def test_profile_selection(spark):
     assert ("low", "loose") in {(r.risk, r.symbol) for r in pools.profile_selection(one_less).collect()}
     alone = {r.symbol for r in pools.risk_selection(df.where("risk = 'low'").drop("risk"), "low").collect()}
     assert alone == {f"s{i}" for i in range(8)}
+
+
+def test_pick_grades(spark):
+    schema = "k int, action string, total double, up_prob double, dd_prob double, edge double, profit_factor double, state string, risk string, live_ready boolean"
+    a = ("buy", 86.0, 0.66, 0.24, 2.2, 1.35)
+    rows = [
+        (1, *a, "neutral", "medium", True), (2, *a, "defensive", "medium", True), (3, *a, "neutral", "medium", False), (4, "buy", 86.0, 0.66, 0.24, 2.2, 1.34, None, "medium", None), (5, "buy", 76.0, 0.58, 0.34, 1.0, 1.0, "neutral", "low", True),
+        (6, "watch", 10.0, 0.1, 0.9, 0.0, 1.0, "neutral", "high", True), (7, "pass", 66.0, 0.1, 0.9, 0.0, 1.0, "neutral", "high", True), (8, "buy", 65.9, 0.9, 0.1, 9.0, 9.0, "neutral", "high", True), (9, "buy", *[None] * 8),
+    ]
+    got = {r.k: (r.grade, r.mode) for r in gd.pick_grade(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        1: ("A", "real_allowed"), 2: ("B", "real_allowed"), 3: ("A", "paper_only"), 4: ("B", "paper_only"), 5: ("C", "watch_only"), 6: ("C", "watch_only"), 7: ("C", "watch_only"), 8: ("D", "watch_only"), 9: ("D", "watch_only"),
+    }
+
+
+def test_decisions_agree_with_the_pool(spark):
+    pool = "symbol string, action string, grade string, total double, trend double, flow_score double, dd_prob double, up_prob double, expected_return double, position_pct double, take_price double, stop_price double"
+    rows = [("a", "buy", "A", 90.0, 80.0, 70.0, 0.2, 0.7, 5.0, 10.0, 11.0, 9.0), ("b", "ignored", None, 30.0, 1.0, 1.0, 0.5, 60.0, 1.0, 0.0, None, None), ("c", "odd", None, 20.0, 1.0, 1.0, 0.3, None, 1.0, None, None, None)]
+    got = {r.symbol: r for r in gd.aligned_decision(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "symbol string"), spark.createDataFrame(rows, pool)).collect()}
+    assert [(got[k].decision, got[k].confidence, got[k].risk_level) for k in "abcd"] == [("buy", "high", "low"), ("not_now", "medium", "raised"), ("watch", "low", "medium"), ("not_in_pool", "low", "high")]
+    assert got["a"].probability_pct == pytest.approx(70) and got["b"].probability_pct == 60 and got["d"].position_pct == 0 and not got["d"].in_pool
+
+
+def test_advice(spark):
+    df = spark.createDataFrame([("a", 50, 10.0), ("b", -5, 10.0), ("c", None, 10.0), ("d", 15, 10.0)], "symbol string, signal_score int, close double")
+    got = {(r.symbol, r.risk_level, r.period): r for r in gd.advice(df).collect()}
+    assert len(got) == 36
+    r = got["a", "medium", "medium"]
+    assert (r.entry, r.entry_high_pct, r.add_on, r.take_pct, r.stop_price, r.warnings) == ("build", 50, "on_breakout", pytest.approx(9.6), pytest.approx(9.2), []) and r.entry_price == 10
+    r = got["d", "medium", "short"]
+    assert r.adjusted == pytest.approx(12) and r.entry == "careful" and r.entry_price == pytest.approx(9.7) and r.take_pct == pytest.approx(7.2) and r.warnings == ["short_term"]
+    assert got["b", "high", "long"].warnings == ["bearish", "high_risk"] and got["b", "high", "long"].take_pct == 12 and got["b", "low", "long"].stop_price == pytest.approx(9.5)
+    assert got["c", "low", "medium"].entry == "wait" and got["c", "low", "medium"].entry_price is None
