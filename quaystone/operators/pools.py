@@ -10,6 +10,8 @@ from .store import latest_by
 
 #: Market states, weakest first.
 STATES = ("defensive", "neutral", "offensive")
+# Fixed values by risk: shift of the score threshold, floor of a relaxed one (null: never), least and most rows shown and rows a position.
+SHOWN = {"low": (4.0, None, 8, 18, 4), "medium": (0.0, 68.0, 12, 30, 6), "high": (-6.0, 66.0, 20, 40, 8)}
 
 
 def score_in_text(text: Column) -> Column:
@@ -139,3 +141,46 @@ def profile_selection(picks: DataFrame) -> DataFrame:
     wide = F.when(low, (c("_n") < 8) & loose | (c("_n") >= 8) & c("_a")).when(high, (c("_n") < 10) & fits | (c("_n") >= 10) & c("_a")).otherwise(c("dd_prob") <= 0.42)
     key = F.when(low, risk_order("low")).when(high, risk_order("high")).otherwise(risk_order("medium"))
     return out.where(wide).drop("_a", "_n").withColumn("key", key)
+
+
+def calibrated_scores(picks: DataFrame) -> DataFrame:
+    """``picks`` with ``display_score``: raw total, quality of the odds and mid-rank within date and profile, with bonuses and deductions.
+
+    Needs total, up_prob, dd_prob, risk_adjusted, edge, profit_factor, action, confidence, inflow, state.
+    """
+    c, pool = F.col, Window.partitionBy("date", "risk")
+    out = picks.withColumn("_t", F.round(c("total") + 1e-9, 6))
+    less, equal = F.rank().over(pool.orderBy("_t")) - 1, F.count("*").over(Window.partitionBy("date", "risk", "_t"))
+    relative = 48 + 24 * (less + 0.5 * equal) / F.count("*").over(pool)
+    quality = 22 * c("up_prob") + 20 * (1 - c("dd_prob")) + 0.20 * c("risk_adjusted") + 0.24 * clamp(48 + 6.5 * c("edge"), 0, 100) + 0.14 * clamp(45 + 22 * (c("profit_factor") - 1), 0, 100)
+    bonus = (
+        F.when(c("action") == "buy", 2).otherwise(0) + F.when(c("confidence") == "high", 4).when(c("confidence") == "medium", 2).otherwise(0) + F.when(c("inflow") > 2, 2).when(c("inflow") < -1, -4).otherwise(0)
+        + F.when(c("dd_prob") <= 0.20, 1).otherwise(0) - F.when(c("edge") < 0.6, 8).when(c("edge") < 1.5, 3).otherwise(0) - F.when(c("profit_factor") < 1.15, 6).when(c("profit_factor") < 1.30, 2).otherwise(0)
+        + F.when(c("state") == "defensive", -2).when(c("state") == "offensive", 1).otherwise(0)
+    )
+    out = out.withColumns({"_relative": relative, "_quality": quality, "_bonus": bonus})
+    return out.withColumn("display_score", clamp(0.34 * c("total") + 0.46 * c("_quality") + 0.20 * c("_relative") + c("_bonus"), 0, 100)).drop("_t", "_relative", "_quality", "_bonus")
+
+
+def display_pool(picks: DataFrame, *, threshold: float = 70.0, most: int = 24, max_positions: int = 5) -> DataFrame:
+    """What a user of each profile sees on each date, with ``rank_no`` and the ``threshold`` that held.
+
+    A defensive market leaves likely buys alone; the profile selects before and after calibration; a threshold shifted by profile
+    gives way by 3 points (to its floor at most) where it leaves few rows; the best by the profile's key are shown.
+    """
+    c = F.col
+    calm = ~F.coalesce(c("state") == "defensive", F.lit(False))
+    picks = profile_selection(picks).drop("key")
+    picks = picks.where(calm | F.when(c("risk") == "high", c("action").isin("buy", "watch") & (c("dd_prob") <= 0.40)).otherwise((c("action") == "buy") & (c("dd_prob") <= 0.30)))
+    rows = profile_selection(calibrated_scores(picks)).withColumns({"_s": F.round(c("display_score") + 1e-9, 4), "key": F.round(c("key") + 1e-9, 6)})
+    by = lambda f: F.when(c("risk") == "low", f("low")).when(c("risk") == "high", f("high")).otherwise(f("medium"))
+    shifted = {r: max(50.0, min(95.0, threshold + v[0])) for r, v in SHOWN.items()}
+    eased = {r: None if v[1] is None or shifted[r] > 75 else max(v[1], shifted[r] - 3) for r, v in SHOWN.items()}
+    pool = Window.partitionBy("date", "risk")
+    rows = rows.withColumns({"_full": by(lambda r: F.lit(shifted[r])), "_eased": by(lambda r: F.lit(eased[r]).cast("double"))})
+    rows = rows.withColumns({"_n": F.count_if(c("_s") >= c("_full")).over(pool), "_m": F.count_if(c("_s") >= c("_eased")).over(pool)})
+    held = F.when((c("_n") < max(12, min(most, 24))) & c("_eased").isNotNull() & (c("_m") > c("_n")), c("_eased")).otherwise(c("_full"))
+    rows = rows.withColumn("threshold", held).where(c("_s") >= c("threshold"))
+    rows = rows.withColumn("rank_no", F.row_number().over(pool.orderBy(F.desc("key"), "symbol")))
+    cap = by(lambda r: F.lit(max(SHOWN[r][2], min(SHOWN[r][3], max_positions * SHOWN[r][4]))))
+    return rows.where(c("rank_no") <= cap).drop("_s", "_full", "_eased", "_n", "_m")

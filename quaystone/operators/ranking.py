@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,27 @@ def market_state(panel: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("score") >= 65, "offensive").when(F.col("score") >= 45, "neutral").otherwise("defensive"))
 
 
+def live_market_state(quotes: DataFrame, news: DataFrame | None, keys: list[str]) -> DataFrame:
+    """State of the market per key from quotes (``pct_change``; null counts as 0) and a news balance (``policy_score``; none: 50).
+
+    Five scores, their weighted sum, the state and the exposure in percent that it suggests; confidence is high from five quotes on.
+    """
+    pct = F.coalesce("pct_change", F.lit(0.0))
+    out = quotes.groupBy(*keys).agg(F.avg(pct).alias("_a"), F.avg((pct > 0).cast("int")).alias("_u"), F.count("*").alias("_n"))
+    out = out.withColumn("policy_score", F.lit(50.0)) if news is None else out.join(news.select(*keys, "policy_score"), keys, "left")
+    a = F.col("_a")
+    out = out.withColumns({
+        "trend_score": clamp(50 + a * 4, 0, 100), "breadth_score": clamp(F.col("_u") * 100, 0, 100), "flow_score": clamp(45 + a * 3, 0, 100), "risk_score": clamp(65 - F.abs(a) * 4, 0, 100),
+        "news_score": clamp(F.coalesce("policy_score", F.lit(50.0)), 0, 100),
+    })
+    weights = {"trend_score": 0.28, "breadth_score": 0.22, "flow_score": 0.16, "risk_score": 0.16, "news_score": 0.18}
+    out = out.withColumn("state_score", F.round(clamp(sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)), 0, 100) + 1e-9, 6))
+    level = lambda high, mid, low: F.when(F.col("state_score") >= 65, high).when(F.col("state_score") >= 45, mid).otherwise(low)
+    return out.withColumns({
+        "state": level("offensive", "neutral", "defensive"), "exposure_min": level(50, 30, 10), "exposure_max": level(75, 50, 30), "confidence": F.when(F.col("_n") >= 5, "high").otherwise("medium"),
+    }).drop("_a", "_u", "_n", "policy_score")
+
+
 def ranked(panel: DataFrame, score, limit: int) -> DataFrame:
     """Top ``limit`` symbols of each date: trade_date, symbol, rank_no and the panel's columns."""
     w = Window.partitionBy("date").orderBy(F.desc("rank_score"), "symbol")
@@ -202,7 +221,3 @@ def coverage_by(requested: DataFrame, available: DataFrame, key: str) -> DataFra
     g = g.withColumn("n_missing", F.col("n_requested") - F.col("_n")).withColumn("_i", F.when(F.col("n_missing") > 0, F.coalesce("_gap", F.col("_n") + 1)).cast("int"))
     out = g.join(numbered.withColumnRenamed("date", "first_missing"), "_i", "left").withColumn("status", coverage_status())
     return out.select(key, "n_requested", "n_missing", "first_missing", "status")
-
-
-def union_of(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

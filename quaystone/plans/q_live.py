@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from ..operators import indicators as ind
 from ..operators import live, pools
+from ..operators import ranking as rk
 from ..sources import adapters as src
 from .q_rules import PICK, cl, pick_panel
-from .sqltext import r, rs
+from .sqltext import FEATURES, r, rs
 
 SHOWN = ["up_prob", "dd_prob", "edge", "profit_factor", "total", "expected_return", "stop_price", "take_price"]
 
@@ -40,6 +42,22 @@ def risk_picks(spark, d):
     return pools.profile_selection(p).select("date", "symbol", "risk", r("key").alias("key"))
 
 
+def displayed(spark, d):
+    """What users of the three profiles see on every date."""
+    p = live.live_pick(live_panel(spark, d)).where("strategy = 'breakout' and action <> 'pass'")
+    p = p.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("dd_prob", "turn", "inflow", "risk_adjusted", "edge", "profit_factor")})
+    out = pools.display_pool(p, threshold=70.0)
+    return out.select("date", "symbol", "risk", "rank_no", "threshold", r("display_score").alias("display_score"))
+
+
+def market_today(spark, d):
+    """Live market state of every date, over all symbols that have a bar; the news balance is the date's number of symbols against forty."""
+    quotes = ind.feature_frame(src.bars(spark, d)).select("date", "pct_change")
+    news = quotes.groupBy("date").agg(F.count("*").alias("n")).select("date", (50 + F.col("n") - 40.0).alias("policy_score"))
+    out = rk.live_market_state(quotes, news, ["date"])
+    return out.select("date", "state", "confidence", "exposure_min", "exposure_max", *(r(c).alias(c) for c in ("state_score", "trend_score", "breadth_score", "flow_score", "risk_score", "news_score")))
+
+
 def values_of_profiles() -> str:
     rows = [f"('{k[0]}', '{k[1]}', {', '.join(map(str, live.RISKS[k[0]] + v + live.WEIGHTS[k]))})" for k, v in live.LIMITS.items()]
     names = ["risk", "strategy", *live.RISK_NAMES, *live.LIMIT_NAMES, *(f"w{k}" for k in range(7))]
@@ -116,7 +134,16 @@ KEY = {
     "high": f"""up_prob * 22 + expected_return * 1.6 + ed * 2.2 + (profit_factor - 1) * 8 + {cl('tn * 7.5', 0, 100)} * 0.42 + trend * 0.14 + total * 0.06 + CASE WHEN action = 'watch' THEN 14.0 ELSE 0.0 END
       + CASE WHEN tn >= 10 THEN 8.0 WHEN tn >= 8 THEN 4.0 ELSE 0.0 END + {GROWTH} - dd * 6""",
 }
-QUERIES = {"live_picks": live_picks, "live_profile_counts": profile_counts, "risk_selection": risk_picks}
+def chosen_sql(rows: str, out: str) -> str:
+    """CTE ``out``: the rows that their profile selects."""
+    return f"""{out}_a AS (SELECT *, action = 'buy' AND dd <= 0.24 AND ra >= 56 AND tn <= 9 AND fl >= -0.2 AS strict, action = 'buy' AND dd <= 0.32 AND ra >= 50 AS loose,
+  dd <= 0.55 AND ed >= 0 AS fits, action = 'watch' OR tn >= 9 OR symbol[1:3] IN ('300', '688') AS lively FROM {rows}),
+{out}_b AS (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY date, risk) AS n1, count(*) FILTER (WHERE fits AND lively) OVER (PARTITION BY date, risk) AS n2 FROM {out}_a),
+{out} AS (SELECT * EXCLUDE (strict, loose, fits, lively, n1, n2) FROM {out}_b WHERE CASE risk WHEN 'low' THEN CASE WHEN n1 < 8 THEN loose ELSE strict END WHEN 'medium' THEN dd <= 0.42 ELSE fits AND (n2 < 10 OR lively) END)"""
+
+
+SIX = ", ".join(f"round({c} + 1e-9, 6) AS {n}" for c, n in (("dd_prob", "dd"), ("turn", "tn"), ("inflow", "fl"), ("risk_adjusted", "ra"), ("edge", "ed"), ("profit_factor", "pf")))
+QUERIES = {"live_picks": live_picks, "live_profile_counts": profile_counts, "risk_selection": risk_picks, "display_pool": displayed, "live_market_state": market_today}
 SQL = {
     "live_picks": f"WITH RECURSIVE {LIVE} SELECT symbol, date, risk, strategy, action, confidence, penalty, notes, position_pct, {', '.join(f'{rs(c)} AS {c}' for c in SHOWN)} FROM live WHERE action <> 'pass'",
     "live_profile_counts": f"""WITH RECURSIVE {LIVE} SELECT risk, strategy, state, {', '.join(f"count(*) FILTER (WHERE action = '{a}') AS n_{a}" for a in ('buy', 'watch', 'pass'))},
@@ -128,4 +155,22 @@ SQL = {
 k3 AS (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY date, risk) AS n1, count(*) FILTER (WHERE fits AND lively) OVER (PARTITION BY date, risk) AS n2 FROM k2)
 SELECT date, symbol, risk, CASE risk {' '.join(f"WHEN '{k}' THEN {rs(v)}" for k, v in KEY.items())} END AS key FROM k3
 WHERE CASE risk WHEN 'low' THEN CASE WHEN n1 < 8 THEN loose ELSE strict END WHEN 'medium' THEN dd <= 0.42 ELSE fits AND (n2 < 10 OR lively) END""",
+    "display_pool": f"""WITH RECURSIVE {LIVE}, k0 AS (SELECT *, {SIX} FROM live WHERE strategy = 'breakout' AND action <> 'pass'), {chosen_sql('k0', 'k1')},
+k2 AS (SELECT *, round(total + 1e-9, 6) AS t6 FROM k1 WHERE state <> 'defensive' OR CASE risk WHEN 'high' THEN dd <= 0.40 ELSE action = 'buy' AND dd <= 0.30 END),
+k3 AS (SELECT *, 48 + 24 * (rank() OVER (PARTITION BY date, risk ORDER BY t6) - 1 + 0.5 * count(*) OVER (PARTITION BY date, risk, t6)) / count(*) OVER (PARTITION BY date, risk) AS rel FROM k2),
+k4 AS (SELECT *, {cl(f"""0.34 * total + 0.46 * (22 * up_prob + 20 * (1 - dd) + 0.20 * ra + 0.24 * {cl('48 + 6.5 * ed', 0, 100)} + 0.14 * {cl('45 + 22 * (pf - 1)', 0, 100)}) + 0.20 * rel
+  + CASE WHEN action = 'buy' THEN 2 ELSE 0 END + CASE confidence WHEN 'high' THEN 4 WHEN 'medium' THEN 2 ELSE 0 END + CASE WHEN fl > 2 THEN 2 WHEN fl < -1 THEN -4 ELSE 0 END + CASE WHEN dd <= 0.20 THEN 1 ELSE 0 END
+  - CASE WHEN ed < 0.6 THEN 8 WHEN ed < 1.5 THEN 3 ELSE 0 END - CASE WHEN pf < 1.15 THEN 6 WHEN pf < 1.30 THEN 2 ELSE 0 END + CASE state WHEN 'defensive' THEN -2 WHEN 'offensive' THEN 1 ELSE 0 END""", 0, 100)} AS ds FROM k3), {chosen_sql('k4', 'k5')},
+k6 AS (SELECT *, round(ds + 1e-9, 4) AS s4, round(CASE risk {' '.join(f"WHEN '{k}' THEN {v.replace('profit_factor', 'pf')}" for k, v in KEY.items())} END + 1e-9, 6) AS key, CASE risk WHEN 'low' THEN 74 WHEN 'high' THEN 64 ELSE 70 END AS th,
+  CASE risk WHEN 'high' THEN 66 WHEN 'medium' THEN 68 END AS ez FROM k5),
+k7 AS (SELECT *, count(*) FILTER (WHERE s4 >= th) OVER (PARTITION BY date, risk) AS n, count(*) FILTER (WHERE s4 >= ez) OVER (PARTITION BY date, risk) AS m FROM k6),
+k8 AS (SELECT *, CASE WHEN n < 24 AND ez IS NOT NULL AND m > n THEN ez ELSE th END::DOUBLE AS threshold FROM k7),
+k9 AS (SELECT *, row_number() OVER (PARTITION BY date, risk ORDER BY key DESC, symbol)::INT AS rank_no FROM k8 WHERE s4 >= threshold)
+SELECT date, symbol, risk, rank_no, threshold, {rs('ds')} AS display_score FROM k9 WHERE rank_no <= CASE risk WHEN 'low' THEN 18 WHEN 'high' THEN 40 ELSE 30 END""",
+    "live_market_state": f"""WITH {FEATURES}, g AS (SELECT date, avg(pct_change) AS a, avg((pct_change > 0)::INT) AS u, count(*) AS n FROM feat GROUP BY 1),
+h AS (SELECT *, {cl('50 + a * 4', 0, 100)} AS trend_score, {cl('u * 100', 0, 100)} AS breadth_score, {cl('45 + a * 3', 0, 100)} AS flow_score, {cl('65 - abs(a) * 4', 0, 100)} AS risk_score, {cl('50 + n - 40.0', 0, 100)} AS news_score FROM g),
+k AS (SELECT *, round({cl('0.28 * trend_score + 0.22 * breadth_score + 0.16 * flow_score + 0.16 * risk_score + 0.18 * news_score', 0, 100)} + 1e-9, 6) AS state_score FROM h)
+SELECT date, CASE WHEN state_score >= 65 THEN 'offensive' WHEN state_score >= 45 THEN 'neutral' ELSE 'defensive' END AS state, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END AS confidence,
+  CASE WHEN state_score >= 65 THEN 50 WHEN state_score >= 45 THEN 30 ELSE 10 END AS exposure_min, CASE WHEN state_score >= 65 THEN 75 WHEN state_score >= 45 THEN 50 ELSE 30 END AS exposure_max,
+  {', '.join(f'{rs(c)} AS {c}' for c in ('state_score', 'trend_score', 'breadth_score', 'flow_score', 'risk_score', 'news_score'))} FROM k""",
 }

@@ -11,14 +11,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_a_trigger: int | None = None) -> DataFrame:
     """``events`` as a stream of files; a path pattern also takes a table that is one file.
 
-    All files that are there come in one trigger: files are in no order of time, so one by one the watermark of the
-    first would drop older rows of the next, and positions would be folded in file order.
+    Without ``files_a_trigger`` all files that are there come in one trigger: where files are in no order of time, one by one the
+    watermark of the first would drop older rows of the next, and positions would be folded in file order.  A source that writes
+    files as time passes names a bound.
     """
     batch = spark.read.parquet(path)
-    stream = spark.readStream.schema(batch.schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(batch.schema)
+    reader = reader.option("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else reader
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -45,22 +48,31 @@ POSITION = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("
 STATE = T.StructType([T.StructField("qty", T.DoubleType()), T.StructField("cost", T.DoubleType()), T.StructField("n", T.LongType())])
 
 
-def _fold(key, batches, state: GroupState):
-    qty, cost, n = state.get if state.exists else (0.0, 0.0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, value in zip(rows["event_type"], rows["value"], strict=True):
-        if kind == "purchase":
-            qty, cost = qty + 1, cost + value
-        elif qty > 0:
-            qty, cost = qty - 1, cost * (qty - 1) / qty
-        n += 1
-    state.update((qty, cost, n))
-    yield pd.DataFrame({"user_id": [key[0]], "qty": [qty], "cost": [cost], "n": [n]})
-
-
-def running_positions(events: DataFrame) -> DataFrame:
-    """Average-cost position per user after every micro-batch; state is one row per user."""
-    return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(_fold, POSITION, STATE, "update", GroupStateTimeout.NoTimeout)
+def _folding(idle_ms: int | None):
+    def fold(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        qty, cost, n = state.get if state.exists else (0.0, 0.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind, value in zip(rows["event_type"], rows["value"], strict=True):
+            if kind == "purchase":
+                qty, cost = qty + 1, cost + value
+            elif qty > 0:
+                qty, cost = qty - 1, cost * (qty - 1) / qty
+            n += 1
+        state.update((qty, cost, n))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "qty": [qty], "cost": [cost], "n": [n]})
+
+    return fold
+
+
+def running_positions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Average-cost position per user after every micro-batch; state is one row per user, given up after ``idle_ms`` without an event."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(_folding(idle_ms), POSITION, STATE, "update", timeout)
 
 
 def dropped_rows(query) -> int:

@@ -217,3 +217,33 @@ def test_advice(spark):
     assert r.adjusted == pytest.approx(12) and r.entry == "careful" and r.entry_price == pytest.approx(9.7) and r.take_pct == pytest.approx(7.2) and r.warnings == ["short_term"]
     assert got["b", "high", "long"].warnings == ["bearish", "high_risk"] and got["b", "high", "long"].take_pct == 12 and got["b", "low", "long"].stop_price == pytest.approx(9.5)
     assert got["c", "low", "medium"].entry == "wait" and got["c", "low", "medium"].entry_price is None
+
+
+def test_display_pool(spark):
+    schema = "date int, symbol string, risk string, action string, state string, confidence string, dd_prob double, risk_adjusted double, turn double, inflow double, edge double, up_prob double, expected_return double, profit_factor double, total double, quality double, trend double"
+    base = {"date": 1, "symbol": "", "risk": "medium", "action": "buy", "state": "neutral", "confidence": "high", "dd_prob": 0.15, "risk_adjusted": 64.0, "turn": 4.0, "inflow": 0.5, "edge": 6.0, "up_prob": 0.7, "expected_return": 8.0, "profit_factor": 2.5, "total": 70.0, "quality": 70.0, "trend": 70.0}
+    rows = [base | {"symbol": f"s{i:02}", "total": 70.0 + i} for i in range(40)] + [base | {"symbol": f"d{i:02}", "date": 2, "state": "defensive", "dd_prob": round(0.2 + 0.02 * i, 2)} for i in range(9)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    got = pools.display_pool(df, threshold=60.0).collect()
+    first = sorted((r for r in got if r.date == 1), key=lambda r: r.rank_no)
+    assert len(first) == 30 and [r.rank_no for r in first] == list(range(1, 31)) and first[0].symbol == "s39"  # capped, the best total first
+    assert {r.symbol for r in got if r.date == 2} == {f"d{i:02}" for i in range(6)}  # a defensive market bars drawdowns over 0.30
+    scores = sorted(r.display_score for r in pools.calibrated_scores(df.where("date = 1")).collect())
+    strict = scores[-3] - 0.0001
+    shown = pools.display_pool(df.where("date = 1"), threshold=strict).collect()
+    eased = max(68.0, strict - 3)
+    want = sum(s >= eased for s in scores) if strict <= 75 and sum(s >= eased for s in scores) > 3 else 3
+    assert len(shown) == min(30, want) and all(r.threshold == pytest.approx(eased if want > 3 else strict) for r in shown)
+    assert pools.display_pool(df.where("date = 9")).count() == 0
+
+
+def test_live_market_state(spark):
+    from quaystone.operators import ranking as rk
+
+    rows = [(1, p) for p in (2.0, 3.0, -1.0, None, 4.0)] + [(2, -9.0), (2, -8.0)]
+    q = spark.createDataFrame(rows, "day int, pct_change double")
+    got = {r.day: r for r in rk.live_market_state(q, spark.createDataFrame([(1, 90.0)], "day int, policy_score double"), ["day"]).collect()}
+    want = 0.28 * (50 + 1.6 * 4) + 0.22 * 60 + 0.16 * (45 + 1.6 * 3) + 0.16 * (65 - 1.6 * 4) + 0.18 * 90
+    assert got[1].state_score == pytest.approx(want, abs=1e-6) and got[1].confidence == "high" and got[1].exposure_max == 50 and got[1].state == "neutral"
+    assert got[2].state == "defensive" and got[2].confidence == "medium" and got[2].news_score == 50 and got[2].exposure_min == 10
+    assert rk.live_market_state(q, None, ["day"]).count() == 2
