@@ -28,9 +28,9 @@ from .common import slices, stored, tidy
 
 CAPACITY = 2048
 #: Bytes of text numbered together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Bytes of words and ids, with their overhead, that a task remembers between slices.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 #: Longer words are encoded again in each slice.
 MEMO_WORD = 64
 #: Pieces of one length that one task ranks.
