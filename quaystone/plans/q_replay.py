@@ -35,14 +35,14 @@ def score_exits(spark, d):
 
 def open_equity(spark, d):
     e = tr.drawdowns(tr.open_trade_equity(*replay(spark, d)))
-    return e.select("date", "n_open", r("ret").alias("ret"), r(F.log("value")).alias("log_value"), r("drawdown").alias("drawdown"))
+    return e.select("date", "n_open", r("ret").alias("ret"), r("log_value").alias("log_value"), r("drawdown").alias("drawdown"))
 
 
 def run_credibility(spark, d):
     """One run a calendar year."""
     rounds, bars = replay(spark, d)
     equity = written(tr.open_trade_equity(rounds, bars), "equity").withColumn("run_id", F.year("date"))
-    equity = equity.withColumn("value", F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy("run_id").orderBy("date"))))
+    equity = equity.withColumn("log_value", F.sum(F.log1p("ret")).over(Window.partitionBy("run_id").orderBy("date"))).withColumn("value", F.exp("log_value"))
     perf = tr.performance(equity).select("run_id", "sharpe", (-F.col("max_drawdown")).alias("max_drawdown"), "annual_return")
     month = tr.monthly_returns(equity).groupBy("run_id").agg(
         F.count("ret").alias("n_months"), F.coalesce(F.avg((F.col("ret") > 0).cast("int")), F.lit(0.0)).alias("month_positive"), F.coalesce(F.stddev_pop("ret"), F.lit(0.0)).alias("month_vol")

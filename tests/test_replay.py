@@ -126,6 +126,16 @@ def test_open_trade_equity(spark):
     assert none.count() == 0
 
 
+def test_equity_beyond_a_double(spark):
+    d = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(400)]
+    equity = tr.open_trade_equity(
+        spark.createDataFrame([("a", x, 1.0, x, 10.0) for x in d[:-1]] + [("a", d[-1], 1.0, d[-1], 0.5)], "symbol string, entry_date date, entry_price double, exit_date date, exit_price double"),
+        spark.createDataFrame([("a", x, 1.0, 10.0) for x in d], "symbol string, date date, open double, close double"),
+    )
+    last = tr.drawdowns(equity).orderBy("date").collect()[-1]
+    assert last.log_value == pytest.approx(399 * np.log(10 * 0.9997 / 1.0003) + np.log(0.5 * 0.9997 / 1.0003)) and last.drawdown == pytest.approx(0.5 * 0.9997 / 1.0003 - 1)
+
+
 def test_exit_by_fallen_score(spark):
     d = [dt.date(2020, 1, k) for k in range(1, 8)]
     bars = spark.createDataFrame([("a", x, 10.0, 10.0 + 0.1 * k) for k, x in enumerate(d)], "symbol string, date date, open double, close double")
