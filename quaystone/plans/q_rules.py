@@ -22,7 +22,7 @@ def signals(spark, d):
 
 def pick_panel(spark, d):
     features = ind.feature_frame(src.bars(spark, d))
-    p = rules.signal_score(ind.recursive_indicators(ind.rsi(features)))
+    p = rules.signal_score(ind.rsi(ind.feature_frame(ind.recursive_indicators(src.bars(spark, d)))))
     state = rk.market_state(features).select("date", "state")
     return rules.relative_scores(rules.historical_pick(p.join(state, "date")))
 

@@ -49,6 +49,25 @@ def test_flat_window_has_no_rsi_and_kdj_carries(spark):
     np.testing.assert_allclose(got["kdj_k"].astype(float), rsv.ewm(com=2, adjust=False).mean(), equal_nan=True)
 
 
+def test_recursive_steps_are_those_of_the_sql(spark):
+    import duckdb
+
+    from quaystone.plans.q_indicators import MEANS
+
+    rng = np.random.default_rng(7)
+    data = []
+    for k in range(40):  # stretches that close at their high or low: there k and d meet, and j is at its limits
+        close = np.cumsum(np.where(rng.random(60) < 0.8, rng.integers(0, 3, 60), rng.integers(-9, 3, 60))) + 900.0
+        data += [(f"{k:06}", day(i), float(c), float(c), float(c - rng.integers(0, 2)), float(c), 1.0, 1.0) for i, c in enumerate(close)]
+    df = spark.createDataFrame(data, "symbol string, date date, open double, high double, low double, close double, volume double, amount double")
+    bars = df.toPandas()  # noqa: F841
+    names = ["macd", "macd_signal", "kdj_k", "kdj_d", "kdj_j"]
+    want = duckdb.sql(f"WITH RECURSIVE {MEANS} SELECT symbol, date, e12 - e26 AS macd, sig AS macd_signal, kk AS kdj_k, dd AS kdj_d, 3 * kk - 2 * dd AS kdj_j FROM e ORDER BY symbol, date").df()
+    got = indicators.recursive_indicators(df).orderBy("symbol", "date").toPandas()
+    for c in names:
+        np.testing.assert_array_equal(got[c].astype(float), want[c].astype(float), err_msg=c)  # to the last bit
+
+
 def test_forward_labels_keep_nulls(spark):
     rows = [(10 + i, 10.5 + i, 9.5 + i, 10 + i) for i in range(4)]
     got = indicators.forward_labels(bars(spark, rows), horizon=2).orderBy("date").toPandas()
