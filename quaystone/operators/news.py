@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text
+from ..sources.shared import written
 
 # Categories of announcements in order of precedence, and what each adds to the impact.
 CATEGORIES = (("earnings_notice", 0.5), ("capital_action", 0.4), ("business_order", 0.5), ("regulatory_risk", 0.8))
@@ -80,10 +81,14 @@ def industries_of_tags(tags: DataFrame, industries: DataFrame) -> DataFrame:
     return inside.select("tag", "industry").union(around.select("tag", "industry")).distinct()
 
 
-def events_of_industries(events: DataFrame, industries: DataFrame, key: str, tags: str = "tags") -> DataFrame:
-    """(industry, key) of every event with a tag that matches the industry."""
+def events_of_industries(events: DataFrame, industries: DataFrame, key: str, tags: str = "tags", known: DataFrame | None = None) -> DataFrame:
+    """(industry, key) of every event with a tag that matches the industry; only tags in ``known`` (tag) count, where that is given.
+
+    The matches are written once, so that the events are read once and Spark knows how small the matches are.
+    """
     each = events.select(key, F.explode(tags).alias("tag"))
-    return each.join(industries_of_tags(each, industries), "tag").select("industry", key).distinct()
+    matches = written(industries_of_tags(each if known is None else known, industries), "industries-of-tags")
+    return each.join(matches, "tag").select("industry", key).distinct()
 
 
 def listing_items(pages: DataFrame, *, least_title: int = MIN_TITLE) -> DataFrame:

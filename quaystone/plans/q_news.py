@@ -29,9 +29,10 @@ def announcement_classes(spark, d):
 
 def industry_events(spark, d):
     """How many documents have a keyword that is part of an industry's name, or has it as a part; industries are the benchmark's long words."""
-    industries = dictionary(spark, d).where("length(keyword) >= 9").select(F.col("keyword").alias("industry"))
-    events = hits(spark, d).select("doc_id", F.col("keywords").alias("tags"))
-    return nw.events_of_industries(events, industries, "doc_id").groupBy("industry").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    known = dictionary(spark, d).select(F.col("keyword").alias("tag"))
+    industries = known.where("length(tag) >= 9").select(F.col("tag").alias("industry"))
+    events = src.table(spark, d, "documents").select("doc_id", nw.words(F.col("text")).alias("tags"))
+    return nw.events_of_industries(events, industries, "doc_id", known=known).groupBy("industry").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def list_pages(spark, d):

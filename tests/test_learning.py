@@ -164,6 +164,11 @@ def test_announcements_and_industries(spark):
     tags = spark.createDataFrame([(1, ["steel", "car"]), (2, ["carpet making"]), (3, []), (4, None)], "doc_id int, tags array<string>")
     industries = spark.createDataFrame([("carpet",), ("steelworks",), ("",), ("tea",)], "industry string")
     assert {tuple(r) for r in nw.events_of_industries(tags, industries, "doc_id").collect()} == {("carpet", 1), ("steelworks", 1), ("carpet", 2)}
+    known = spark.createDataFrame([("steel",)], "tag string")
+    only = nw.events_of_industries(tags, industries, "doc_id", known=known)
+    assert {tuple(r) for r in only.collect()} == {("steelworks", 1)}
+    plan = only._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") == 1 and "collect_set" not in plan  # the events are read once, the matches from their own file
 
 
 def test_listing_layouts(spark):
