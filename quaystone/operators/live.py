@@ -40,10 +40,19 @@ def points(*rules: tuple[float, Column]) -> Column:
     return sum((F.when(truthy(c), float(p)).otherwise(0.0) for p, c in rules), F.lit(0.0))
 
 
-def profiles() -> Column:
-    """All profiles as an array of structs."""
+#: Numbers of a row that the live pick reads besides ``news_net`` and ``news_total``.
+INPUTS = (
+    "close", "signal_score", "rsi", "macd_hist", "ma5", "ma10", "ma20", "ma60", "boll_mid", "boll_lower", "volume_ratio_5", "pct_change", "prev_pct_change",
+    "return_5d", "return_20d", "from_20d_high_pct", "ma20_gap_pct", "inflow", "turn",
+)
+
+
+def profiles(risks=None, strategies=None) -> Column:
+    """The profiles of some or all risks and strategies as an array of structs."""
     rows = []
     for (risk, strategy), limits in LIMITS.items():
+        if (risks and risk not in risks) or (strategies and strategy not in strategies):
+            continue
         named = dict(zip(RISK_NAMES + LIMIT_NAMES, RISKS[risk] + limits, strict=True)) | {f"w{k}": w for k, w in enumerate(WEIGHTS[risk, strategy])}
         rows.append(F.struct(F.lit(risk).alias("risk"), F.lit(strategy).alias("strategy"), *(F.lit(float(v)).alias(k) for k, v in named.items())))
     return F.array(*rows)
@@ -84,14 +93,14 @@ def situation(df: DataFrame) -> DataFrame:
     })
 
 
-def live_pick(df: DataFrame) -> DataFrame:
-    """Every (row, risk, strategy) with its action, probabilities, edge, profit factor, scores, notes and trade plan.
+def live_pick(df: DataFrame, *, risks=None, strategies=None) -> DataFrame:
+    """Every (row, risk, strategy), of some or all risks and strategies, with its action, probabilities, edge, profit factor, scores, notes and trade plan.
 
     Needs signal_score, rsi, macd_hist, the feature panel, the market ``state``, ``inflow``, ``turn``, ``news_net`` and
     ``news_total`` (null: no news); other numbers that are null count as 0.  Rows that neither buy nor watch are there as ``pass``.
     """
     c = F.col
-    df = situation(df).withColumn("_p", F.explode(profiles())).select("*", "_p.*").drop("_p")
+    df = situation(df).withColumn("_p", F.explode(profiles(risks, strategies))).select("*", "_p.*").drop("_p")
     trend = c("strategy") == "breakout"
     by = lambda a, b: F.when(trend, a).otherwise(b)
     s, inflow, turn, news, pct = c("signal_score").cast("double"), c("inflow"), c("turn"), c("news_net"), c("pct_change")

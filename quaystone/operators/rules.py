@@ -71,6 +71,12 @@ RISK = {"low": (0.06, 0.10, 8, 0.62, 0.26, 45.0, 0.54, 0.34), "medium": (0.08, 0
 WEIGHTS = {"low": (0.20, 0.15, 0.10, 0.20, 0.35), "medium": (0.25, 0.20, 0.10, 0.20, 0.25), "high": (0.30, 0.25, 0.15, 0.20, 0.10)}
 
 
+def with_activity(df: DataFrame) -> DataFrame:
+    """``df`` with the inflow and turnover that its volume and move imply."""
+    vr, pct = F.col("volume_ratio_20"), F.col("pct_change")
+    return df.withColumns({"inflow": clamp((vr - 1) * 1.8 + 0.08 * pct, -5, 5), "turn": clamp(2 + 2.5 * vr + 0.35 * F.abs(pct), 0.3, 25)})
+
+
 def historical_pick(df: DataFrame, risk: str = "medium") -> DataFrame:
     """Breakout scorer for every (symbol, date): probabilities, penalties, action, five-part total.
 
@@ -78,9 +84,7 @@ def historical_pick(df: DataFrame, risk: str = "medium") -> DataFrame:
     as ``pass`` so that callers choose.
     """
     s, vr, pct = F.col("signal_score").cast("double"), F.col("volume_ratio_20"), F.col("pct_change")
-    inflow = clamp((vr - 1) * 1.8 + 0.08 * pct, -5, 5)
-    turn = clamp(2 + 2.5 * vr + 0.35 * F.abs(pct), 0.3, 25)
-    df = df.withColumns({"inflow": inflow, "turn": turn})
+    df = with_activity(df)
     inflow, turn = F.col("inflow"), F.col("turn")
     state = F.col("state")
     up = clamp(0.52 + s / 250, 0.05, 0.95) + clamp(0.012 * inflow, -0.05, 0.05) + F.when(state == "defensive", -0.03).when(state == "offensive", 0.02).otherwise(0.0)

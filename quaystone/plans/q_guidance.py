@@ -15,9 +15,9 @@ from .q_rules import SIGNALS
 from .sqltext import r, rs
 
 
-def graded(spark, d):
+def graded(spark, d, **which):
     """Live picks with grades; a strategy counts as ready where the year is even."""
-    picks = live.live_pick(live_panel(spark, d)).where("action <> 'pass'").withColumn("live_ready", F.year("date") % 2 == 0)
+    picks = live.live_pick(live_panel(spark, d), **which).where("action <> 'pass'").withColumn("live_ready", F.year("date") % 2 == 0)
     rounded = {c: F.round(F.col(c) + 1e-9, 6) for c in ("total", "up_prob", "dd_prob", "edge", "profit_factor")}
     # twenty points more, as totals of these tables stay below the grades' limits
     return gd.pick_grade(picks.withColumns(rounded).withColumn("total", F.col("total") + 20))
@@ -29,7 +29,7 @@ def pick_grades(spark, d):
 
 def aligned(spark, d):
     """All suppliers against the medium breakout pool: each symbol's pick of its own newest date, if that one is in the pool."""
-    p = written(graded(spark, d).where("risk = 'medium' and strategy = 'breakout'"), "pool")
+    p = written(graded(spark, d, risks=("medium",), strategies=("breakout",)), "pool")
     newest = src.bars(spark, d).groupBy("symbol").agg(F.max("date").alias("date"))
     recent = ind.latest(p).join(newest.select("symbol", F.col("date").alias("last")), "symbol").where(F.datediff("last", "date") <= 30)
     out = gd.aligned_decision(src.industry(spark, d).select("symbol"), recent)

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
 from ..operators import indicators as ind
-from ..operators import live, pools
+from ..operators import live, pools, rules
 from ..operators import ranking as rk
 from ..sources import adapters as src
-from .q_rules import PICK, cl, pick_panel
+from .q_rules import PICK, cl, signal_panel
 from .sqltext import FEATURES, r, rs
 
 SHOWN = ["up_prob", "dd_prob", "edge", "profit_factor", "total", "expected_return", "stop_price", "take_price"]
 
 
 def live_panel(spark, d):
-    """The picks' panel with a news balance by symbol, taken from its supplier's account."""
+    """What the live pick reads of every bar (its own ranks and probabilities come later), with a news balance by symbol, taken from its supplier's account."""
     news = src.industry(spark, d).select("symbol", clamp((F.col("s_acctbal") - 4500) / 225, -24, 24).alias("news_net"))
-    panel = pick_panel(spark, d).drop("action", "total", "penalty", "broken", "up_prob", "dd_prob", "confidence", "expected_return", "stop_price", "take_price")
+    panel = rules.with_activity(signal_panel(spark, d)).select("symbol", "date", "state", *live.INPUTS)
     return panel.join(news, "symbol").withColumn("news_total", 50 + F.col("news_net"))
 
 
@@ -37,14 +37,14 @@ def profile_counts(spark, d):
 
 def risk_picks(spark, d):
     """The breakout picks that each profile selects on every date, with their ranking key."""
-    p = live.live_pick(live_panel(spark, d)).where("strategy = 'breakout' and action <> 'pass'")
+    p = live.live_pick(live_panel(spark, d), strategies=("breakout",)).where("action <> 'pass'")
     p = p.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("dd_prob", "turn", "inflow", "risk_adjusted", "edge")})
     return pools.profile_selection(p).select("date", "symbol", "risk", r("key").alias("key"))
 
 
 def displayed(spark, d):
     """What users of the three profiles see on every date."""
-    p = live.live_pick(live_panel(spark, d)).where("strategy = 'breakout' and action <> 'pass'")
+    p = live.live_pick(live_panel(spark, d), strategies=("breakout",)).where("action <> 'pass'")
     p = p.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("dd_prob", "turn", "inflow", "risk_adjusted", "edge", "profit_factor")})
     out = pools.display_pool(p, threshold=70.0)
     return out.select("date", "symbol", "risk", "rank_no", "threshold", r("display_score").alias("display_score"))

@@ -20,11 +20,15 @@ def signals(spark, d):
     return out.select("symbol", "date", "signal_score", "signal", "trend_up", "technical_score", "technical_trend_up", F.concat_ws(",", "signal_codes").alias("codes"))
 
 
-def pick_panel(spark, d):
+def signal_panel(spark, d):
+    """Features, signal score and market state of every bar; the state is one row a calendar date, so it goes to the bars and not they to it."""
     features = ind.feature_frame(src.bars(spark, d))
     p = rules.signal_score(ind.rsi(ind.feature_frame(ind.recursive_indicators(src.bars(spark, d)))))
-    state = rk.market_state(features).select("date", "state")
-    return rules.relative_scores(rules.historical_pick(p.join(state, "date")))
+    return p.join(F.broadcast(rk.market_state(features).select("date", "state")), "date")
+
+
+def pick_panel(spark, d):
+    return rules.relative_scores(rules.historical_pick(signal_panel(spark, d)))
 
 
 def picks(spark, d):
