@@ -23,9 +23,10 @@ def replay(spark, d):
     bars = written(src.bars(spark, d).select("symbol", "date", "open", "close"), "bars")
     p = pick_panel(spark, d).withColumn("rank_score", F.round(F.col("display_score") + 1e-9, 4))
     p = written(p.select("symbol", "date", "action", "rank_score", "state").where("action <> 'pass'"), "picks")
-    rounds = tr.exits(tr.entries(p, bars, threshold=40.0, actions=("buy", "watch")), bars, scores=p.withColumnRenamed("rank_score", "score"), least_score=LEAST_SCORE)
+    e = written(tr.entries(p, bars, threshold=40.0, actions=("buy", "watch")), "entries")
+    rounds = tr.exits(F.broadcast(e), bars, scores=p.withColumnRenamed("rank_score", "score"), least_score=LEAST_SCORE)
     state = p.select("symbol", F.col("date").alias("signal_date"), "state")
-    return written(rounds.join(state, ["symbol", "signal_date"]), "rounds"), bars
+    return written(F.broadcast(rounds).join(state, ["symbol", "signal_date"]), "rounds"), bars  # ten a date at most
 
 
 def score_exits(spark, d):
