@@ -10,7 +10,7 @@ from ..operators import ranking as rk
 from ..operators import trades as tr
 from ..sources import adapters as src
 from ..sources.adapters import BARS, INDUSTRY
-from .q_ranking import CAND, LAB, labelled, panel
+from .q_ranking import CAND, LAB, labelled
 from .q_trades import POS
 from .sqltext import r, rs
 
@@ -55,9 +55,10 @@ def dimensions(spark, d):
 
 
 def training_features(spark, d):
-    p = panel(spark, d)
-    state = rk.market_state(p).select("date", F.col("score").alias("market_score"))
-    out = pools.missing_flags(p.join(state, "date", "left").withColumn("max_drawdown_20d", F.col("from_20d_high_pct")), ["ma60", "boll_lower"])
+    b = src.bars(spark, d)
+    p = ind.feature_frame(b, ("ma60", "boll_lower", "from_20d_high_pct"), ("symbol", "date"))
+    state = rk.market_state(ind.daily_change(b)).select("date", F.col("score").alias("market_score"))
+    out = pools.missing_flags(p.join(F.broadcast(state), "date", "left").withColumn("max_drawdown_20d", F.col("from_20d_high_pct")), ["ma60", "boll_lower"])
     cols = [r(c).alias(c) for c in ("ma60", "boll_lower", "max_drawdown_20d")]
     return out.select("symbol", "date", *cols, r(F.coalesce("market_score", F.lit(50.0))).alias("market_score"), "ma60_missing", "boll_lower_missing")
 

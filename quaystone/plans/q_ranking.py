@@ -17,7 +17,8 @@ MIN_AMOUNT = 20000.0
 
 
 def panel(spark, d):
-    return ind.feature_frame(src.bars(spark, d))
+    """Bars with the features that candidates, their labels and the state read."""
+    return ind.feature_frame(src.bars(spark, d), ("pct_change", *FACTORS))
 
 
 def score():
@@ -26,16 +27,16 @@ def score():
 
 
 def candidates(spark, d, limit=15, p=None):
+    state = rk.market_state(ind.daily_change(src.bars(spark, d)) if p is None else p).select(F.col("date").alias("trade_date"), "state")
     p = panel(spark, d) if p is None else p
-    state = rk.market_state(p).select(F.col("date").alias("trade_date"), "state")
-    return rk.ranked(p, score(), limit).join(state, "trade_date")
+    return rk.ranked(p, score(), limit).join(F.broadcast(state), "trade_date")  # one row a date
 
 
 def labelled(spark, d):
     p = written(panel(spark, d), "panel")  # read for candidates, their state and the bars ahead
     c = written(candidates(spark, d, p=p), "candidates")
-    lab = rk.forward_labels(c, p, min_amount=MIN_AMOUNT)
-    return lab.join(c.select("trade_date", "symbol", "state", *FACTORS), ["trade_date", "symbol"])
+    lab = rk.forward_labels(F.broadcast(c), p, min_amount=MIN_AMOUNT)  # fifteen a date: they go to the bars
+    return lab.join(c.select("trade_date", "symbol", "state", "rank_score", *FACTORS), ["trade_date", "symbol"])
 
 
 def long(spark, d):
@@ -48,7 +49,7 @@ def flagship(spark, d):
 
 
 def market_state(spark, d):
-    return rk.market_state(panel(spark, d)).select("date", r("avg_pct").alias("avg_pct"), r("up_ratio").alias("up_ratio"), "n_symbols", r("score").alias("score"), "state")
+    return rk.market_state(ind.daily_change(src.bars(spark, d))).select("date", r("avg_pct").alias("avg_pct"), r("up_ratio").alias("up_ratio"), "n_symbols", r("score").alias("score"), "state")
 
 
 def label_rows(spark, d):

@@ -12,7 +12,8 @@ from ..sources import adapters as src
 from ..sources import payloads
 from ..sources.adapters import BARS, INDUSTRY, MONEY_FLOW
 from .q_data import BIG, SIGNED
-from .q_ranking import LAB, candidates, labelled
+from ..sources.shared import written
+from .q_ranking import LAB, labelled
 from .q_rules import MARKET, PICK, pick_panel
 from .sqltext import r, rs
 
@@ -44,8 +45,7 @@ def relaxed(spark, d):
 
 
 def scored(spark, d):
-    c = candidates(spark, d).select("trade_date", "symbol", "rank_no", F.col("rank_score").alias("score"))
-    return labelled(spark, d).where("tradability_status = 'tradable'").join(c, ["trade_date", "symbol", "rank_no"]).select("trade_date", "symbol", "score", F.col("return_5d_pct").alias("ret"))
+    return labelled(spark, d).where("tradability_status = 'tradable'").select("trade_date", "symbol", F.col("rank_score").alias("score"), F.col("return_5d_pct").alias("ret"))
 
 
 EDGES = (0.0, 5.0, 10.0, 20.0, 40.0)
@@ -56,9 +56,9 @@ def calibrated(spark, d):
 
 
 def recalibrated(spark, d):
-    s = scored(spark, d)
+    s = written(scored(spark, d), "scored")
     p = pick_panel(spark, d).select(F.col("date").alias("trade_date"), "symbol", "up_prob")
-    return scores.recalibrated(s.join(p, ["trade_date", "symbol"]), s, EDGES).select("trade_date", "symbol", "bucket", r("up_calibrated").alias("up_calibrated"))
+    return scores.recalibrated(F.broadcast(s).join(p, ["trade_date", "symbol"]), s, EDGES).select("trade_date", "symbol", "bucket", r("up_calibrated").alias("up_calibrated"))
 
 
 def quotes(spark, d):
