@@ -36,10 +36,9 @@ def training_panel(bars: DataFrame, *, horizon: int = 15, target: float = 0.08,
 
     Every ``step``-th of a symbol's complete rows between ``start`` and ``end`` stays; null and non-finite numbers become 0.
     """
-    enough = F.count("*").over(Window.partitionBy("symbol"))
-    df = bars.withColumn("_n", enough).where(F.col("_n") >= least_bars).drop("_n")
-    df = ind.rsi(ind.feature_frame(ind.recursive_indicators(df))).withColumn("max_drawdown_20d", F.col("from_20d_high_pct"))
-    df = context(ind.forward_labels(df, horizon, target, drawdown)).where("future_return is not null and future_max_drawdown is not null")
+    own = [c for c in (*ind.FEATURES, *ind.RECURSIVE, "rsi") if c in FEATURES]
+    df = ind.forward_labels(bars, horizon, target, drawdown, also=[*own, "n_bars"]).where(F.col("n_bars") >= least_bars).withColumn("max_drawdown_20d", F.col("from_20d_high_pct"))
+    df = context(df).where("future_return is not null and future_max_drawdown is not null")
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start))
     if end is not None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import or_default, truthy
+from ..functions.scalars import bound, or_default, truthy
 from .rules import turnover_score
 
 # Fixed values of the profiles, by risk and strategy.
@@ -30,11 +30,6 @@ LIMIT_NAMES = ("buy_up", "buy_dd", "buy_flow", "watch_up", "watch_dd")
 PARTS = ("trend", "flow_score", "turnover", "quality", "risk_adjusted", "edge_score", "news_total")
 
 
-def bound(x: Column, lo: float, hi: float) -> Column:
-    """Bounded; reads ``x`` once, so that steps built on steps stay small.  ``x`` must not be null."""
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
-
-
 def points(*rules: tuple[float, Column]) -> Column:
     """Sum of the points of the conditions that hold; null is not holding."""
     return sum((F.when(truthy(c), float(p)).otherwise(0.0) for p, c in rules), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, or_default, truthy
+from ..functions.scalars import bound, clamp, or_default, truthy
 
 
 def signal_score(df: DataFrame) -> DataFrame:
@@ -100,16 +100,16 @@ def historical_pick(df: DataFrame, risk: str = "medium") -> DataFrame:
     df = df.withColumns({"_up": up, "_dd": dd, "penalty": penalty, "broken": broken, "_gate": structure & volume & (inflow >= -0.35) & ~hot & ~broken})
     p = F.col("penalty")
     df = df.withColumns({
-        "up_prob": F.when(p > 0, clamp(F.col("_up") - p / 380, 0.05, 0.86)).otherwise(F.col("_up")), "dd_prob": F.when(p > 0, clamp(F.col("_dd") + p / 320, 0.08, 0.90)).otherwise(F.col("_dd")),
+        "up_prob": F.when(p > 0, bound(F.col("_up") - p / 380, 0.05, 0.86)).otherwise(F.col("_up")), "dd_prob": F.when(p > 0, bound(F.col("_dd") + p / 320, 0.08, 0.90)).otherwise(F.col("_dd")),
         "_s": s - 0.65 * p,
     })
-    df = df.withColumns({"up_prob": clamp("up_prob", 0.05, 0.80), "dd_prob": clamp("dd_prob", 0.10, 0.90)})
+    df = df.withColumns({"up_prob": bound(F.col("up_prob"), 0.05, 0.80), "dd_prob": bound(F.col("dd_prob"), 0.10, 0.90)})
     stop, take, _, b_up, b_dd, b_flow, w_up, w_dd = RISK[risk]
-    flow = clamp(50 + 8 * inflow, 0, 100)
+    flow = bound(50 + 8 * inflow, 0, 100)
     buy = (F.col("up_prob") >= b_up) & (F.col("dd_prob") <= b_dd) & (flow >= b_flow) & F.col("_gate")
     watch = (F.col("up_prob") >= w_up) & (F.col("dd_prob") <= w_dd) & ~F.col("broken")
     w = WEIGHTS[risk]
-    total = w[0] * clamp(50 + 0.4 * F.col("_s"), 0, 100) + w[1] * flow + w[2] * turnover_score(turn) + w[3] * clamp(58 + 0.2 * F.col("_s"), 0, 100) + w[4] * clamp(72 - 65 * F.col("dd_prob"), 0, 100)
+    total = w[0] * clamp(50 + 0.4 * F.col("_s"), 0, 100) + w[1] * flow + w[2] * turnover_score(turn) + w[3] * clamp(58 + 0.2 * F.col("_s"), 0, 100) + w[4] * bound(72 - 65 * F.col("dd_prob"), 0, 100)
     edge = {"low": 16, "medium": 20, "high": 24}[risk]
     return df.withColumns({
         "action": F.when(buy, "buy").when(watch, "watch").otherwise("pass"), "total": total, "expected_return": (F.col("up_prob") - F.col("dd_prob")) * edge,
@@ -125,7 +125,7 @@ def relative_scores(df: DataFrame) -> DataFrame:
     less = F.rank().over(w.orderBy("_t")) - 1
     equal = F.count("*").over(Window.partitionBy("date", "_t"))
     df = df.withColumn("mid_rank", (less + 0.5 * equal) / F.count("*").over(w))
-    risk = clamp(72 - 65 * F.col("dd_prob"), 0, 100)
+    risk = bound(72 - 65 * F.col("dd_prob"), 0, 100)
     quality = 0.22 * 100 * F.col("up_prob") + 0.20 * 100 * (1 - F.col("dd_prob")) + 0.20 * risk + 0.24 * 48 + 0.14 * 45
     bonus = (
         F.when(F.col("action") == "buy", 2).otherwise(0) + F.when(F.col("confidence") == "high", 4).when(F.col("confidence") == "medium", 2).otherwise(0)

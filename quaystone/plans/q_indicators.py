@@ -18,7 +18,7 @@ def resampled(period):
 
 
 def moving_averages(spark, d):
-    df = ind.bollinger(ind.moving_averages(src.bars(spark, d)))
+    df = ind.with_columns(src.bars(spark, d), ("ma5", "ma10", "ma20", "ma60", *ind.BANDS))
     return df.select("symbol", "date", *(r(c).alias(c) for c in ("ma5", "ma10", "ma20", "ma60", "boll_mid", "boll_upper", "boll_lower")))
 
 
@@ -36,7 +36,7 @@ def features(spark, d):
 
 
 def latest(spark, d):
-    return ind.latest(ind.feature_frame(src.bars(spark, d))).select("symbol", "date", r("close").alias("close"), r("ma5").alias("ma5"), r("return_20d").alias("return_20d"))
+    return ind.latest(ind.feature_frame(src.bars(spark, d), ("ma5", "return_20d"))).select("symbol", "date", r("close").alias("close"), r("ma5").alias("ma5"), r("return_20d").alias("return_20d"))
 
 
 def labels(spark, d):
@@ -60,7 +60,7 @@ def sampled(spark, d):
 
 
 def flow_streak(spark, d):
-    return ind.streak(ind.feature_frame(src.bars(spark, d)), "pct_change").select("symbol", F.col("sign").cast("int").alias("sign"), F.col("days").cast("long").alias("days"))
+    return ind.streak(ind.daily_change(src.bars(spark, d)), "pct_change").select("symbol", F.col("sign").cast("int").alias("sign"), F.col("days").cast("long").alias("days"))
 
 
 OHLC = ", ".join(f"{rs(c)} AS {c}" for c in ("open", "high", "low", "close", "volume", "amount"))

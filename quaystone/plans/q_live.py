@@ -52,7 +52,7 @@ def displayed(spark, d):
 
 def market_today(spark, d):
     """Live market state of every date, over all symbols that have a bar; the news balance is the date's number of symbols against forty."""
-    quotes = ind.feature_frame(src.bars(spark, d)).select("date", "pct_change")
+    quotes = ind.daily_change(src.bars(spark, d)).select("date", "pct_change")
     news = quotes.groupBy("date").agg(F.count("*").alias("n")).select("date", (50 + F.col("n") - 40.0).alias("policy_score"))
     out = rk.live_market_state(quotes, news, ["date"])
     return out.select("date", "state", "confidence", "exposure_min", "exposure_max", *(r(c).alias(c) for c in ("state_score", "trend_score", "breadth_score", "flow_score", "risk_score", "news_score")))

@@ -15,6 +15,12 @@ from .sqltext import FEATURES, WIN, fullsql, r, rs
 WEIGHTS = {"return_5d": 0.5, "return_20d": 0.3, "ma20_gap_pct": -0.4, "volatility_20d": -0.1, "volume_ratio_20": 2.0, "boll_position": 3.0}
 
 
+#: What scores, picks and live picks read of a bar besides its close.
+SIGNAL_COLUMNS = (
+    *ind.RECURSIVE, "rsi", "ma5", "ma10", "ma20", "ma60", *ind.BANDS, "pct_change", "prev_pct_change", "return_5d", "return_20d", "ma20_gap_pct", "ma_alignment", "volume_ratio_5", "volume_ratio_20", "from_20d_high_pct",
+)
+
+
 def signals(spark, d):
     out = rules.technical_score(rules.signal_score(ind.all_indicators(src.bars(spark, d))))
     return out.select("symbol", "date", "signal_score", "signal", "trend_up", "technical_score", "technical_trend_up", F.concat_ws(",", "signal_codes").alias("codes"))
@@ -22,9 +28,9 @@ def signals(spark, d):
 
 def signal_panel(spark, d):
     """Features, signal score and market state of every bar; the state is one row a calendar date, so it goes to the bars and not they to it."""
-    features = ind.feature_frame(src.bars(spark, d))
-    p = rules.signal_score(ind.rsi(ind.feature_frame(ind.recursive_indicators(src.bars(spark, d)))))
-    return p.join(F.broadcast(rk.market_state(features).select("date", "state")), "date")
+    bars = src.bars(spark, d)
+    p = rules.signal_score(ind.with_columns(bars, SIGNAL_COLUMNS, ("symbol", "date", "close")))
+    return p.join(F.broadcast(rk.market_state(ind.daily_change(bars)).select("date", "state")), "date")
 
 
 def pick_panel(spark, d):
