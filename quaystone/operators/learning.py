@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ CATEGORIES = {
     "fundamental_news": ("news_total_score", "news_net_score"),
 }
 FEATURES = tuple(f for names in CATEGORIES.values() for f in names)
+TARGETS = ("label_up", "label_drawdown")
 LABELS = ("future_return", "future_max_drawdown", "label_up", "label_drawdown", "risk_adjusted_return")
 
 
@@ -50,24 +53,69 @@ def training_panel(bars: DataFrame, *, horizon: int = 15, target: float = 0.08,
 ROW = "array<struct<feature:string,mean:double,scale:double,up_coef:double,dd_coef:double>>"
 
 
+def moments(panel: DataFrame, features=FEATURES) -> DataFrame:
+    """feature, n, mean, population deviation and covariances with both labels of each feature and label, with the labels' sums and deviations.
+
+    One pass of arrays over the panel leaves a row a task and column, centred on the task's own means; these are then moved to the
+    common mean, so that a constant column keeps a deviation of 0.  Null counts as 0.
+    """
+    names = [*features, *TARGETS]
+
+    def run(batches):
+        n, mean, own, cross = 0, np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names), len(TARGETS)))
+        sums = np.zeros(len(TARGETS))
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            x = np.stack([batch.column(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in names])
+            here = x.mean(axis=1)
+            d, gap = x - here[:, None], here - mean
+            share = n * m / (n + m)
+            own += np.einsum("ij,ij->i", d, d) + gap**2 * share
+            cross += d @ d[-len(TARGETS) :].T + np.outer(gap, gap[-len(TARGETS) :]) * share
+            mean = mean + gap * (m / (n + m))
+            sums += x[-len(TARGETS) :].sum(axis=1)
+            n += m
+        if n:
+            same = lambda v: pa.array(np.full(len(names), v))
+            up, dd = mean[-2:]
+            yield pa.record_batch(
+                [pa.array(names), same(n), pa.array(mean), pa.array(own), pa.array(cross[:, 0].copy()), pa.array(cross[:, 1].copy()), same(up), same(dd), same(sums[0]), same(sums[1])],
+                names=["feature", "n", "mean", "own", "up", "dd", "up_mean", "dd_mean", "up_sum", "dd_sum"],
+            )
+
+    schema = "feature string, n long, mean double, own double, up double, dd double, up_mean double, dd_mean double, up_sum double, dd_sum double"
+    parts = panel.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(run, schema)
+    w = Window.partitionBy("feature")  # one row a task
+    centre = {f"_{c}": F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w) for c in ("mean", "up_mean", "dd_mean")}
+    gap = lambda c: F.col(c) - F.col(f"_{c}")
+    moved = lambda c, other: F.sum(F.col(c) + F.col("n") * gap("mean") * gap(other)) / F.sum("n")
+    return parts.withColumns(centre).groupBy("feature").agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sqrt(moved("own", "mean")).alias("spread"), moved("up", "up_mean").alias("up"), moved("dd", "dd_mean").alias("dd"),
+        F.sum("up_sum").alias("up_sum"), F.sum("dd_sum").alias("dd_sum"),
+    )
+
+
 def correlation_model(panel: DataFrame, features=FEATURES) -> DataFrame:
     """One row: a model whose coefficients are each feature's correlations with both labels, from one pass over the panel.
 
     Columns: ``terms`` (one struct a feature: mean, population deviation, coefficients), up_bias, dd_bias (log odds of the labels) and n.
     """
     zero = lambda x: F.coalesce(finite(x), F.lit(0.0))
-    odds = lambda c: F.log((F.sum(c) + 0.5) / (F.count("*") - F.sum(c) + 0.5))
-    spread = F.stddev_pop
+    of = lambda name: F.max(F.when(F.col("feature") == name, F.struct("mean", "spread", "up", "dd")))
+    odds = lambda c: F.log((F.max(c) + 0.5) / (F.max("n") - F.max(c) + 0.5))
+    got = moments(panel, features).agg(*(of(c).alias(f"m_{c}") for c in (*features, *TARGETS)), odds("up_sum").alias("up_bias"), odds("dd_sum").alias("dd_bias"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
     # corr() itself divides by a constant column's deviation
-    corr = lambda c, label: F.when(spread(c) > 1e-9, zero(F.try_divide(F.covar_pop(c, label), spread(c) * spread(label)))).otherwise(0.0)
+    corr = lambda m, part, label: F.when(m.spread > 1e-9, zero(F.try_divide(m[part], m.spread * F.col(f"m_{label}.spread")))).otherwise(0.0)
     terms = [
         F.struct(
-            F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.when(spread(c) > 1e-9, spread(c)).otherwise(1.0).alias("scale"),
-            corr(c, "label_up").alias("up_coef"), corr(c, "label_drawdown").alias("dd_coef"),
+            F.lit(c).alias("feature"), m["mean"].alias("mean"), F.when(m.spread > 1e-9, m.spread).otherwise(1.0).alias("scale"),
+            corr(m, "up", "label_up").alias("up_coef"), corr(m, "dd", "label_drawdown").alias("dd_coef"),
         )
-        for c in features
+        for c, m in ((c, F.col(f"m_{c}")) for c in features)
     ]
-    return panel.agg(F.array(*terms).alias("terms"), odds("label_up").alias("up_bias"), odds("label_drawdown").alias("dd_bias"), F.count("*").alias("n"))
+    return got.select(F.array(*terms).alias("terms"), "up_bias", "dd_bias", "n")
 
 
 def fitted_model(panel: DataFrame, features=FEATURES) -> DataFrame:

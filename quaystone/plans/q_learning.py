@@ -24,7 +24,7 @@ def training_panel(spark, d):
 
 
 def factor_importance(spark, d):
-    out = le.importance(le.correlation_model(panel(spark, d)))
+    out = le.importance(le.correlation_model(le.training_panel(src.bars(spark, d), least_bars=60)))  # read once, so not written
     return out.select("feature", "category", r("up_coef").alias("up_coef"), r("dd_coef").alias("dd_coef"), r("importance").alias("importance"), "pos")
 
 

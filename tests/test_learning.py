@@ -58,6 +58,18 @@ def test_correlation_model_and_contributions(planted):
     assert blend.model_score == pytest.approx(0.42 * min(100, max(0, 50 + 9 * blend.model_edge)) + 28 * (1 - blend.model_dd) + 0.2 * 58 + 1.5)
 
 
+def test_moments_come_from_one_array_pass(planted):
+    """One row a task, not some ninety aggregates over every row; uneven tasks and a large mean lose nothing, a constant has no spread."""
+    far = planted.withColumns({"b": F.col("b") + 1e7, "c": F.lit(0.1)}).repartition(7, "date")
+    p = far.toPandas()
+    got = {r.feature: r for r in le.moments(far, NAMES).collect()}
+    for k in ("a", "b"):
+        assert got[k].mean == pytest.approx(p[k].mean(), rel=1e-13) and got[k].spread == pytest.approx(p[k].std(ddof=0), rel=1e-9)
+        assert got[k].up == pytest.approx(np.cov(p[k], p.label_up, ddof=0)[0, 1], rel=1e-8) and got[k].dd == pytest.approx(np.cov(p[k], p.label_drawdown, ddof=0)[0, 1], rel=1e-8)
+    assert got["c"].spread < 1e-9 and got["a"].n == 4000 and got["a"].up_sum == p.label_up.sum()
+    assert le.correlation_model(far.where("false"), NAMES).first().n == 0
+
+
 def test_tree_rules_count_their_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(float(a), float(b), float((a > 5) != (b > 2))) for a, b in zip(rng.integers(0, 10, 1000), rng.integers(0, 5, 1000), strict=True)]
