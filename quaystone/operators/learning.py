@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import indicators as ind
+from . import series
 from .models import probability_model
 from ..functions.scalars import finite
 
@@ -34,20 +35,26 @@ def context(df: DataFrame, score: Column | float = 50.0, state: Column | str = "
     })
 
 
-def training_panel(bars: DataFrame, *, horizon: int = 15, target: float = 0.08, drawdown: float = 0.06, least_bars: int = 100, step: int = 1, start=None, end=None) -> DataFrame:
+def training_panel(bars: DataFrame, *, horizon: int = 15, target: float = 0.08, drawdown: float = 0.06, least_bars: int = 100, step: int = 1, start=None, end=None, digits: int | None = None) -> DataFrame:
     """symbol, date, FEATURES and LABELS of all complete rows of symbols with at least ``least_bars`` bars, in neutral context.
 
-    Every ``step``-th of a symbol's complete rows between ``start`` and ``end`` stays; null and non-finite numbers become 0.
+    Every ``step``-th of a symbol's complete rows between ``start`` and ``end`` stays; null and non-finite numbers become 0, rounded to ``digits`` if given.
+    Rows are chosen, filled and rounded in the pass that computes the features.
     """
-    own = [c for c in (*ind.FEATURES, *ind.RECURSIVE, "rsi") if c in FEATURES]
-    df = ind.forward_labels(bars, horizon, target, drawdown, also=[*own, "n_bars"]).where(F.col("n_bars") >= least_bars).withColumn("max_drawdown_20d", F.col("from_20d_high_pct"))
-    df = context(df).where("future_return is not null and future_max_drawdown is not null")
+    known = lambda f: ~np.isnan(f["future_return"]) & ~np.isnan(f["future_max_drawdown"])
+    formulas = series.forward(horizon) | {
+        "max_drawdown_20d": lambda f: f["from_20d_high_pct"],
+        "label_up": lambda f: (f["future_return"] >= target).astype(float), "label_drawdown": lambda f: (f["future_max_drawdown"] <= -drawdown).astype(float),
+        "risk_adjusted_return": lambda f: f["future_return"] + 0.45 * f["future_max_drawdown"], "_complete": lambda f: known(f) & (f["n_bars"] >= least_bars),
+    }
+    made = [*(c for c in FEATURES if c in (*ind.FEATURES, *ind.RECURSIVE, "rsi", "max_drawdown_20d")), *LABELS]
+    df = context(ind.with_columns(bars, made, ("symbol", "date"), formulas, where="_complete", whole=True, digits=digits))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start))
     if end is not None:
         df = df.where(F.col("date") <= F.lit(end))
     df = ind.every_kth(df, step) if step > 1 else df
-    return df.select("symbol", "date", *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in (*FEATURES, *LABELS)))
+    return df.select("symbol", "date", *FEATURES, *LABELS)
 
 
 ROW = "array<struct<feature:string,mean:double,scale:double,up_coef:double,dd_coef:double>>"

@@ -224,15 +224,33 @@ def chunks(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def columns_pass(inputs: list[str], kept: list[str], made: list[str], formulas=None):
-    """The pass over batches that adds the columns ``made``, computed from ``inputs``, to the columns ``kept``."""
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded half away from zero as ``plans.sqltext.r`` does, with its hair for ties (numbers below 1e10; beyond, the last digit of a double is at stake); -0 becomes 0."""
+    x, scale = x + 1e-9, 10.0**digits
+    return np.where(np.abs(x) * scale < 2.0**52, np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale, x) + 0.0
+
+
+def columns_pass(inputs: list[str], kept: list[str], made: list[str], formulas=None, where=None, whole=False, digits=None):
+    """The pass over batches that adds the columns ``made``, computed from ``inputs``, to the columns ``kept``.
+
+    ``where`` names a formula of the rows that stay; ``whole``: all made columns are doubles in which null and non-finite numbers
+    are 0, rounded to ``digits`` if given.
+    """
+
+    def finished(x, at):
+        x = x if at is None else x[at]
+        if not whole:
+            return pa.array(x, from_pandas=True)
+        x = np.where(np.isfinite(x), x, 0.0)
+        return pa.array(x if digits is None else rounded(x, digits))
 
     def run(batches):
         with np.errstate(all="ignore"):
             for table in chunks(batches):
                 numbers = {c: table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in inputs}
                 f = Series(numbers, table.column("_k").to_numpy().astype(np.int64) - 1, formulas)
-                new = [pa.array(f[c], from_pandas=True) for c in made]
-                yield from pa.table([*(table.column(c) for c in kept), *new], names=[*kept, *made]).to_batches(max_chunksize=10_000)
+                at = np.flatnonzero(f[where]) if where else None
+                old = table.select(kept) if at is None else table.select(kept).take(at)
+                yield from pa.table([*old.columns, *(finished(f[c], at) for c in made)], names=[*kept, *made]).to_batches(max_chunksize=10_000)
 
     return run

@@ -19,8 +19,7 @@ def panel(spark, d):
 
 
 def training_panel(spark, d):
-    p = le.training_panel(src.bars(spark, d), least_bars=60)
-    return p.select("symbol", "date", *(r(c).alias(c) for c in (*le.FEATURES, *le.LABELS)))
+    return le.training_panel(src.bars(spark, d), least_bars=60, digits=4)
 
 
 def factor_importance(spark, d):

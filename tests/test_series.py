@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__
 from quaystone.operators import indicators, series
 from quaystone.plans import q_rules
+from quaystone.plans.sqltext import r
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,3 +59,19 @@ def test_scorers_are_not_one_long_method(spark):
     """The JVM compiles no method beyond 8,000 bytes: rows as wide as the panel's must not go through whole-stage code."""
     __spark_entry__.queries()["historical_picks"](spark, DATA)
     assert int(spark.conf.get("spark.sql.codegen.maxFields")) < len(q_rules.SIGNAL_COLUMNS)
+
+
+def test_numbers_are_rounded_in_the_pass(spark):
+    """As ``r`` rounds them, ties and signs included, but without a decimal number a value; only the rows of ``where`` stay."""
+    x = np.concatenate([np.random.default_rng(7).normal(size=2000) * 10.0 ** np.arange(-9, 11).repeat(100), [0.00005, -0.00005, 2.5, -1e-10, 0.12345, -0.12345, 1e300, -0.0]])
+    want = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(r("x").alias("y")).collect()]
+    got = series.rounded(x, 4)
+    assert got.tolist() == want and not np.signbit(got[got == 0]).any()
+    run = series.columns_pass(["close"], ["symbol"], ["ma5", "_far"], {"_far": lambda f: f["close"] / 0, "_rest": lambda f: f.pos >= 2}, where="_rest", whole=True, digits=1)
+    got = pa.Table.from_batches(list(run(iter(batches([7, 2, 3], 100)))))
+    assert got.num_rows == 5 + 0 + 1 and got["symbol"].to_pylist() == ["000000"] * 5 + ["000002"] and set(got["_far"].to_pylist()) == {0.0} and got["ma5"].to_pylist()[:2] == [0.0, 0.0]
+
+
+def test_training_panel_rounds_no_column_row_by_row(spark):
+    plan = __spark_entry__.queries()["training_panel"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") <= 1  # the bars' amount
