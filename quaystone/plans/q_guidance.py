@@ -15,9 +15,9 @@ from .q_rules import SIGNALS
 from .sqltext import r, rs
 
 
-def graded(spark, d, **which):
-    """Live picks with grades; a strategy counts as ready where the year is even."""
-    picks = live.live_pick(live_panel(spark, d), **which).where("action <> 'pass'").withColumn("live_ready", F.year("date") % 2 == 0)
+def graded(spark, d, rows=None, **which):
+    """Live picks (of ``rows``, if given) with grades; a strategy counts as ready where the year is even."""
+    picks = live.live_pick(live_panel(spark, d, **(rows or {})), **which).where("action <> 'pass'").withColumn("live_ready", F.year("date") % 2 == 0)
     rounded = {c: F.round(F.col(c) + 1e-9, 6) for c in ("total", "up_prob", "dd_prob", "edge", "profit_factor")}
     # twenty points more, as totals of these tables stay below the grades' limits
     return gd.pick_grade(picks.withColumns(rounded).withColumn("total", F.col("total") + 20))
@@ -38,7 +38,7 @@ def aligned(spark, d):
 
 def advice(spark, d):
     """Advice on every symbol's newest signal."""
-    signals = ind.latest(rules.signal_score(ind.all_indicators(src.bars(spark, d))))
+    signals = rules.signal_score(ind.all_indicators(src.bars(spark, d), **ind.last_bars(1)))
     out = gd.advice(signals.select("symbol", "date", "close", "signal_score"))
     return out.select(
         "symbol", "risk_level", "period", r("adjusted").alias("adjusted"), "entry", "entry_low_pct", "entry_high_pct", r("entry_price").alias("entry_price"), r("take_pct").alias("take_pct"), r("take_price").alias("take_price"),

@@ -15,10 +15,10 @@ from .sqltext import FEATURES, r, rs
 SHOWN = ["up_prob", "dd_prob", "edge", "profit_factor", "total", "expected_return", "stop_price", "take_price"]
 
 
-def live_panel(spark, d):
-    """What the live pick reads of every bar (its own ranks and probabilities come later), with a news balance by symbol, taken from its supplier's account."""
+def live_panel(spark, d, **rows):
+    """What the live pick reads of every bar, or of ``rows`` (its own ranks and probabilities come later), with a news balance by symbol, taken from its supplier's account."""
     news = src.industry(spark, d).select("symbol", clamp((F.col("s_acctbal") - 4500) / 225, -24, 24).alias("news_net"))
-    panel = rules.with_activity(signal_panel(spark, d)).select("symbol", "date", "state", *live.INPUTS)
+    panel = rules.with_activity(signal_panel(spark, d, **rows)).select("symbol", "date", "state", *live.INPUTS)
     return panel.join(news, "symbol").withColumn("news_total", 50 + F.col("news_net"))
 
 

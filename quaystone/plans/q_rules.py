@@ -26,10 +26,10 @@ def signals(spark, d):
     return out.select("symbol", "date", "signal_score", "signal", "trend_up", "technical_score", "technical_trend_up", F.concat_ws(",", "signal_codes").alias("codes"))
 
 
-def signal_panel(spark, d):
-    """Features, signal score and market state of every bar; the state is one row a calendar date, so it goes to the bars and not they to it."""
+def signal_panel(spark, d, **rows):
+    """Features, signal score and market state of every bar (or ``rows``); the state is one row a calendar date, so it goes to the bars and not they to it."""
     bars = src.bars(spark, d)
-    p = rules.signal_score(ind.with_columns(bars, SIGNAL_COLUMNS, ("symbol", "date", "close")))
+    p = rules.signal_score(ind.with_columns(bars, SIGNAL_COLUMNS, ("symbol", "date", "close"), **rows))
     return p.join(F.broadcast(rk.market_state(ind.daily_change(bars)).select("date", "state")), "date")
 
 

@@ -6,9 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from quaystone.operators import indicators, series
 from quaystone.plans import q_rules
+from quaystone.sources import adapters
 from quaystone.plans.sqltext import r
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +76,20 @@ def test_numbers_are_rounded_in_the_pass(spark):
     assert got.num_rows == 5 + 0 + 1 and got["symbol"].to_pylist() == ["000000"] * 5 + ["000002"] and set(got["_far"].to_pylist()) == {0.0} and got["ma5"].to_pylist()[:2] == [0.0, 0.0]
 
 
+def test_last_bars_are_those_of_all(spark):
+    """Advice reads a symbol's last bar, decisions its last 31: no other bar leaves the pass, and these are as if all had."""
+    bars = adapters.bars(spark, DATA)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda x: x[:2])
+    want = rows(indicators.latest(indicators.all_indicators(bars)))
+    assert rows(indicators.all_indicators(bars, **indicators.last_bars(1))) == want and len({x[0] for x in want}) == len(want)
+    w = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    full = q_rules.signal_panel(spark, DATA)
+    some = q_rules.signal_panel(spark, DATA, **indicators.last_bars(31))
+    assert rows(some.drop("signal_codes")) == rows(full.drop("signal_codes").withColumn("_n", F.row_number().over(w)).where("_n <= 31").drop("_n"))
+    recent = full.withColumn("_last", F.max("date").over(Window.partitionBy("symbol"))).where("datediff(_last, date) <= 30")
+    assert recent.join(some, ["symbol", "date"], "left_anti").count() == 0
+
+
 def test_training_panel_rounds_no_column_row_by_row(spark):
     plan = __spark_entry__.queries()["training_panel"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("round(") <= 1  # the bars' amount
