@@ -28,8 +28,11 @@ def pick_grades(spark, d):
 
 
 def aligned(spark, d):
-    """All suppliers against the medium breakout pool: each symbol's pick of its own newest date, if that one is in the pool."""
-    p = written(graded(spark, d, risks=("medium",), strategies=("breakout",)), "pool")
+    """All suppliers against the medium breakout pool: each symbol's newest pick of the 30 days up to its newest bar.
+
+    A symbol has one bar a date at most, so that its last 31 bars hold these days and no other bar needs a score.
+    """
+    p = written(graded(spark, d, ind.last_bars(31), risks=("medium",), strategies=("breakout",)), "pool")
     newest = src.bars(spark, d).groupBy("symbol").agg(F.max("date").alias("date"))
     recent = ind.latest(p).join(newest.select("symbol", F.col("date").alias("last")), "symbol").where(F.datediff("last", "date") <= 30)
     out = gd.aligned_decision(src.industry(spark, d).select("symbol"), recent)
