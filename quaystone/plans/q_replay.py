@@ -64,7 +64,7 @@ def run_credibility(spark, d):
 
 def lots_and_spans(spark, d):
     trades = src.trades(spark, d)
-    return written(tr.fifo_lots(trades), "lots"), trades.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return written(tr.fifo_lots(src.numbered_trades(spark, d)), "lots"), trades.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def trade_curves(spark, d):
