@@ -45,3 +45,7 @@ def test_round_trips_of_a_shared_symbol(spark, shared):
 
 def test_curves_of_a_shared_symbol(spark, shared):
     equal_rows(spark, shared, "trade_curves")
+
+
+def test_diagnostics_of_a_shared_symbol(spark, shared):
+    equal_rows(spark, shared, "trade_diagnostics")
