@@ -100,9 +100,9 @@ def preferred(spark, d):
 
 
 def source_fallback(spark, d):
-    """A symbol's supplier bars, or else the closes of the part of that number."""
+    """A symbol's supplier bars, or else the closes of the part of that number; of parts that share it, the price of the greatest trade number, of equal ones the highest."""
     b = src.bars(spark, d).select("symbol", "date", r("close").alias("close"))
-    parts = src.trades(spark, d).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("price", "seq").alias("close"))
+    parts = src.numbered_trades(spark, d).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by("price", F.struct("seq", "price")).alias("close"))
     return st.first_source([b, parts.select("symbol", "date", r("close").alias("close"))], "symbol")
 
 

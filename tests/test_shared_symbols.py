@@ -49,3 +49,16 @@ def test_curves_of_a_shared_symbol(spark, shared):
 
 def test_diagnostics_of_a_shared_symbol(spark, shared):
     equal_rows(spark, shared, "trade_diagnostics")
+
+
+def test_closes_of_a_shared_symbol(spark, shared):
+    """A date's close is that of the trade with the greatest number in its part, not of the last order."""
+    path, _ = shared
+    rows = [(900, 1000001, 7, 1, 2.0, 20.0, "N", dt.datetime(2019, 1, 1)), (901, 1000001, 7, 1, 2.0, 40.0, "N", dt.datetime(2019, 6, 1)), (902, 100000, 7, 1, 2.0, 60.0, "N", dt.datetime(2019, 6, 1))]
+    more = f"{path}/closes"
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{more}/lineitem.parquet")
+    got = {str(r.date): r.close for r in registry.QUERIES["source_fallback"](spark, more).where("symbol = '100000'").collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{more}/lineitem.parquet/*.parquet'")
+        want = {str(d): c for d, c in con.execute(f"SELECT date, close FROM ({registry.SQL['source_fallback']}) WHERE symbol = '100000'").fetchall()}
+    assert got == want == {"2019-01-01": 10.0, "2019-06-01": 20.0}
