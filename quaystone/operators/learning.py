@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import indicators as ind
 from . import series
+from .folds import FoldModels, day_number, fold_cuts
 from .models import probability_model
 from ..functions.scalars import finite
 
@@ -184,15 +185,12 @@ def blended_prediction(df: DataFrame, model: DataFrame, *, take: float = 0.14, s
 def walk_forward(panel: DataFrame, label: str, *, features=FEATURES, gap_days: int = 0) -> DataFrame:
     """Out-of-fold (fold, date, y, p) over expanding folds on whole dates; the last ``gap_days`` before a fold are not learned from.
 
-    Labels look ahead: with a gap of their horizon no training row knows a tested day.
+    Labels look ahead: with a gap of their horizon no training row knows a tested day.  One fit a fold; ``walk_forward_counts`` fits all folds and
+    labels together.
     """
     from pyspark.ml.functions import vector_to_array
 
-    n = panel.count()
-    folds = 2 if n < 120 else min(5, max(2, n // 300))
-    day = F.datediff("date", F.lit("1970-01-01"))
-    cuts = panel.select(day.cast("double").alias("d")).approxQuantile("d", [i / (folds + 1) for i in range(1, folds + 1)], 0.001)
-    out = None
+    day, cuts, out = day_number(), fold_cuts(panel), None
     for k, cut in enumerate(cuts):
         high = cuts[k + 1] if k + 1 < len(cuts) else float("inf")
         test = panel.where((day > cut) & (day <= high))
@@ -203,6 +201,13 @@ def walk_forward(panel: DataFrame, label: str, *, features=FEATURES, gap_days: i
     return out
 
 
+def walk_forward_counts(panel: DataFrame, labels=TARGETS, *, features=FEATURES, gap_days: int = 0) -> DataFrame:
+    """What ``walk_forward`` tells of several labels, as counts: (label, fold, p, n, pos) with p to six digits; all models are fitted in common passes."""
+    models = FoldModels(panel, list(features), list(labels), fold_cuts(panel), gap_days)
+    counts = models.tested(panel).groupBy("label", "fold", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    return counts.withColumn("label", F.element_at(F.array(*(F.lit(x) for x in labels)), F.col("label") + 1))
+
+
 def fit_tree(panel: DataFrame, label: str, *, features=FEATURES, max_depth: int = 4, least_rows: int = 30, max_bins: int = 64):
     """A decision tree on distributed histograms; depth 3 to 5."""
     from pyspark.ml.classification import DecisionTreeClassifier

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 def evaluate(pred: DataFrame, keys: list[str]) -> DataFrame:
     """AUC by rank sums, Brier score and log loss of (y, p) per key; AUC is null with one class."""
-    w = Window.partitionBy(*keys)
     # mean ranks from counts of distinct p, so that equal scores share one rank
-    per_p = pred.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    return evaluate_counts(pred.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")), keys)
+
+
+def evaluate_counts(per_p: DataFrame, keys: list[str]) -> DataFrame:
+    """``evaluate`` from rows (n) and positives (pos) by key and p."""
+    w = Window.partitionBy(*keys)
     upto = F.sum("n").over(w.orderBy("p"))
     per_p = per_p.withColumn("rank", upto - (F.col("n") - 1) / 2)
     clip = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("p")))
@@ -32,6 +36,13 @@ def calibration_error(pred: DataFrame, keys: list[str], bins: int = 10) -> DataF
     return g.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("my") - F.col("mp"))) / F.sum("n")).alias("ece"))
 
 
+def calibration_error_counts(per_p: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """``calibration_error`` from rows (n) and positives (pos) by key and p."""
+    b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    g = per_p.groupBy(*keys, b.alias("bin")).agg(F.sum("n").alias("n"), F.abs(F.sum("pos") - F.sum(F.col("n") * F.col("p"))).alias("gap"))
+    return g.groupBy(*keys).agg((F.sum("gap") / F.sum("n")).alias("ece"))
+
+
 def probability_bands(pred: DataFrame, keys: list[str], edges=(0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     band = sum(((F.col("p") >= e).cast("int") for e in edges), F.lit(0))
     return pred.groupBy(*keys, band.alias("band")).agg(F.count("*").alias("n"), F.avg("y").alias("hit_rate"))

@@ -46,13 +46,10 @@ def tree_rules(spark, d):
 
 def walk_forward(spark, d):
     """Both models over all bars, 15 bars looked ahead: three weeks before each fold are left out."""
-    p, out = panel(spark, d), None
-    for label in ("label_up", "label_drawdown"):
-        pred = written(le.walk_forward(p, label, gap_days=21).withColumn("p", F.round("p", 6)), "walk-forward")
-        e = ml.evaluate(pred.select("fold", "y", "p"), ["fold"]).join(ml.calibration_error(pred, ["fold"]), "fold")
-        e = e.select(F.lit(label).alias("label"), "fold", "n", "n_pos", r("auc", 2).alias("auc"), r("brier", 2).alias("brier"), r("ece", 2).alias("ece"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    p = written(le.training_panel(src.bars(spark, d), least_bars=60).select("date", *le.FEATURES, *le.TARGETS), "training-panel")
+    counts, keys = written(le.walk_forward_counts(p, gap_days=21), "walk-forward"), ["label", "fold"]
+    e = ml.evaluate_counts(counts, keys).join(ml.calibration_error_counts(counts, keys), keys)
+    return e.select("label", "fold", "n", "n_pos", r("auc", 2).alias("auc"), r("brier", 2).alias("brier"), r("ece", 2).alias("ece"))
 
 
 RAW_RSI = "coalesce(CASE WHEN l_ = 0 AND g_ = 0 THEN NULL WHEN l_ = 0 THEN 100.0 ELSE 100 - 100 / (1 + g_ / nullif(l_, 0)) END, 0)"
