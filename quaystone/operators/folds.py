@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def blocks(batches, features, labels):
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            column = lambda c: part.column(c).fill_null(0.0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            whole = lambda x: x.fill_null(0.0) if x.null_count else x
+            column = lambda c: whole(part.column(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             stack = lambda names: np.stack([column(c) for c in names]) if names else np.empty((0, part.num_rows))  # noqa: B023, E731
             yield column("_day"), stack(features), stack(labels)
 
@@ -49,7 +52,35 @@ def doubles(panel: DataFrame, *columns: str) -> DataFrame:
     return panel.select(day_number().cast("double").alias("_day"), *(F.col(c).cast("double").alias(c) for c in columns))
 
 
-def summed(panel: DataFrame, features, labels, size: int, of_block) -> np.ndarray:
+def over_rows(panel: DataFrame, columns: list[str], run, schema: str, stored: bool) -> DataFrame:
+    """``run`` over Arrow batches of the panel's day and ``columns``.
+
+    ``stored``: the panel is whole Parquet files, just as written; a task then reads its files' columns as arrays, one row group at a time, which spares
+    each pass the way of every row through the JVM.  Spark deals the files out.
+    """
+    files = panel.inputFiles() if stored else []
+    if not files:
+        return doubles(panel, *columns).mapInArrow(run, schema)
+
+    def read(batches):
+        def rows():
+            for batch in batches:
+                for uri in batch.column(0).to_pylist():
+                    system, path = pa.fs.FileSystem.from_uri(uri)
+                    with system.open_input_file(path) as file:
+                        parquet = pq.ParquetFile(file)
+                        for group in range(parquet.num_row_groups):
+                            table = parquet.read_row_group(group, columns=["date", *columns], use_threads=False)
+                            day = table.column("date").cast(pa.int32()).cast(pa.float64())
+                            yield from pa.table([day, *(table.column(c).cast(pa.float64()) for c in columns)], names=["_day", *columns]).to_batches(max_chunksize=BLOCK)
+
+        yield from run(rows())
+
+    one_each = panel.sparkSession.range(0, len(files), 1, len(files))
+    return one_each.select(F.get(F.array(*(F.lit(f) for f in files)), F.col("id").cast("int")).alias("uri")).mapInArrow(read, schema)
+
+
+def summed(panel: DataFrame, features, labels, size: int, of_block, stored: bool = False) -> np.ndarray:
     """``of_block`` (``size`` numbers) summed over all blocks: one row a task goes to the driver."""
 
     def run(batches):
@@ -58,7 +89,7 @@ def summed(panel: DataFrame, features, labels, size: int, of_block) -> np.ndarra
             total += of_block(*block)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = doubles(panel, *features, *labels).mapInArrow(run, "sums binary").collect()
+    parts = over_rows(panel, [*features, *labels], run, "sums binary", stored).collect()
     return sum((np.frombuffer(bytes(r.sums)) for r in parts), np.zeros(size))
 
 
@@ -69,7 +100,8 @@ class FoldModels:
     models see the features on one scale; the penalty of each is stated on its own fold's scale.
     """
 
-    def __init__(self, panel: DataFrame, features, labels, cuts, gap_days: int = 0):
+    def __init__(self, panel: DataFrame, features, labels, cuts, gap_days: int = 0, stored: bool = False):
+        self.stored = stored
         self.labels, self.cuts, self.limits = list(labels), np.array(cuts), np.array(cuts) - gap_days
         n, positives, mean, spread, own = self._moments(panel, list(features))
         alive = np.flatnonzero(spread > LEAST_SPREAD)
@@ -108,7 +140,7 @@ class FoldModels:
             here = (part == np.arange(folds)[:, None]).astype(float)
             return np.hstack([here.sum(axis=1)[:, None], here @ (y > 0.5).astype(float).T, here @ x.T, here @ (x * x).T]).ravel()
 
-        got = summed(panel, features, self.labels, folds * width, of_block).reshape(folds, width).cumsum(axis=0)
+        got = summed(panel, features, self.labels, folds * width, of_block, self.stored).reshape(folds, width).cumsum(axis=0)
         n, positives, total, squares = got[:, 0], got[:, 1 : 1 + m], got[:, 1 + m : 1 + m + d], got[:, 1 + m + d :]
         own = np.sqrt(np.maximum(squares - total**2 / np.maximum(n, 1)[:, None], 0) / np.maximum(n - 1, 1)[:, None])
         return n, positives, centre + total[-1] / max(n[-1], 1), own[-1], own
@@ -137,7 +169,7 @@ class FoldModels:
                 row[1 + d :] = ((zk * (w * p * (1 - p))) @ zk.T).ravel()
             return out.ravel()
 
-        got = summed(panel, self.features, self.labels, len(todo) * width, of_block).reshape(len(todo), width)
+        got = summed(panel, self.features, self.labels, len(todo) * width, of_block, self.stored).reshape(len(todo), width)
         return {key: (row[0], row[1 : 1 + d], row[1 + d :].reshape(d, d)) for key, row in zip(todo, got, strict=True)}
 
     def _fitted(self, panel, start: dict, share: int = 1, passes: int = 50, least_step: float = 1e-3) -> dict:
@@ -184,4 +216,4 @@ class FoldModels:
                     number = lambda v: pa.array(v.astype(np.int32))
                     yield pa.record_batch([number(np.full(len(at), i)), number(fold), number(y[i]), pa.array(np.floor(p * 1e6 + 0.5) / 1e6)], names=["label", "fold", "y", "p"])
 
-        return doubles(panel, *features, *names).mapInArrow(run, "label int, fold int, y int, p double")
+        return over_rows(panel, [*features, *names], run, "label int, fold int, y int, p double", self.stored)

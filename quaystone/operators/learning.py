@@ -201,9 +201,12 @@ def walk_forward(panel: DataFrame, label: str, *, features=FEATURES, gap_days: i
     return out
 
 
-def walk_forward_counts(panel: DataFrame, labels=TARGETS, *, features=FEATURES, gap_days: int = 0) -> DataFrame:
-    """What ``walk_forward`` tells of several labels, as counts: (label, fold, p, n, pos) with p to six digits; all models are fitted in common passes."""
-    models = FoldModels(panel, list(features), list(labels), fold_cuts(panel), gap_days)
+def walk_forward_counts(panel: DataFrame, labels=TARGETS, *, features=FEATURES, gap_days: int = 0, stored: bool = False) -> DataFrame:
+    """What ``walk_forward`` tells of several labels, as counts: (label, fold, p, n, pos) with p to six digits; all models are fitted in common passes.
+
+    ``stored``: the panel is whole Parquet files as written, which the passes then read on their own.
+    """
+    models = FoldModels(panel, list(features), list(labels), fold_cuts(panel), gap_days, stored)
     counts = models.tested(panel).groupBy("label", "fold", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     return counts.withColumn("label", F.element_at(F.array(*(F.lit(x) for x in labels)), F.col("label") + 1))
 

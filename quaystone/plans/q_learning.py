@@ -47,7 +47,7 @@ def tree_rules(spark, d):
 def walk_forward(spark, d):
     """Both models over all bars, 15 bars looked ahead: three weeks before each fold are left out."""
     p = written(le.training_panel(src.bars(spark, d), least_bars=60).select("date", *le.FEATURES, *le.TARGETS), "training-panel")
-    counts, keys = written(le.walk_forward_counts(p, gap_days=21), "walk-forward"), ["label", "fold"]
+    counts, keys = written(le.walk_forward_counts(p, gap_days=21, stored=True), "walk-forward"), ["label", "fold"]
     e = ml.evaluate_counts(counts, keys).join(ml.calibration_error_counts(counts, keys), keys)
     return e.select("label", "fold", "n", "n_pos", r("auc", 2).alias("auc"), r("brier", 2).alias("brier"), r("ece", 2).alias("ece"))
 

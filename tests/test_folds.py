@@ -36,6 +36,13 @@ def test_common_passes_equal_single_fits(planted):
             np.testing.assert_allclose(np.repeat(g.p, g.n), np.sort(w.p), atol=2e-4)
 
 
+def test_stored_panel_gives_the_same(planted, tmp_path):
+    planted.repartition(3).write.parquet(f"{tmp_path}/p")
+    fit = lambda df, **how: {tuple(r) for r in le.walk_forward_counts(df, LABELS, features=NAMES, gap_days=30, **how).collect()}
+    stored = planted.sparkSession.read.parquet(f"{tmp_path}/p")
+    assert fit(stored, stored=True) == fit(stored)
+
+
 def test_start_does_not_decide(planted, monkeypatch):
     fit = lambda: fo.FoldModels(planted, list(NAMES), list(LABELS), fo.fold_cuts(planted), 30).coefficients
     want = fit()
